@@ -171,7 +171,7 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [sum(map(len, sizes))], "n_ids": [writer.ids]})
 
     dealt = docs.select(F.col(id_col), F.col(text_col).alias("text")).repartitionByRange(id_col).sortWithinPartitions(id_col, "text")
-    rows = dealt.mapInArrow(write, "part int, file string, n_docs long, n_ids long").collect()  # one row a file
+    rows = dealt.mapInArrow(write, "part long, file string, n_docs long, n_ids long").collect()  # one row a file
     manifest, start = [], 0
     for r in sorted(rows):
         manifest.append({"file": r.file, "n_docs": r.n_docs, "n_ids": r.n_ids, "start": start})
