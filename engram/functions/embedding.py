@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def embed_distinct(texts: DataFrame, model: Callable[[Sequence[str]], Sequence[S
 
     ``model`` takes a batch of texts; without one the hashed embedding is used.
     """
-    import pandas as pd
+
 
     @F.pandas_udf("array<double>")
     def run(batch: pd.Series) -> pd.Series:
