@@ -90,11 +90,12 @@ def repeated_places(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array((starts - counts[text]).astype(np.int32)), pa.array(own.view(np.int64))], names=["row_key", "place", "hash"])
 
     found = materialize(map_arrow(keyed.select("row_key", "text"), anchors, "row_key long, anchor long"), "anchors")
-    often = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    # written before the join, so that Spark may split the join where one anchor or window is very common
+    often = materialize(found.groupBy("anchor").count().where("count > 1").select("anchor"), "often")
     lists = materialize(found.join(often, "anchor").groupBy("row_key").agg(F.collect_set("anchor").alias("anchors")), "repeated")
     asked = keyed.select("row_key", "text").join(lists, "row_key")
     counted = materialize(map_arrow(asked, windows, "row_key long, place int, hash long"), "windows")
-    again = counted.groupBy("hash").count().where("count > 1").select("hash")
+    again = materialize(counted.groupBy("hash").count().where("count > 1").select("hash"), "again")
     return materialize(counted.join(again, "hash").groupBy("row_key").agg(F.collect_list("place").alias("places")), "places")
 
 
