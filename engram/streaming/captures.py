@@ -114,14 +114,17 @@ def gated_stream(captures: DataFrame, overlays: Sequence[str] = OVERLAY_APPS) ->
 
 
 def watch_stream(captures: DataFrame, sessions: DataFrame, seconds: int = WATCH_SECONDS) -> DataFrame:
-    """Watch sessions on a stream: the baseline is the state, dropped after ``seconds`` without captures.
+    """Watch sessions on a stream: the baseline is the state, dropped when the stream's time has gone
+    ``seconds`` beyond a session's last capture.
 
-    ``sessions`` is the stated, small list of what is watched.
+    ``sessions`` is the stated, small list of what is watched. Time is event time, so a run that stops
+    when no input is left does stop (a timeout by the clock would keep it alive).
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    joined = captures.join(F.broadcast(sessions), ["user_id", "app"]).select("session_id", "capture_id", "ts", "ocr_raw", "baseline")
+    timed = captures.withColumn("__event", F.col("ts").cast("timestamp")).withWatermark("__event", "0 seconds")
+    joined = timed.join(F.broadcast(sessions), ["user_id", "app"]).select("session_id", "capture_id", "ts", "ocr_raw", "baseline", "__event")
     ident = captures.schema["capture_id"].dataType.simpleString()
     when = captures.schema["ts"].dataType.simpleString()
 
@@ -134,18 +137,20 @@ def watch_stream(captures: DataFrame, sessions: DataFrame, seconds: int = WATCH_
             return
         base = state.get[0] if state.exists else None
         out = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "capture_id"], kind="stable").itertuples(index=False):
+        rows = pd.concat(list(batches)).sort_values(["ts", "capture_id"], kind="stable")
+        for r in rows.itertuples(index=False):
             old = set(lines(r.baseline if base is None else base))
             fresh = [x for x in lines(r.ocr_raw) if len(x) > 5 and x not in old]
             base = r.ocr_raw or ""
             if fresh:
                 out.append((key[0], r.capture_id, r.ts, fresh))
         state.update((base,))
-        state.setTimeoutDuration(seconds * 1000)
+        last = int(pd.Timestamp(rows["ts"].max()).timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=["session_id", "capture_id", "ts", "new_lines"])
 
-    return joined.groupBy("session_id").applyInPandasWithState(step, f"session_id string, capture_id {ident}, ts {when}, new_lines array<string>", "base string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return joined.groupBy("session_id").applyInPandasWithState(step, f"session_id string, capture_id {ident}, ts {when}, new_lines array<string>", "base string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def hourly_counts(captures: DataFrame, late: str = "10 minutes") -> DataFrame:
