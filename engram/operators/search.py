@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import ranking, vector
 from engram.operators.filters import any_ilike, best_per, top
+from engram.storage import materialize
 
 
 def nearest(memories: DataFrame, query: Sequence[float], limit: int = 25, offset: int = 0, digits: int = 6) -> DataFrame:
@@ -66,8 +67,15 @@ def lookup_many(rows: DataFrame, queries: DataFrame, threshold: float, limit: in
     return best_per(found, "query_id", F.desc("similarity"), F.asc("id"), limit=limit)
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
+def spaced_words(text: Column) -> Column:
+    """The lower-case words of a text, each with a blank of its own on either side; empty without words."""
+    inner = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+", "  "))
+    return F.when(inner == "", F.lit("")).otherwise(F.concat(F.lit(" "), inner, F.lit(" ")))
+
+
+def occurrences(text: Column, part: str) -> Column:
+    """How often a string stands in a text, without overlaps."""
+    return (F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / F.lit(float(len(part)))
 
 
 def query_terms(query: str) -> list[str]:
@@ -78,15 +86,13 @@ def query_terms(query: str) -> list[str]:
 def bm25(memories: DataFrame, query: str, text_col: str = "source_text") -> DataFrame:
     """id and keyword score of the rows that hold any term of the query.
 
-    Term counts are taken in the scan; one aggregate gives the corpus figures; no posting is shuffled.
+    Term counts are taken in one scan; an aggregate over them gives the corpus figures; no posting is shuffled.
     """
     terms = query_terms(query)
-    words = memories.select("id", tokens(F.col(text_col)).alias("words"))
-
-    def count_of(term: str) -> Column:
-        return F.size(F.filter("words", lambda w: w == term)).cast("double")
-
-    counted = words.select("id", F.size("words").cast("double").alias("length"), *(count_of(t).alias(f"tf{k}") for k, t in enumerate(terms)))
+    words = memories.select("id", spaced_words(F.col(text_col)).alias("words"))
+    length = F.when(F.col("words") == "", 0.0).otherwise(occurrences(F.col("words"), "  ") + 1.0)
+    # small numbers for each row, written once, so that the texts are read in a single pass
+    counted = materialize(words.select("id", length.alias("length"), *(occurrences(F.col("words"), f" {t} ").alias(f"tf{k}") for k, t in enumerate(terms))), "terms")
     figures = counted.agg(
         F.count("*").cast("double").alias("docs"), F.avg("length").alias("average"), *(F.sum(F.when(F.col(f"tf{k}") > 0, 1.0).otherwise(0.0)).alias(f"df{k}") for k in range(len(terms)))
     )
