@@ -132,7 +132,7 @@ def episodic_dedup_hour(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def episodic_dedup_bm25(spark: SparkSession, sf: str) -> DataFrame:
-    n = views.notes(spark, sf)
+    n = views.wide(views.notes(spark, sf))
     scores = search.bm25(n, QUERY).withColumn("score", F.round("score", 4))
     out = episodic.search(n.drop("source_text"), ["appName"], scores, limit=40)
     return out.select("type", "key_appName", "hour", "id", "created_at", "captures", "score")
@@ -144,11 +144,11 @@ def episodic_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return search.bm25(views.notes(spark, sf), QUERY).select("id", F.round("score", 4).alias("score"))
+    return search.bm25(views.wide(views.notes(spark, sf)), QUERY).select("id", F.round("score", 4).alias("score"))
 
 
 def bm25_minmax(spark: SparkSession, sf: str) -> DataFrame:
-    s = search.bm25(views.notes(spark, sf), QUERY).select("id", F.round("score", 4).alias("score"))
+    s = search.bm25(views.wide(views.notes(spark, sf)), QUERY).select("id", F.round("score", 4).alias("score"))
     best = filters.top(s, F.desc("score"), F.asc("id"), limit=75)
     return search.min_max(best).select("id", "score", F.round("scaled", 4).alias("scaled"))
 

@@ -215,7 +215,7 @@ def glob_match(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT doc_id AS id, len(list_intersect({_WORDS.format('text')}, {_WORDS.format(chr(39) + 'the and idiot tion que with account' + chr(39))})) > 0 AS overlaps FROM documents")
 def token_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    d = views.table(spark, sf, "documents")
+    d = views.wide(views.table(spark, sf, "documents"))
     return d.select(F.col("doc_id").alias("id"), F.arrays_overlap(rules.content_words(F.col("text")), rules.content_words(F.lit("the and idiot tion que with account"))).alias("overlaps"))
 
 
@@ -254,7 +254,7 @@ _CONTRACT = "'---' || chr(10) || 'name: ' || n || chr(10) || 'description: \"d '
     WHEN x = 'python' AND p NOT LIKE '%.py' THEN 'python needs a python file' WHEN b = 'short' THEN 'body too short' END AS error,
     CASE WHEN i % 17 <> 0 THEN replace(p, '~/', '/home/u/') END AS resolved_path, CASE WHEN i % 17 <> 0 THEN 'd ' || i END AS description FROM f""")
 def contract_validate(spark: SparkSession, sf: str) -> DataFrame:
-    f = views.table(spark, sf, "part").selectExpr(
+    f = views.wide(views.table(spark, sf, "part")).selectExpr(
         "p_partkey AS i", "CASE WHEN p_partkey % 5 = 0 THEN 'Bad Name' ELSE concat('tool.n', p_partkey) END AS n", "CASE p_partkey % 4 WHEN 0 THEN 'node' WHEN 1 THEN 'shell' WHEN 2 THEN 'python' ELSE 'perl' END AS x",
         "CASE WHEN p_partkey % 7 = 0 THEN '/etc/a.sh' WHEN p_partkey % 4 = 2 THEN '~/skills/a.py' WHEN p_partkey % 11 = 0 THEN '~/skills/a.cjs' WHEN p_partkey % 13 = 0 THEN '~/skills/a.md' ELSE '~/skills/a.sh' END AS p",
         "CASE WHEN p_partkey % 3 = 0 THEN 'short' ELSE repeat('body text ', 8) END AS b",
@@ -270,12 +270,12 @@ def contract_validate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT page_id AS id, trim(regexp_replace(regexp_replace(html, '\\s+', ' ', 'g'), '[^\\x20-\\x7E]', '', 'g')) AS cleaned FROM pages")
 def clean_ocr(spark: SparkSession, sf: str) -> DataFrame:
-    return views.table(spark, sf, "pages").select(F.col("page_id").alias("id"), text.clean(F.col("html")).alias("cleaned"))
+    return views.wide(views.table(spark, sf, "pages")).select(F.col("page_id").alias("id"), text.clean(F.col("html")).alias("cleaned"))
 
 
 @query("""SELECT page_id AS id, coalesce(array_to_string(list_filter(list_transform(string_split(html, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)), '') AS lines FROM pages""")
 def clean_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return views.table(spark, sf, "pages").select(F.col("page_id").alias("id"), text.clean_lines(F.col("html")).alias("lines"))
+    return views.wide(views.table(spark, sf, "pages")).select(F.col("page_id").alias("id"), text.clean_lines(F.col("html")).alias("lines"))
 
 
 _NAMED = "concat(text, ' see report-two.pdf or src/main.py and notes-of-may Jan 26, also My-File.JSON ', doc_id, '.txt')"
@@ -285,13 +285,13 @@ _NAMED = "concat(text, ' see report-two.pdf or src/main.py and notes-of-may Jan
   m AS (SELECT doc_id, list_concat(regexp_extract_all(t, '{text.STANDARD_NAME}'), regexp_extract_all(t, '{text.DATED_NAME}', 1)) AS ms FROM d)
   SELECT doc_id AS id, list_aggregate(list_sort(list_distinct(ms)), 'string_agg', '|') AS files FROM m""")
 def extract_filenames(spark: SparkSession, sf: str) -> DataFrame:
-    d = views.table(spark, sf, "documents").select("doc_id", F.expr(_NAMED).alias("t"))
+    d = views.wide(views.table(spark, sf, "documents")).select("doc_id", F.expr(_NAMED).alias("t"))
     return d.select(F.col("doc_id").alias("id"), F.array_join(F.array_sort(text.file_names(F.col("t"))), "|").alias("files"))
 
 
 @query()
 def extract_filenames_fragments(spark: SparkSession, sf: str) -> DataFrame:
-    d = views.table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(" cbs-rep noise chloe.pdf and q-two- more istian.pdf")).alias("t"))
+    d = views.wide(views.table(spark, sf, "documents")).select("doc_id", F.concat("text", F.lit(" cbs-rep noise chloe.pdf and q-two- more istian.pdf")).alias("t"))
     return d.select(F.col("doc_id").alias("id"), text.broken_names_udf()("t").alias("files"))
 
 
@@ -304,7 +304,7 @@ def code_snippets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT doc_id AS id, sha256(replace(replace(text || ' a.pdf b.py a.pdf', 'a.pdf', ''), 'b.py', '')) AS redacted FROM documents""")
 def redact_files(spark: SparkSession, sf: str) -> DataFrame:
-    d = views.table(spark, sf, "documents")
+    d = views.wide(views.table(spark, sf, "documents"))
     t = F.concat("text", F.lit(" a.pdf b.py a.pdf"))
     return d.select(F.col("doc_id").alias("id"), F.sha2(text.redact(t, F.array(F.lit("a.pdf"), F.lit("b.py"))), 256).alias("redacted"))
 
@@ -312,7 +312,7 @@ def redact_files(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH t AS (SELECT doc_id, lower(text || CASE doc_id % 5 WHEN 0 THEN ' Results and Agents' WHEN 1 THEN ' electron results' WHEN 2 THEN ' You just switched to the' WHEN 3 THEN ' agents' ELSE '' END) AS l FROM documents)
   SELECT doc_id AS id, (l LIKE '%results%' AND l LIKE '%agents%') OR (l LIKE '%electron%' AND (l LIKE '%results%' OR l LIKE '%agents%')) OR l LIKE '%ask or drag-drop anything here%' OR l LIKE '%copilot screen assistant%' OR l LIKE '%you just switched to the%' AS tainted FROM t""")
 def overlay_taint(spark: SparkSession, sf: str) -> DataFrame:
-    d = views.table(spark, sf, "documents")
+    d = views.wide(views.table(spark, sf, "documents"))
     k = F.col("doc_id") % 5
     t = F.concat("text", F.when(k == 0, " Results and Agents").when(k == 1, " electron results").when(k == 2, " You just switched to the").when(k == 3, " agents").otherwise(""))
     return d.select(F.col("doc_id").alias("id"), text.overlay_tainted(t).alias("tainted"))
@@ -350,7 +350,7 @@ def summary_for_embedding(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def gibberish_filter(spark: SparkSession, sf: str) -> DataFrame:
-    d = views.table(spark, sf, "pages")
+    d = views.wide(views.table(spark, sf, "pages"))
     return d.select(F.col("page_id").alias("id"), text.without_gibberish_udf()(text.strip_tags(text.clean(F.col("html")))).alias("filtered"))
 
 

@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide(df: DataFrame) -> DataFrame:
+    """The scan ``df`` dealt to all cores where its files give fewer splits than that; else as it is.
+
+    For work that costs far more than moving the rows; tables of any size have splits enough.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as memories without vectors."""
     d = table(spark, sf_dir, "documents")
@@ -31,7 +40,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memories with vectors."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return notes(spark, sf_dir).join(e, "id")
+    return wide(notes(spark, sf_dir)).join(e, "id")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
