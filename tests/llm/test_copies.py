@@ -1,6 +1,7 @@
 """Substring dedup and SimHash against brute force."""
 
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -114,7 +115,7 @@ def test_links_keep_components(spark, part):
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
-@pytest.mark.parametrize("radius", [0, 1, 2, 3])
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 4, 20, 63])
 def test_bit_sliced(radius):
     fp = np.array(planted(), np.uint64)
     planes = simhash.planes_of(fp)
@@ -123,6 +124,65 @@ def test_bit_sliced(radius):
         assert simhash.within(planes, lag, len(fp), radius).tolist() == want
 
 
+@pytest.mark.parametrize("radius", [150, 337])
+def test_bit_sliced_wide(radius):
+    r = np.random.default_rng(2)
+    bits = np.repeat(r.integers(0, 2, (1, simhash.WIDE_BITS), dtype=np.uint8), 200, axis=0)
+    for row in bits:
+        row[r.choice(simhash.WIDE_BITS, int(r.integers(0, radius)), replace=False)] ^= 1
+    planes = simhash.planes_of(np.packbits(bits, axis=1, bitorder="little").view(np.uint64))
+    for lag in (1, 63, 64, 65, 130, 199):
+        want = [i for i in range(200 - lag) if (bits[i] != bits[i + lag]).sum() <= radius]
+        assert simhash.within(planes, lag, 200, radius).tolist() == want
+
+
+def similar_brute(texts):
+    """Smallest index reachable over pairs that share four fifths of their lower-case five-word shingles."""
+    sets = []
+    for text in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def edited(words, edits, r):
+    out = list(words)
+    for k in np.linspace(3, len(words) - 4, edits).astype(int) if edits else ():
+        out[k] = f"edit{r.integers(1 << 30)}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("part", [2, 2048])
+def test_similar_documents(spark, monkeypatch, part):
+    """Copies with few edits fall together whatever the grid of cells; ones with many edits and others stay apart."""
+    r = np.random.default_rng(3)
+    texts = []
+    for length in (40, 120, 700):
+        for _ in range(4):
+            words = [f"w{x}" for x in r.integers(0, 5000, length)]
+            texts += [" ".join(words), " ".join(words).upper(), " " + "\n".join(words)]
+            texts += [edited(words, max(1, length // 130), r) for _ in range(4)] if length > 100 else []
+            texts += [edited(words, length // 12, r) for _ in range(2)]
+    texts += [None, "", " \t", "one", "One", "one two", "one two three four five six"]
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (part,))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame).collect()}
+    assert [got[i] for i in range(len(texts))] == similar_brute(texts)
+
+
+def test_similar_documents_awkward(spark):
+    rows = simhash.similar_documents(awkward(spark)).collect()
+    assert len(rows) == awkward(spark).count()
+    of = {r.doc_id: r.component_id for r in rows}
+    assert of[2] == of[3] == of[4] == 2 and of[8] == 1 and of[10] == 10 and of[11] == 11 and of[7] == 7
+
+
 def test_components_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -132,3 +192,4 @@ def test_components_chain_and_star(spark):
 def test_empty(spark):
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
     assert simhash.near_duplicates(empty(spark)).count() == 0
+    assert simhash.similar_documents(empty(spark)).count() == 0

@@ -10,7 +10,7 @@ import corpus_pipeline
 from engram.llm import bpe, secret_scan, toxicity
 
 from .fixtures import awkward
-from .test_copies import components_brute, fingerprint_brute
+from .test_copies import similar_brute
 from .test_filters import contamination_brute
 
 
@@ -21,8 +21,7 @@ def test_stages():
 
 def by_hand(docs, items, model):
     kept = [d for d in docs if model.score([d.text])[0] < toxicity.THRESHOLD]
-    prints = [fingerprint_brute(d.text) for d in kept]
-    group = components_brute(list(range(len(kept))), prints)
+    group = similar_brute([d.text for d in kept])
     kept = [d for i, d in enumerate(kept) if group[i] == i]
     kept = [d for d in kept if not contamination_brute(d.text, items)[-1]]
     codec = bpe.Codec.of(bpe.RANKS, bpe.PATTERN)
