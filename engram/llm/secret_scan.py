@@ -41,8 +41,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{24,}")
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
     re.compile(r"(?i).*(example|placeholder|changeme|your[-_]?(api|key|token)|dummy|xxxx).*"),
-    re.compile(r"[A-Za-z]*([-_/=+]+[A-Za-z]*)*"),
-    re.compile(r"[0-9]*([-_/=+]+[0-9]*)*"),
+    re.compile(r"[A-Za-z_/=+-]*"),
+    re.compile(r"[0-9_/=+-]*"),
 )
 _LOG = [0.0, *(c * math.log2(c) for c in range(1, 65))]
 

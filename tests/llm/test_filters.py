@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -265,6 +266,14 @@ def test_secret_entropy():
         assert got == mask
 
 
+def test_secret_rulers():
+    """Long runs of signs that end in a digit or a letter are told from words by one pass, not by trying every split."""
+    start = time.perf_counter()
+    for ruler in ("-" * 60 + "1", "=" * 60 + "2024", "/_" * 40 + "9" + "-" * 40 + "a", "12" + "-" * 60 + "x"):
+        assert secret_scan.entropy_spans(ruler) == []
+    assert time.perf_counter() - start < 1
+
+
 def test_secrets_awkward(spark):
     rows = [(100 + i, t, "en", "a", None) for i, t in enumerate(SECRETS)]
     docs = awkward(spark).select("doc_id", "text", "lang", "source", "n_chars")
