@@ -1,10 +1,10 @@
 """Secrets in texts: three fixed patterns, and sliding-window Shannon entropy with an allow list.
 
-Candidate strings are long runs of the characters that keys are written in. In each, a window of
-fixed length slides over the string; the counts of its characters, and with them the sum of
-c * log2(c), are updated by the character that leaves and the one that enters. A window whose
-entropy reaches the threshold of its character class is suspicious; suspicious windows merge into
-spans. Spans that match the allow list are suppressed.
+Candidate strings are long runs of the characters that keys are written in, without the UUIDs and
+placeholders in them. In each, a window of fixed length slides over the strings of every character
+class; the counts of its characters, and with them the sum of c * log2(c), are updated by the
+character that leaves and the one that enters. A window whose entropy reaches the threshold of its
+class is suspicious; suspicious windows merge into spans. Spans that are words or numbers are suppressed.
 
 Defined results: a null or empty text has no spans; equal rows each get their own result; an empty
 table gives an empty result; other columns are left alone. Places are code points, ends exclusive.
@@ -31,24 +31,30 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KINDS = ("assign", "access", "hex", "entropy")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Character classes: name, its strings, window, least entropy in bits of a window.
+#: Character classes: name, its strings, window, least entropy in bits of a window, least pieces of a window. Every class is asked;
+#: those of 20 characters pass all but half a percent of random windows of their alphabet by entropy, and tell keys from words and
+#: dates by how often the kind of character changes.
 CLASSES = (
-    ("hex", re.compile(r"[0-9a-fA-F]+"), 24, 3.2),
-    ("base64", re.compile(r"[A-Za-z0-9+/=_-]+"), 24, 4.1),
-)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{24,}")
-#: Strings that are no secrets: UUIDs, placeholders, words joined by signs, and paths of words.
-ALLOWED = (
-    re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r"(?i).*(example|placeholder|changeme|your[-_]?(api|key|token)|dummy|xxxx).*"),
-    re.compile(r"[A-Za-z_/=+-]*"),
-    re.compile(r"[0-9_/=+-]*"),
+    ("hex", re.compile(r"(?<![A-Za-z0-9+/=_-])[0-9a-fA-F]{24,}(?![A-Za-z0-9+/=_-])"), 24, 3.2, 0),
+    ("base64", re.compile(r"[A-Za-z0-9+/=_-]{24,}"), 24, 4.1, 0),
+    ("short hex", re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{20,}(?![A-Za-z0-9])"), 20, 2.82, 4),
+    ("lower and digits", re.compile(r"(?<![A-Za-z0-9])[a-z0-9]{20,}(?![A-Za-z0-9])"), 20, 3.34, 4),
+    ("upper and digits", re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]{20,}(?![A-Za-z0-9])"), 20, 3.28, 2),
+    ("letters", re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{20,}(?![A-Za-z0-9])"), 20, 3.52, 6),
+    ("short base64", re.compile(r"[A-Za-z0-9+/=_-]{20,}"), 20, 3.58, 7),
 )
+CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
+#: A capitalised word, capitals or digits in a row.
+PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: Parts of a candidate that are no secrets and end what stands beside them: UUIDs and placeholders.
+PLAIN = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])|(?i:example|placeholder|changeme|your[-_]?(?:api|key|token)|dummy|x{4,})")
+#: Spans that are no secrets: words joined by signs and paths of words, unless of the class of letters; numbers.
+WORDS, NUMBERS = re.compile(r"[A-Za-z_/=+-]*"), re.compile(r"[0-9_/=+-]*")
 _LOG = [0.0, *(c * math.log2(c) for c in range(1, 65))]
 
 
-def suspicious(text: str, window: int, least: float) -> list[tuple[int, int]]:
-    """Spans of text covered by windows with an entropy of at least ``least`` bits."""
+def suspicious(text: str, window: int, least: float, pieces: int = 0) -> list[tuple[int, int]]:
+    """Spans of text covered by windows with an entropy of at least ``least`` bits and at least so many pieces."""
     if len(text) < window:
         return []
     counts: dict[str, int] = {}
@@ -66,6 +72,8 @@ def suspicious(text: str, window: int, least: float) -> list[tuple[int, int]]:
             counts[y] = c - 1
         if i >= window - 1 and total <= most:
             a = i - window + 1
+            if pieces and len(PIECE.findall(text, a, i + 1)) < pieces:
+                continue
             if spans and a <= spans[-1][1]:
                 spans[-1][1] = i + 1
             else:
@@ -73,17 +81,34 @@ def suspicious(text: str, window: int, least: float) -> list[tuple[int, int]]:
     return [(a, b) for a, b in spans]
 
 
+def parts_of(run: str) -> list[tuple[int, str]]:
+    """What is left of a candidate between its plain parts, with places."""
+    at, out = 0, []
+    for m in PLAIN.finditer(run):
+        out.append((at, run[at : m.start()]))
+        at = m.end()
+    return [*out, (at, run[at:])]
+
+
 def entropy_spans(text: str) -> list[tuple[int, int]]:
-    out = []
+    out: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
-        run = m.group()
-        if any(a.fullmatch(run) for a in ALLOWED):
-            continue
-        for _, members, window, least in CLASSES:
-            if members.fullmatch(run):
-                found = suspicious(run, window, least)
-                out += [(m.start() + a, m.start() + b) for a, b in found if not any(x.fullmatch(run[a:b]) for x in ALLOWED)]
-                break
+        found = []
+        for at, part in parts_of(m.group()):
+            if NUMBERS.fullmatch(part):
+                continue
+            for name, members, window, least, pieces in CLASSES:
+                for p in members.finditer(part):
+                    for a, b in suspicious(p.group(), window, least, pieces):
+                        if not NUMBERS.fullmatch(p.group(), a, b) and (name == "letters" or not WORDS.fullmatch(p.group(), a, b)):
+                            found.append((m.start() + at + p.start() + a, m.start() + at + p.start() + b))
+        last = -1
+        for a, b in sorted(found):  # spans of several classes that overlap are one
+            if a < last:
+                out[-1] = (out[-1][0], max(last, b))
+            else:
+                out.append((a, b))
+            last = out[-1][1]
     return out
 
 

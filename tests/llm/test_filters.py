@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import time
 import zlib
 from collections import Counter
@@ -274,6 +275,24 @@ def test_secret_rulers():
     assert time.perf_counter() - start < 1
 
 
+@pytest.mark.parametrize(("alphabet", "length", "least"), [
+    ("abcdefghijklmnopqrstuvwxyz0123456789", 20, 0.9), ("abcdefghijklmnopqrstuvwxyz0123456789", 32, 0.98), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 20, 0.95),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32, 0.98), ("0123456789ABCDEF", 20, 0.95), (string.ascii_letters, 24, 0.93), (string.ascii_letters + string.digits, 20, 0.95), (string.ascii_letters + string.digits + "+/", 24, 0.97),
+])
+def test_secret_recall(alphabet, length, least):
+    r = random.Random(7)
+    keys = ["".join(r.choice(alphabet) for _ in range(length)) for _ in range(1000)]
+    assert sum(bool(secret_scan.entropy_spans(f"see {k}.")) for k in keys) >= least * len(keys)
+
+
+def test_secret_allowed_parts():
+    key = "Zx9Kq2Lm8Vb4Nc7Wt5Rp1Ys6Dh3Jf0Ag"
+    for text in (f"example/{key}", f"{key}=dummy", f"your_api_key={key}", f"123e4567-e89b-12d3-a456-426614174000/{key}"):
+        assert any(key in text[a:b] for a, b in secret_scan.entropy_spans(text))
+    for text in ("123e4567-e89b-12d3-a456-426614174000", "id=123e4567-e89b-12d3-a456-426614174000", "some/path/of/plain/words/only/here", "docs/2024/quarterly-report-final", "getElementsByTagName", "document20240101draft", "2024-01-01_12-30-00_000001", "xxxxxxxxxxxxxxxxxxxxxxxxxxxx"):
+        assert secret_scan.entropy_spans(text) == []
+
+
 def test_secrets_awkward(spark):
     rows = [(100 + i, t, "en", "a", None) for i, t in enumerate(SECRETS)]
     docs = awkward(spark).select("doc_id", "text", "lang", "source", "n_chars")
