@@ -9,10 +9,9 @@ bucket go on as a spanning forest, never as all pairs. A bucket with too many fi
 to a grid of cells, each pair of its parts meeting in one cell, so that no task holds it whole.
 
 Sixty-four bits tell only very close copies (three bits stand for a cosine of about 0.99). For texts
-that share four fifths of their shingles, ``similar_documents`` uses 2048 bits of the set of five-word
-shingles, compared the same way with as many counters as the radius needs. Blocks of bits no longer
-find such pairs, so its buckets are bands of three least shingle hashes: two texts of similarity 0.8
-share at least one of nine bands with probability 0.998.
+that share four fifths of their shingles, ``similar_documents`` takes buckets from bands of three least
+hashes of the set of five-word shingles (two texts of similarity 0.8 share at least one of sixteen
+bands with probability 0.99999) and compares the sets of a bucket exactly.
 
 Defined results: a null, empty or blank text has no shingles and fingerprint zero, linked like any
 other; a text with fewer words than a shingle has one shingle, the whole; equal rows have equal
@@ -22,7 +21,6 @@ result; other columns are left alone.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,8 +43,11 @@ PART = 2048
 #: Words of a shingle and least similarity of sets of shingles for similar_documents.
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
+BANDS, BAND_ROWS = 16, 3
+#: Shingles that one part of a split bucket of long texts holds.
+MOST_SHINGLES = 4_000_000
+#: Bits of the widest fingerprints that the comparison is tested with.
 WIDE_BITS = 2048
-BANDS, BAND_ROWS = 9, 3
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -251,32 +252,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return printed.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def radius_of(similarity: float, bits: int = WIDE_BITS) -> int:
-    """Bits in which sets of shingles of that Jaccard similarity differ, with 1.7 standard deviations for chance."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * share + 1.7 * math.sqrt(bits * share * (1 - share)))
-
-
-def wide_sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint (WIDE_BITS bits as machine words) and band keys of a set of shingle hashes."""
-    odd = mix(np.arange(1, WIDE_BITS // 64 + BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-    seeds, turns = odd[: WIDE_BITS // 64], odd[WIDE_BITS // 64 :]
-    ones, least = np.zeros(WIDE_BITS, np.int64), np.full(len(turns), _ONES, np.uint64)
-    for a in range(0, len(hashes), 255):  # so that a byte holds each sum
-        h = hashes[a : a + 255]
-        rows = np.unpackbits(mix(h[:, None] * seeds).view(np.uint8), axis=1, bitorder="little")
-        ones += np.add.reduce(rows, axis=0, dtype=np.uint8)
-        least = np.minimum(least, mix(h[:, None] * turns).min(axis=0))
-    fp = np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of the bands of least hashes of a set of shingle hashes."""
+    turns = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+    least = np.full(len(turns), _ONES, np.uint64)
+    for a in range(0, len(hashes), 4096):
+        least = np.minimum(least, mix(hashes[a : a + 4096, None] * turns).min(axis=0))
     bands = least.reshape(BANDS, BAND_ROWS)
     keys = np.arange(BANDS, dtype=np.uint64)
     for k in range(BAND_ROWS):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + bands[:, k])
-    return fp, keys
+    return keys
 
 
-def wide_sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """id, fp (binary) and keys (array of long) of every text."""
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """id, shingles (the set of hashes in order, as binary), keys (array of long) of every text."""
     table = np.frombuffer(_LOWER, np.uint8)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -285,60 +275,90 @@ def wide_sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> Dat
         starts, ends, counts = word_bounds(buf, offsets, SPACE)
         words = word_hashes(buf, starts, ends)
         windows = rolling(words, size)
-        prints, keys = [], []
+        sets, keys = [], []
         for a, b in zip(counts[:-1].tolist(), counts[1:].tolist()):
-            if a == b:
-                prints.append(bytes(WIDE_BITS // 8))
-                keys.append([])
-                continue
-            fp, own = wide_sketch(np.unique(windows[a : b - size + 1]) if b - a >= size else rolling(words[a:b], b - a))
-            prints.append(fp.tobytes())
-            keys.append(own.view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=[id_col, "fp", "keys"])
-
-    return map_arrow(docs.select(F.col(id_col), F.col(text_col).alias("text")), run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, fp binary, keys array<long>")
-
-
-def similar_links(nodes: DataFrame, radius: int, part: int = PART) -> DataFrame:
-    """Edges u, v that connect all of ``nodes`` (distinct node, fp, keys) as their links do."""
-    keyed = nodes.select("node", F.explode("keys").alias("bucket"))
-    shared = keyed.groupBy("bucket").count().where("count > 1")
-    shared = materialize(shared.select("bucket", F.when(F.col("count") > 2 * part, F.ceil(F.col("count") / part)).otherwise(1).cast("int").alias("parts")), "shared")
-    dealt = deal_cells(keyed.join(shared, "bucket"), "node", part).join(nodes.select("node", "fp"), "node")
+            own = np.zeros(0, np.uint64) if a == b else np.unique(mix(windows[a : b - size + 1] if b - a >= size else rolling(words[a:b], b - a)))
+            sets.append(own.tobytes())
+            keys.append(band_keys(own).view(np.int64) if len(own) else [])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=[id_col, "shingles", "keys"])
+
+    return map_arrow(docs.select(F.col(id_col), F.col(text_col).alias("text")), run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, shingles binary, keys array<long>")
+
+
+def exact_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Edges (places) of a spanning forest of the pairs of sets whose Jaccard similarity is ``similarity`` or more."""
+    left, right = [], []
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    rest, mine = np.arange(len(sets)), np.zeros(len(names), bool)
+    ends = np.cumsum(sizes)
+    rows = [flat[e - s : e] for e, s in zip(ends, sizes)]
+    reached: list[int] = []
+    while len(rest):
+        i = reached.pop() if reached else int(rest[0])
+        rest = rest[rest != i]
+        near = rest[(np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i]))]
+        if not len(near):
+            continue
+        mine[rows[i]] = True
+        shared = np.add.reduceat(mine[np.concatenate([rows[j] for j in near])].astype(np.int64), np.r_[0, np.cumsum(sizes[near])[:-1]])
+        mine[rows[i]] = False
+        found = near[shared >= similarity * (sizes[near] + sizes[i] - shared)]
+        if len(found):
+            left += [i] * len(found)
+            right += found.tolist()
+            reached += found.tolist()
+            rest = np.setdiff1d(rest, found)
+    return left, right
+
+
+def similar_links(sketches: DataFrame, nodes: DataFrame, similarity: float, part: int = PART) -> DataFrame:
+    """Edges u, v that connect all of ``nodes`` (distinct node, n shingles, keys) as their exact links do.
+
+    Buckets with the same members are one; a bucket too large or too long goes to a grid of cells.
+    """
+    keyed = nodes.select("node", "n", F.explode("keys").alias("bucket"))
+    members = F.struct(F.bit_xor(F.xxhash64("node")), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")))
+    shared = keyed.groupBy("bucket").agg(F.count("*").alias("count"), F.sum("n").alias("weight"), F.xxhash64(members, F.count("*")).alias("same")).where("count > 1")
+    share = F.greatest(F.col("count") / part, F.col("weight") / MOST_SHINGLES)
+    shared = materialize(shared.select("bucket", "same", F.when(share > 2, F.ceil(share)).otherwise(1).cast("int").alias("parts")), "shared")
+    groups = keyed.join(shared, "bucket").select("node", F.col("same").alias("bucket"), "parts").distinct()
+    groups = materialize(deal_cells(groups, "node", part), "groups")
+    wanted = sketches.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles"))
+    dealt = groups.join(wanted, "node")
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WIDE_BITS // 64
-        rest = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, words), np.uint64))
+        bucket, node, sets = None, [], []
 
-        def out(b: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-            u, v = forest_rows(b, fp, radius)
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], names=["u", "v"])
+        def out() -> Iterator[pa.RecordBatch]:
+            if len(sets) > 1:
+                u, v = exact_forest(sets, similarity)
+                if u:
+                    own = np.array(node, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[u]), pa.array(own[v])], names=["u", "v"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, words)
-            b, node, fp = (np.concatenate(x) for x in zip(rest, (batch.column(0).to_numpy(), batch.column(1).to_numpy(), fp)))
-            end = int(np.searchsorted(b, b[-1]))  # the last bucket may go on
-            if end:
-                yield from out(b[:end], node[:end], fp[:end])
-            rest = (b[end:], node[end:], fp[end:])
-        if len(rest[0]):
-            yield from out(*rest)
+            for b, k, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if b != bucket:
+                    yield from out()
+                    bucket, node, sets = b, [], []
+                node.append(k)
+                sets.append(np.frombuffer(s.as_py(), np.uint64))
+        yield from out()
 
-    return dealt.select("bucket", "node", "fp").repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(forest, "u long, v long")
+    return dealt.select("bucket", "node", "shingles").repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(forest, "u long, v long")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = SIMILAR_SHINGLE) -> DataFrame:
-    """id, component_id: the smallest id reachable over pairs whose wide fingerprints say ``similarity`` or more.
+    """id, component_id: the smallest id reachable over pairs of texts whose sets of shingles have ``similarity`` or more.
 
-    Texts of one fingerprint are one node before any comparison, so copies cost no pairs. The
-    similarity is an estimate from 2048 bits: about 95 % of pairs at exactly 0.8 link, nearly all
-    from 0.83, one in seven at 0.75 and hardly any at 0.7.
+    Texts of one set are one node before any comparison, so copies cost no pairs. Least hashes only
+    say which texts are compared; every link is an exact Jaccard similarity. A pair at exactly 0.8
+    meets in a bucket with probability 0.99999.
     """
-    sketches = wide_sketches(docs, id_col, text_col, size).withColumn("node", F.xxhash64("fp"))
+    sketches = shingle_sets(docs, id_col, text_col, size).withColumn("node", F.xxhash64("shingles"))
     sketches = materialize(sketches, "sketches")
-    nodes = materialize(sketches.groupBy("node").agg(F.min(id_col).alias("first"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "nodes")
-    of = _named(nodes, components(similar_links(nodes, radius_of(similarity))), "node")
+    nodes = sketches.groupBy("node").agg(F.min(id_col).alias("first"), F.max((F.length("shingles") / 8).cast("long")).alias("n"), F.min("keys").alias("keys"))
+    nodes = materialize(nodes, "nodes")
+    of = _named(nodes, components(similar_links(sketches, nodes, similarity)), "node")
     return sketches.select(id_col, "node").join(of, "node").select(id_col, "component_id")

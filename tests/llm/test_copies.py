@@ -176,6 +176,41 @@ def test_similar_documents(spark, monkeypatch, part):
     assert [got[i] for i in range(len(texts))] == similar_brute(texts)
 
 
+def test_similar_documents_at_the_edge(spark):
+    """Short texts at and just under four fifths, pairs of long ones a little to either side, and a chain of the latter."""
+    r = np.random.default_rng(5)
+    texts = []
+    for k in range(150):
+        words = [f"e{k}x{x}" for x in r.integers(0, 1 << 30, 10)]
+        texts += [" ".join(words[:n]) for n in ((8, 9), (7, 8), (10, 11))[k % 3]]
+    for k in range(60):
+        words = [f"l{k}x{x}" for x in r.integers(0, 1 << 30, 204)]  # 200 shingles; 22 at the end replaced: 178 of 222, 0.802; 23: 0.794
+        other = [f"o{k}x{x}" for x in range(23)]
+        n = 22 + k % 2
+        texts += [" ".join(words), " ".join(words[: 204 - n] + other[:n])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame).collect()}
+    assert [got[i] for i in range(len(texts))] == similar_brute(texts)
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8])
+def test_exact_forest(similarity):
+    r = np.random.default_rng(6)
+    sets = [np.unique(r.choice(40, r.integers(1, 38), replace=False)).astype(np.uint64) for _ in range(120)]
+    sets += [np.setdiff1d(s, r.choice(s, 2)) for s in sets if len(s) > 5]
+    label = list(range(len(sets)))
+    for i, j in zip(*simhash.exact_forest(sets, similarity)):
+        a, b = sorted((label[i], label[j]))
+        label = [a if x == b else x for x in label]
+    want = list(range(len(sets)))
+    for i, x in enumerate(map(set, map(np.ndarray.tolist, sets))):
+        for j, y in enumerate(map(set, map(np.ndarray.tolist, sets[:i]))):
+            if len(x & y) >= similarity * len(x | y):
+                a, b = sorted((want[i], want[j]))
+                want = [a if z == b else z for z in want]
+    assert label == want
+
+
 def test_similar_documents_awkward(spark):
     rows = simhash.similar_documents(awkward(spark)).collect()
     assert len(rows) == awkward(spark).count()
