@@ -129,16 +129,19 @@ def ingest(inputs: DataFrame, embed, now: datetime) -> tuple[DataFrame, DataFram
     """New memories, their entities, and the inputs that were refused (with error).
 
     inputs: user_id, text, type, entities, metadata, screenshot, extracted_text. ``embed`` adds a
-    column embedding to a frame with a column text; equal texts are embedded once.
+    column embedding to a frame with a column text; equal texts are embedded once. Every stored row has
+    an id of its own: a digest of all its fields, and the number of the repeat among wholly equal rows.
     """
     moment = F.lit(now).cast("timestamp_ntz")
     checked = inputs.withColumn("error", text_error(F.col("text")))
     good = checked.where("error IS NULL").drop("error").withColumn("text", F.trim("text"))
+    fields = good.columns
+    counted = good.groupBy(*fields).agg(F.count("*").alias("__n"))
     vectors = embed(good.select("text").distinct())
-    held = good.join(vectors, "text", "left")
-    refused = checked.where("error IS NOT NULL").unionByName(held.where("embedding IS NULL").drop("embedding").withColumn("error", F.lit("no embedding")))
+    held = counted.join(vectors, "text", "left").withColumn("__repeat", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).drop("__n")
+    refused = checked.where("error IS NOT NULL").unionByName(held.where("embedding IS NULL").drop("embedding", "__repeat").withColumn("error", F.lit("no embedding")))
     millis = F.unix_millis(moment.cast("timestamp"))
-    stored = held.where("embedding IS NOT NULL").withColumn("id", memory_id(millis, F.concat_ws("\x1f", "user_id", "text")))
+    stored = held.where("embedding IS NOT NULL").withColumn("id", memory_id(millis, F.to_json(F.struct(*fields)), F.col("__repeat")))
     memories = stored.select(
         "id", "user_id", F.coalesce("type", F.lit("user_memory")).alias("type"), F.col("text").alias("source_text"), valid_metadata(F.col("metadata")).alias("metadata"),
         "screenshot", "extracted_text", "embedding", moment.alias("created_at"), moment.alias("updated_at"),

@@ -61,6 +61,7 @@ def valid_entities(entities: Column) -> Column:
     return F.slice(F.filter(F.coalesce(entities, F.array().cast("array<struct<type:string,value:string,entity_type:string,normalized:string>>")), ok), 1, MAX_ENTITIES)
 
 
-def memory_id(millis: Column, text: Column) -> Column:
-    """mem_<milliseconds>_<8 hexadecimal digits>, the digits from the text so that a rerun gives the same id."""
-    return F.concat(F.lit("mem_"), millis.cast("string"), F.lit("_"), F.substring(F.sha2(text, 256), 1, 8))
+def memory_id(millis: Column, text: Column, repeat: Column | None = None) -> Column:
+    """mem_<milliseconds>_<SHA-256 of the text>, from the second repeat on with its number, so that a rerun gives the same id."""
+    own = F.concat(F.lit("mem_"), millis.cast("string"), F.lit("_"), F.sha2(text, 256))
+    return own if repeat is None else F.when(repeat > 1, F.concat(own, F.lit("_"), repeat.cast("string"))).otherwise(own)

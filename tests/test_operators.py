@@ -191,6 +191,31 @@ def test_phrases(spark):
     assert put("n", "new", "sms", None, [1.0, -9.0], "user_answer") == ["n", "p1", "p2"]
 
 
+def test_ingest_gives_each_row_an_id(spark):
+    """Copies within a source, rows that differ in other fields alone, and refused ones, against counts by hand."""
+    kind = "user_id string, text string, type string, entities array<struct<type:string,value:string,entity_type:string,normalized:string>>, metadata string, screenshot string, extracted_text string"
+    e = [("T", "v", None, None), ("T", "w", None, None)]
+    rows = [("a", "same text", None, e, "{}", None, None)] * 5 + [("a", " same text", None, e[:1], "{}", None, None), ("b", "same text", None, [], "{}", None, None), ("a", "", None, e, "{}", None, None)]
+    embed = lambda texts: texts.withColumn("embedding", F.array(F.lit(1.0)))
+    memories, ents, refused = mutate.ingest(spark.createDataFrame(rows, kind), embed, NOW)
+    ids = [r.id for r in memories.collect()]
+    assert len(ids) == len(set(ids)) == 7 and refused.count() == 1
+    of = {r.memory_id: r["count"] for r in ents.groupBy("memory_id").count().collect()}
+    assert set(of) <= set(ids) and sorted(of.values()) == [1] + [2] * 5
+    assert sorted(r.id for r in mutate.ingest(spark.createDataFrame(rows[::-1], kind), embed, NOW)[0].collect()) == sorted(ids)
+
+
+def test_ingest_query(spark, sf_dir):
+    """As many rows as documents, each stored one with an id and one entity of its own."""
+    from engram.plans.upkeep import ingest_memories
+
+    docs = [r.text for r in views.table(spark, sf_dir, "documents").collect()]
+    good = [t for t in docs if t and len(t) <= 10_000 and t.strip(" ")]
+    got = ingest_memories(spark, sf_dir).collect()
+    stored = [r for r in got if r.error is None]
+    assert len(got) == len(docs) and len(stored) == len({r.id for r in stored}) == len(good) and {r.n_entities for r in stored} == {1}
+
+
 def test_update_keeps_type_and_creation(spark):
     base = spark.createDataFrame([("m1", "u", "note", "old", "{}", None, None, [0.0], NOW, NOW), ("m2", "u", "note", "rest", "{}", None, None, [0.0], NOW, NOW)], SCHEMAS["memory"])
     ents = spark.createDataFrame([("m1", "a"), ("m2", "b")], "memory_id string, entity string")
