@@ -81,6 +81,27 @@ def semantic_intent_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return mutate.upsert_intents(p.where("id % 2 = 0"), p.where("id % 40 = 1"), 0.25).select("id", "correct_intent")
 
 
+@query("""WITH b AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 2 = 0), c AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 2 = 1),
+  m AS (SELECT c.id AS change_id, b.id, round(list_cosine_similarity(b.v, c.v), 6) AS s FROM b, c), n AS (SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY s DESC, id) AS r FROM m WHERE s >= 0.25),
+  i AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, change_id DESC) AS r2 FROM n WHERE r = 1)
+  SELECT b.id, coalesce('prompt ' || i.change_id, 'prompt ' || b.id) AS prompt_text FROM b LEFT JOIN i ON i.id = b.id AND i.r2 = 1
+  UNION ALL SELECT c.id, 'prompt ' || c.id FROM c WHERE c.id NOT IN (SELECT change_id FROM n WHERE r = 1)""")
+def semantic_dedup_upsert_all(spark: SparkSession, sf: str) -> DataFrame:
+    p = views.vectors(spark, sf).select("id", F.lit("a,b").alias("tags"), F.concat(F.lit("prompt "), "id").alias("prompt_text"), "embedding", F.lit(EVENT_NOW).cast("timestamp_ntz").alias("updated_at"))
+    return mutate.upsert_prompts(p.where("id % 2 = 0"), p.where("id % 2 = 1"), 0.25).select("id", "prompt_text")
+
+
+@query("""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, CASE label % 3 WHEN 0 THEN 'web_search' WHEN 1 THEN 'memory_store' ELSE 'nonsense' END AS i FROM embeddings),
+  m AS (SELECT c.id, b.i AS stored, row_number() OVER (PARTITION BY c.id ORDER BY round(list_cosine_similarity(b.v, c.v), 6) DESC, b.id) AS r FROM v b, v c
+        WHERE b.id % 2 = 0 AND c.id % 2 = 1 AND c.i <> 'nonsense' AND round(list_cosine_similarity(b.v, c.v), 6) >= 0.25)
+  SELECT id, i AS correct_intent FROM v WHERE id % 2 = 0
+  UNION ALL SELECT v.id, v.i FROM v LEFT JOIN m ON m.id = v.id AND m.r = 1 WHERE v.id % 2 = 1 AND v.i <> 'nonsense' AND (stored IS NULL OR stored <> v.i)""")
+def semantic_intent_upsert_all(spark: SparkSession, sf: str) -> DataFrame:
+    intent = F.when(F.col("label") % 3 == 0, "web_search").when(F.col("label") % 3 == 1, "memory_store").otherwise("nonsense")
+    p = views.vectors(spark, sf).select("id", "embedding", intent.alias("correct_intent"))
+    return mutate.upsert_intents(p.where("id % 2 = 0"), p.where("id % 2 = 1"), 0.25).select("id", "correct_intent")
+
+
 @query("SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN 'patched' ELSE c_mktsegment END AS segment, c_acctbal AS balance FROM customer")
 def patch_update(spark: SparkSession, sf: str) -> DataFrame:
     c = views.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))

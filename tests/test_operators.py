@@ -191,6 +191,30 @@ def test_phrases(spark):
     assert put("n", "new", "sms", None, [1.0, -9.0], "user_answer") == ["n", "p1", "p2"]
 
 
+def test_semantic_upserts_take_every_row(spark, sf_dir):
+    """Stored rows and changes together are the whole table, and each change goes somewhere."""
+    from engram.plans import upkeep as plans
+
+    rows = {r.id: r for r in views.vectors(spark, sf_dir).select("id").collect()}
+    found = [r.prompt_text for r in plans.semantic_dedup_upsert_all(spark, sf_dir).collect()]
+    assert len(found) >= len(rows) // 2 and {f"prompt {i}" for i in rows} >= set(found)
+    changes = views.vectors(spark, sf_dir).where("id % 2 = 1").select("id", "embedding")
+    match = mutate.closest(views.vectors(spark, sf_dir).where("id % 2 = 0"), changes, -1.0)
+    assert match.count() == sum(i % 2 for i in rows)
+    assert "CartesianProduct" not in plan(match) and "BroadcastNestedLoop" not in plan(match)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_closest_in_blocks(spark, monkeypatch, kind):
+    monkeypatch.setattr(mutate, "CHANGES", 2)
+    frame = lambda ids, r: spark.createDataFrame([(i, [float(x) for x in r.normal(size=4)]) for i in ids], "id long, embedding array<float>").withColumn("id", F.col("id").cast(kind))
+    base, changes = frame(range(100, 140), np.random.default_rng(1)), frame(range(200, 211), np.random.default_rng(2))
+    got = {int(m.change_id): int(m.id) for m in mutate.closest(base, changes, -1.0).collect()}
+    unit = lambda df: {int(r.id): np.array(r.embedding) / np.linalg.norm(r.embedding) for r in df.collect()}
+    rows = unit(base)
+    assert got == {c: max(rows, key=lambda i: rows[i] @ v) for c, v in unit(changes).items()}
+
+
 def test_ingest_gives_each_row_an_id(spark):
     """Copies within a source, rows that differ in other fields alone, and refused ones, against counts by hand."""
     kind = "user_id string, text string, type string, entities array<struct<type:string,value:string,entity_type:string,normalized:string>>, metadata string, screenshot string, extracted_text string"
