@@ -38,8 +38,10 @@ def move_missing(source: DataFrame, target: DataFrame, moves) -> tuple[DataFrame
     return source.where(~F.coalesce(moves, F.lit(False))), new_target
 
 
-def rules_by_key(rules: DataFrame, keys: list[str]) -> DataFrame:
-    """Active rules of each key, best first."""
-    held = rules.where(F.lower(F.col("context_key")).isin([k.lower() for k in keys]) & (F.coalesce("status", F.lit("active")) == "active"))
+def rules_by_key(rules: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Active rules of each key, best first; of all keys where none are given."""
+    held = rules.where(F.coalesce("status", F.lit("active")) == "active")
+    if keys is not None:
+        held = held.where(F.lower(F.col("context_key")).isin([k.lower() for k in keys]))
     order = F.struct((-F.coalesce("priority", F.lit(0))).alias("p"), (-F.coalesce("verified_count", F.lit(0))).alias("v"), (-F.coalesce("hit_count", F.lit(0))).alias("h"), F.col("id"), F.col("rule_text"))
     return held.groupBy("context_key").agg(F.transform(F.sort_array(F.collect_list(order)), lambda r: r["rule_text"]).alias("rules"))

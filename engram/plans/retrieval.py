@@ -203,14 +203,20 @@ def anti_migrate(spark: SparkSession, sf: str) -> DataFrame:
     return left.withColumn("place", F.lit("memory")).unionByName(moved.withColumn("place", F.lit("episodic")))
 
 
-def group_rules_by_key(spark: SparkSession, sf: str) -> DataFrame:
-    p = views.table(spark, sf, "part")
-    rules = p.select(
+def _brand_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return views.table(spark, sf, "part").select(
         F.col("p_partkey").alias("id"), F.col("p_brand").alias("context_key"), F.col("p_name").alias("rule_text"), F.col("p_size").alias("priority"),
         (F.col("p_partkey") % 5).alias("verified_count"), (F.col("p_partkey") % 3).alias("hit_count"), F.when(F.col("p_partkey") % 7 == 0, "retired").when(F.col("p_partkey") % 2 == 0, "active").alias("status"),
     )
-    keys = [r.p_brand for r in p.select("p_brand").distinct().orderBy("p_brand").limit(5).collect()]
-    return enrich.rules_by_key(rules, keys).select("context_key", F.array_join("rules", "|").alias("rules"))
+
+
+def group_rules_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    keys = [r.p_brand for r in views.table(spark, sf, "part").select("p_brand").distinct().orderBy("p_brand").limit(5).collect()]
+    return enrich.rules_by_key(_brand_rules(spark, sf), keys).select("context_key", F.array_join("rules", "|").alias("rules"))
+
+
+def group_rules_all_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return enrich.rules_by_key(_brand_rules(spark, sf)).select("context_key", F.array_join("rules", "|").alias("rules"))
 
 
 def vector_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -297,6 +303,8 @@ ORACLES = {
       UNION ALL SELECT id, type, created_at, 'episodic' FROM captures WHERE type = 'click'"""),
     "group_rules_by_key": """SELECT p_brand AS context_key, string_agg(p_name, '|' ORDER BY p_size DESC, p_partkey % 5 DESC, p_partkey % 3 DESC, p_partkey) AS rules FROM part
       WHERE p_partkey % 7 <> 0 AND p_brand IN (SELECT DISTINCT p_brand FROM part ORDER BY p_brand LIMIT 5) GROUP BY p_brand""",
+    "group_rules_all_keys": """SELECT p_brand AS context_key, string_agg(p_name, '|' ORDER BY p_size DESC, p_partkey % 5 DESC, p_partkey % 3 DESC, p_partkey) AS rules FROM part
+      WHERE p_partkey % 7 <> 0 GROUP BY p_brand""",
     "vector_stats": """SELECT vec_id AS id, round(list_avg(e), 6) AS mean, round(list_stddev_pop(e), 6) AS stddev, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 4) AS norm,
       round(list_min(e), 6) AS least, round(list_max(e), 6) AS largest, len(e) AS dims FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)""",
     "vector_head": "SELECT vec_id AS id, round(embedding[1]::DOUBLE, 6) AS first, len(embedding[1:5]) AS shown, CASE WHEN embedding IS NULL THEN 'NULL' ELSE 'HAS_EMBEDDING' END AS status FROM embeddings",
@@ -308,6 +316,6 @@ QUERIES = {
         knn_topk, knn_page_offset, knn_threshold_lookup, knn_argmax_batch, recency_calendar, recency_elapsed, weighted_score, filter_time_range, filter_max_age, filter_in_notin, filter_json_path,
         filter_json_null, filter_like_session, filter_json_session, entity_ilike_any, distinct_entity_ids, list_paged, list_total_hasmore, multi_key_sort, conditional_sort_first, recent_capture,
         severity_sort, latest_one, session_best, episodic_dedup_hour, episodic_dedup_bm25, episodic_raw, bm25_scores, bm25_minmax, hybrid_fusion, hybrid_fusion_cut, enrich_entities, enrich_page,
-        health_left_join, semi_delete_entities, anti_keep_entities, anti_migrate, group_rules_by_key, vector_stats, vector_head, lsh_topk,
+        health_left_join, semi_delete_entities, anti_keep_entities, anti_migrate, group_rules_by_key, group_rules_all_keys, vector_stats, vector_head, lsh_topk,
     )
 }

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from engram.functions import embedding, ranking, text, vector
-from engram.operators import episodic, filters, folds, mutate, rules, search, upkeep
+from engram.operators import enrich, episodic, filters, folds, mutate, rules, search, upkeep
 from engram.schema import SCHEMAS, memory_id, migrate, text_error, valid_entities, valid_metadata
 from engram.sources import views
 from engram.streaming import captures as stream
@@ -191,6 +191,13 @@ def test_phrases(spark):
     assert put("n", "new", "sms", None, [1.0, -9.0], "user_answer") == ["n", "p1", "p2"]
 
 
+def test_rules_of_all_keys(spark):
+    kind = "id long, context_key string, rule_text string, priority int, verified_count int, hit_count int, status string"
+    rules_ = spark.createDataFrame([(i, f"k{i % 12}", f"r{i}", i, 0, 0, "retired" if i % 5 == 0 else None) for i in range(60)], kind)
+    got = {r.context_key: r.rules for r in enrich.rules_by_key(rules_).collect()}
+    assert got == {f"k{k}": [f"r{i}" for i in range(59, -1, -1) if i % 12 == k and i % 5] for k in range(12)}
+
+
 def test_semantic_upserts_take_every_row(spark, sf_dir):
     """Stored rows and changes together are the whole table, and each change goes somewhere."""
     from engram.plans import upkeep as plans
