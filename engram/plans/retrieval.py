@@ -118,6 +118,11 @@ def severity_sort(spark: SparkSession, sf: str) -> DataFrame:
     return filters.top(s, F.desc("severity"), F.asc("s_suppkey"), limit=40)
 
 
+def severity_sort_all(spark: SparkSession, sf: str) -> DataFrame:
+    s = views.table(spark, sf, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 3 == 0, "soft").otherwise("hard").alias("severity"))
+    return s.orderBy(F.desc("severity"), F.asc("s_suppkey"))
+
+
 def latest_one(spark: SparkSession, sf: str) -> DataFrame:
     return filters.top(views.captures(spark, sf), F.desc("created_at"), F.asc("id"), limit=1).select("id", "created_at")
 
@@ -280,6 +285,7 @@ ORACLES = {
     "conditional_sort_first": with_views("captures", rest="SELECT id, metadata, created_at FROM captures ORDER BY CASE WHEN k = '7' THEN 0 ELSE 1 END, created_at DESC, id LIMIT 5"),
     "recent_capture": with_views("captures", rest="SELECT id, metadata, created_at FROM captures WHERE created_at >= TIMESTAMP '2024-01-20' - INTERVAL 86400 SECOND ORDER BY CASE WHEN k = '5' THEN 0 ELSE 1 END, created_at DESC, id LIMIT 1"),
     "severity_sort": "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 = 0 THEN 'soft' ELSE 'hard' END AS severity FROM supplier ORDER BY severity DESC, s_suppkey LIMIT 40",
+    "severity_sort_all": "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 = 0 THEN 'soft' ELSE 'hard' END AS severity FROM supplier ORDER BY severity DESC, s_suppkey",
     "latest_one": with_views("captures", rest="SELECT id, created_at FROM captures ORDER BY created_at DESC, id LIMIT 1"),
     "session_best": with_views("captures", rest="SELECT id, user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, id) AS r FROM captures) WHERE r <= 3"),
     "episodic_dedup_hour": with_views("captures", rest="SELECT type, k AS key_k, date_trunc('hour', created_at) AS hour, min(id) AS id, min(user_id) AS user_id, min(created_at) AS created_at, min(value) AS least_value, count(*) AS captures FROM captures GROUP BY type, k, date_trunc('hour', created_at)"),
@@ -315,7 +321,7 @@ QUERIES = {
     for f in (
         knn_topk, knn_page_offset, knn_threshold_lookup, knn_argmax_batch, recency_calendar, recency_elapsed, weighted_score, filter_time_range, filter_max_age, filter_in_notin, filter_json_path,
         filter_json_null, filter_like_session, filter_json_session, entity_ilike_any, distinct_entity_ids, list_paged, list_total_hasmore, multi_key_sort, conditional_sort_first, recent_capture,
-        severity_sort, latest_one, session_best, episodic_dedup_hour, episodic_dedup_bm25, episodic_raw, bm25_scores, bm25_minmax, hybrid_fusion, hybrid_fusion_cut, enrich_entities, enrich_page,
+        severity_sort, severity_sort_all, latest_one, session_best, episodic_dedup_hour, episodic_dedup_bm25, episodic_raw, bm25_scores, bm25_minmax, hybrid_fusion, hybrid_fusion_cut, enrich_entities, enrich_page,
         health_left_join, semi_delete_entities, anti_keep_entities, anti_migrate, group_rules_by_key, group_rules_all_keys, vector_stats, vector_head, lsh_topk,
     )
 }

@@ -191,6 +191,14 @@ def test_phrases(spark):
     assert put("n", "new", "sms", None, [1.0, -9.0], "user_answer") == ["n", "p1", "p2"]
 
 
+def test_severity_sort_of_all_rows(spark, tmp_path):
+    from engram.plans.retrieval import severity_sort_all
+
+    spark.range(100).select(F.col("id").alias("s_suppkey"), F.col("id").cast("string").alias("s_name")).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = [r.s_suppkey for r in severity_sort_all(spark, str(tmp_path)).collect()]
+    assert got == [i for i in range(100) if i % 3 == 0] + [i for i in range(100) if i % 3]
+
+
 def test_rules_of_all_keys(spark):
     kind = "id long, context_key string, rule_text string, priority int, verified_count int, hit_count int, status string"
     rules_ = spark.createDataFrame([(i, f"k{i % 12}", f"r{i}", i, 0, 0, "retired" if i % 5 == 0 else None) for i in range(60)], kind)
