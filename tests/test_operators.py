@@ -110,6 +110,15 @@ def test_lookup_many(spark, block):
     assert {(m.query_id, m.id) for m in search.lookup_many(frame, asked, 0.2, 2, block, others_only=True).collect()} == want
 
 
+def test_approximate_recall(spark, sf_dir):
+    """The index against brute force for the query set."""
+    rows = views.vectors(spark, sf_dir).select("id", "embedding").cache()
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    want = {(r.query_id, r.id) for r in search.lookup_many(rows, asked, -1.0, limit=25).collect()}
+    got = {(q.query_id, r.id) for q in asked.collect() for r in search.approximate_nearest(rows, [float(x) for x in q.query_embedding]).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_recency_rules_differ_near_midnight(spark):
     row = spark.createDataFrame([(datetime(2024, 4, 30, 23), datetime(2024, 5, 1, 1))], "c timestamp_ntz, n timestamp_ntz")
     got = row.select(ranking.recency_calendar(F.col("c"), F.col("n")), ranking.recency_elapsed(F.col("c"), F.col("n"))).first()
