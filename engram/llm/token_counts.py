@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.llm.arrow import map_arrow
-from engram.llm.encoding import Encoder
+from engram.llm.encoding import SEGMENT, Encoder
 from engram.storage import materialize
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,11 +27,11 @@ def encoded_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id and n_tokens of each whole text."""
 
     def lengths(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = Encoder.of(tokenizer).encode(batch.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64())], names=[id_col, "n_tokens"])
+        _, before = Encoder.of(tokenizer).encode(batch.column(1), ids=False)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(before), pa.int64())], names=[id_col, "n_tokens"])
 
     wanted = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    return map_arrow(wanted, lengths, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long")
+    return map_arrow(wanted, lengths, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long", SEGMENT)
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:

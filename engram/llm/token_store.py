@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm.arrow import slices
-from engram.llm.encoding import Encoder
+from engram.llm.encoding import SEGMENT, Encoder
 from engram.storage import new_folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -75,7 +75,7 @@ class Writer:
         self.sink, self.bits, self.at, self.ids = sink, bits, 0, 0
         self.zip = zstandard.ZstdCompressor(level=LEVEL)
         self.index: list[bytes] = []
-        self.held: list[bytes] = []
+        self.held: list[np.ndarray] = []
         self.held_ids = 0
         self._put(MAGIC)
 
@@ -89,21 +89,21 @@ class Writer:
         for p in packed:
             self._put(p)
 
-    def add(self, ids: bytes) -> None:
-        """Ids of a document as little-endian 32-bit bytes, the end id included."""
-        self.held.append(ids)
-        self.held_ids += len(ids) // 4
-        self.ids += len(ids) // 4
+    def add(self, ids: np.ndarray) -> None:
+        """Further ids, of as many documents as may be, their end ids included."""
+        self.held.append(np.asarray(ids, "<u4"))
+        self.held_ids += len(ids)
+        self.ids += len(ids)
         if self.held_ids >= BLOCK:
-            whole = np.frombuffer(b"".join(self.held), "<u4")
+            whole = np.concatenate(self.held)
             used = len(whole) // BLOCK * BLOCK
             for a in range(0, used, BLOCK):
                 self._block(whole[a : a + BLOCK])
-            self.held, self.held_ids = [whole[used:].tobytes()], len(whole) - used
+            self.held, self.held_ids = [whole[used:].copy()], len(whole) - used
 
     def close(self, documents: pa.Table) -> None:
         if self.held_ids:
-            self._block(np.frombuffer(b"".join(self.held), "<u4"))
+            self._block(np.concatenate(self.held))
         stream = io.BytesIO()
         with pa.ipc.new_stream(stream, documents.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(documents)
@@ -149,22 +149,19 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 
     The texts are dealt by ranges of the id and sorted within them, so files follow each other.
     """
-    end = struct.pack("<I", end_id)
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, fs, name, writer, sink, ids, sizes = TaskContext.get().partitionId(), None, "", None, None, [], []
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, SEGMENT):
                 if writer is None:
                     name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.tok"
                     fs, path = open_path(name)
                     sink = fs.open_output_stream(path)
                     writer = Writer(sink, bits)
-                encoded = Encoder.of(tokenizer).encode(batch.column(1).to_pylist())
-                for x in encoded:
-                    writer.add(x + end)
+                encoded, before = Encoder.of(tokenizer).encode(batch.column(1))
+                writer.add(np.insert(encoded, before[1:], end_id))
                 ids.append(batch.column(0))
-                sizes.append(pa.array([len(x) // 4 + 1 for x in encoded], pa.int64()))
+                sizes.append(pa.array(np.diff(before) + 1, pa.int64()))
         if writer is not None:
             writer.close(pa.table([pa.chunked_array(ids), pa.chunked_array(sizes)], names=["id", "n_tokens"]))
             sink.close()

@@ -11,8 +11,8 @@ import pyarrow as pa
 import pyarrow.fs
 import pytest
 
-from engram.llm import bpe, queries, token_counts, token_store
-from engram.llm.encoding import Encoder, chunks
+from engram.llm import bpe, encoding, queries, token_counts, token_store
+from engram.llm.encoding import Encoder
 from engram.storage import new_folder
 
 from .fixtures import awkward, empty
@@ -20,18 +20,16 @@ from .fixtures import awkward, empty
 PARTS = ["a", "B", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "'", "'s", "'re", "1", "²", "!", "é", "日", "　", "word", "ab,", "c.\nD", "\n ", "_", "<|endoftext|>", "😀"]
 
 
-def texts(n, seed, most=80):
+def texts(n, seed, most=80, parts=PARTS):
     r = random.Random(seed)
-    return ["".join(r.choice(PARTS) for _ in range(r.randrange(most))) for _ in range(n)]
+    return ["".join(r.choice(parts) for _ in range(r.randrange(most))) for _ in range(n)]
 
 
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @pytest.fixture(scope="module")
@@ -43,25 +41,47 @@ def ids_of(library, text):
     return library.encode(text or "", add_special_tokens=False).ids
 
 
-def test_chunks_join():
-    for t in texts(2000, 1):
-        assert " ".join(chunks(t)) == t
+def encoded(encoder, some):
+    flat, before = encoder.encode(pa.array(some, pa.string()))
+    assert encoder.encode(pa.array(some, pa.string()), ids=False)[1].tolist() == before.tolist()
+    return [flat[a:b].tolist() for a, b in zip(before, before[1:])]
 
 
-def test_encoder_is_the_library(library):
+LETTERS = [chr(c) for c in [*range(1, 0x250), *range(0x370, 0x530), 0x1680, 0x200B, 0x2028, 0x3000]]
+
+
+@pytest.mark.parametrize("parts", [PARTS, PARTS[:-2], LETTERS + [" "] * 60 + ["'", "\n"] * 20 + list("abcdefghijklmnopqrstuvwxyz") * 5])
+def test_encoder_is_the_library(library, parts):
+    """The library as it is loaded, on whole texts; added tokens included."""
     e = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    some = texts(3000, 2)
-    for got, t in zip(e.encode(some), some):
-        assert np.frombuffer(got, "<u4").tolist() == ids_of(library, t), repr(t)
+    some = [None, "", *texts(3000, 2, 30, parts), "a <|endoftext|> b", "<|endoftext|>"]
+    assert e.cuts
+    for got, t in zip(encoded(e, some), some):
+        assert got == ids_of(library, t), repr(t)
 
 
-def test_encoder_memo_is_bounded(library, monkeypatch):
-    from engram.llm import encoding
+def test_encoder_of_another_file():
+    """A file with other steps than byte-level pieces is left to the library."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e, some = Encoder(path), texts(200, 6, 30)
+    assert not e.cuts and encoded(e, some) == [ids_of(Tokenizer.from_file(path), t) for t in some]
 
+
+def test_encoder_memo_is_bounded(library, monkeypatch):
     monkeypatch.setattr(encoding, "MEMO_ENTRIES", 20)
     e = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     for t in texts(200, 3):
-        assert np.frombuffer(e.encode([t])[0], "<u4").tolist() == ids_of(library, t)
+        assert encoded(e, [t])[0] == ids_of(library, t) and len(e.known) <= 20
+
+
+def test_encoder_cuts_long_texts(library, monkeypatch):
+    monkeypatch.setattr(encoding, "SEGMENT", 300)
+    e = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    some = ["".join(texts(1, 9, 4000, PARTS[:-2])), "x" * 70000 + " y " + "z " * 3000, "", "a b", " " * 5000]
+    assert encoded(e, some) == [ids_of(library, t) for t in some]
+    assert len(encoding.segments(np.frombuffer(some[1].encode(), np.uint8), 300)) > 10
 
 
 def brute_limits(lengths):
@@ -128,7 +148,7 @@ def test_token_file_blocks_and_damage(tmp_path, monkeypatch):
     with open(path, "wb") as f:
         w = token_store.Writer(f)
         for k in range(7):
-            w.add(np.arange(k * 3, dtype="<u4").tobytes())
+            w.add(np.arange(k * 3, dtype="<u4"))
         w.close(pa.table({"id": list(range(7)), "n_tokens": [k * 3 for k in range(7)]}))
     documents, blocks = token_store.read_file(pa.fs.LocalFileSystem().open_input_file(str(path)))
     assert documents.num_rows == 7 and np.concatenate(list(blocks)).tolist() == [x for k in range(7) for x in range(k * 3)]
