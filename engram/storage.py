@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local: dict[str, str] = {}
+_made = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +32,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(hadoop)
     fs.deleteOnExit(hadoop)
+    for folders in getattr(_made, "open", ()):
+        folders.append(path)
     return path
 
 
@@ -55,6 +60,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The frame that ``make`` gives, written; the folders of the phases on the way to it are removed."""
+    folders: list[str] = []
+    _made.open = [*getattr(_made, "open", ()), folders]
+    try:
+        df = make()
+    finally:
+        _made.open = _made.open[:-1]
+    out = materialize(df, name)
+    for path in folders:
+        remove_folder(spark, path)
+    return out
+
+
 def with_row_key(df: DataFrame, id_col: str = "doc_id", key: str = "row_key") -> DataFrame:
     """Add a column that is unique per row and the same whenever the frame is read again.
 
