@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +61,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def filtered_joins(spark: SparkSession) -> Iterator[None]:
+    """Let Spark put a Bloom filter of a small side's keys (8 MB at most) before the shuffle of a large one, whatever their sizes."""
+    own = {
+        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+        "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1t",
+    }
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def settle(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The frame that ``make`` gives, written; the folders of the phases on the way to it are removed."""
     folders: list[str] = []
