@@ -9,6 +9,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local: dict[str, str] = {}
@@ -16,10 +18,12 @@ _made = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where unset (local runs)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one where unset, in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = "file://" + tempfile.mkdtemp(prefix="engram-")
@@ -96,12 +100,12 @@ def settle(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> Dat
 def with_row_key(df: DataFrame, id_col: str = "doc_id", key: str = "row_key") -> DataFrame:
     """Add a column that is unique per row and the same whenever the frame is read again.
 
-    Where ids are unique and not null, the key is the id. Otherwise (a check over the id
-    column alone tells) the rows are written once with generated numbers, so that repeated
-    ids, null ids and wholly repeated rows stay apart in later joins.
+    Where ids are whole numbers, unique and not null, the key is the id. Otherwise (a check over
+    the id column alone tells) the rows are written once with generated numbers, so that repeated
+    ids, null ids and wholly repeated rows stay apart in later joins. A column of that name is replaced.
     """
-    from pyspark.sql import functions as F
-
+    if not isinstance(df.schema[id_col].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        return materialize(df.withColumn(key, F.monotonically_increasing_id()), "keyed")
     ids = df.select(F.col(id_col).cast("long").alias("i")).groupBy("i").count()
     worst = ids.agg(F.max(F.when(F.col("i").isNull(), F.lit(2)).otherwise(F.col("count")))).first()[0]
     if worst is None or worst <= 1:

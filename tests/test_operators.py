@@ -401,3 +401,35 @@ def test_overlay_text(spark):
     lines = folds.overlay(state, traits).first().overlay.split("\n")
     assert lines[3] == "Mood: content (valence: 0.20, arousal: 0.00)" and "User interests: maps" in lines and not any("projects" in x for x in lines)
     assert lines[-2] == 'Speaker profile: male adult — address as "sir" when appropriate'
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    """Without spark.checkpoint.dir only a local session gets a temporary folder."""
+    from types import SimpleNamespace as Stub
+
+    from engram.storage import shared_dir
+
+    def session(master, named):
+        return Stub(conf=Stub(get=lambda key, default: named), sparkContext=Stub(getConf=lambda: {}, master=master, applicationId="stub"))
+
+    assert shared_dir(session("spark://host:7077", "s3://bucket/folder/")) == "s3://bucket/folder"
+    assert shared_dir(session("local[2]", None)).startswith("file:")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(session(master, None))
+
+
+def test_settled_phases_are_removed(spark):
+    """Only the settled frame's folder is left of what was written on the way."""
+    import os
+
+    from engram.storage import materialize, settle, shared_dir
+
+    root = shared_dir(spark).removeprefix("file:").replace("//", "/") + "/engram"
+
+    def make():
+        return materialize(materialize(spark.range(5), "first"), "second").where("id > 1")
+
+    out = settle(spark, "kept", make)
+    left = [f for f in os.listdir(root) if f.startswith(("first", "second", "kept"))]
+    assert out.count() == 3 and len(left) == 1 and left[0].startswith("kept")
