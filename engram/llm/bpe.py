@@ -4,8 +4,8 @@ A text is scanned in chunks that overlap. The scan of a chunk starts at any plac
 boundaries may be wrong; but the pattern looks only forward, so from the first boundary that it
 shares with the scan before it, all of its boundaries are right. Boundaries near the end of a chunk
 are not trusted, as the pattern may look ahead. Where two scans share no boundary in the overlap,
-the scan goes on from the last sure boundary. Short texts are one chunk. Texts above LONG_CHARS are
-cut into rows, so that the chunks of one text are scanned by many tasks and then stitched.
+the scan goes on from the last sure boundary. Texts of up to CHUNK characters are one chunk. Texts
+above LONG_CHARS are cut into rows, so that many tasks scan one text, whose scans are then stitched.
 
 Defined results: a null or empty text has no ids and decodes to nothing; equal rows each get their
 own result; an empty table gives an empty result; other columns are left alone. A text is a valid
@@ -16,7 +16,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import uuid
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -25,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm.arrow import map_arrow
-from engram.storage import with_row_key
+from engram.storage import materialize
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Characters in a chunk, and of those the overlap with the next one.
-CHUNK, OVERLAP = 1 << 16, 1 << 10
+CHUNK, OVERLAP = 1 << 12, 1 << 7
 #: Longer texts are scanned by many tasks; characters of a row there.
 LONG_CHARS, ROW_CHARS = 1 << 24, 1 << 20
 #: The pattern's longest look beyond a match ('ll and the like after a quote).
@@ -81,11 +84,11 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def ends(self, text: str, start: int, stop: int) -> list[int]:
-        """Ends of the matches in text[start:stop], scanned from start."""
-        return [m.end() for m in self.pattern.finditer(text, start, stop)]
+        """Ends of the matches in text[start:stop], scanned from start; they follow each other without gaps."""
+        return list(accumulate(map(len, self.pattern.findall(text, start, stop)), initial=start))[1:]
 
 
-def stitch(scans: list[tuple[int, int, list[int]]], size: int, rescan) -> list[int]:
+def stitch(scans: list[tuple[int, int, list[int]]], size: int, rescan: Callable[[int, int], list[int]]) -> list[int]:
     """True ends of all matches, from the scans of overlapping chunks (start, stop, ends), in order.
 
     rescan(a, b) gives the ends of a scan of [a, b).
@@ -93,34 +96,36 @@ def stitch(scans: list[tuple[int, int, list[int]]], size: int, rescan) -> list[i
     sure: list[int] = []
     at = 0  # the last sure boundary
     for start, stop, ends in scans:
-        last = stop >= size
-        if start <= at:
-            own = {start, *ends}
-            while at not in own:  # the chunk before has sure boundaries up to its own end only
-                more = [e for e in rescan(at, min(size, at + OVERLAP)) if e + LOOK <= at + OVERLAP or at + OVERLAP >= size]
-                if not more:
-                    own = None
-                    break
-                if at > stop - LOOK:
-                    own = None
-                    break
-                found = next((k for k, e in enumerate(more) if e in own), None)
-                take = more if found is None else more[: found + 1]
-                sure += take
-                at = take[-1]
-        else:
-            own = None
-        if own is None:
-            ends = rescan(at, stop)
-        trusted = [e for e in ends if e > at and (last or e + LOOK <= stop)]
-        if trusted:
-            sure += trusted
-            at = trusted[-1]
+        # go on from the last sure boundary until the chunk's own scan has one of them
+        while at != start and not _has(ends, at):
+            there = min(size, at + OVERLAP)
+            more = rescan(at, there)
+            more = more[: _trusted(more, there, size)]
+            if not more or at > stop - LOOK:
+                ends = rescan(at, stop)
+                break
+            found = next((k for k, e in enumerate(more) if _has(ends, e)), len(more) - 1)
+            sure += more[: found + 1]
+            at = sure[-1]
+        own = ends[bisect_right(ends, at) : _trusted(ends, stop, size)]
+        if own:
+            sure += own
+            at = own[-1]
     if at < size:
         sure += rescan(at, size)
     return sure
 
 
+def _has(ends: list[int], at: int) -> bool:
+    k = bisect_left(ends, at)
+    return k < len(ends) and ends[k] == at
+
+
+def _trusted(ends: list[int], stop: int, size: int) -> int:
+    """How many of the ends hold whatever follows ``stop``."""
+    return len(ends) if stop >= size else bisect_right(ends, stop - LOOK)
+
+
 def pre_tokens(text: str, codec: Codec, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
     """The matches of the pattern in a whole text."""
     if len(text) <= chunk:
@@ -157,14 +162,27 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
         form = pa.string() if digests else pa.binary()
         return pa.RecordBatch.from_arrays([keys, pa.array(counts, pa.int64()), pa.array(ids, form), pa.array(decoded, form)], names=[id_col, *names])
 
-    def whole(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def first(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Results of texts of up to long_chars; the others cut into overlapping rows, under a fresh key each."""
         codec = Codec.of(ranks, pattern)
-        yield result(batch.column(0), (pre_tokens(x or "", codec, chunk, overlap) for x in batch.column(1).to_pylist()))
+        texts = [x or "" for x in batch.column(1).to_pylist()]
+        short = [k for k, x in enumerate(texts) if len(x) <= long_chars]
+        done = result(batch.column(0).take(pa.array(short, pa.int64())), (pre_tokens(texts[k], codec, chunk, overlap) for k in short))
+        nothing = [pa.nulls(len(short), kind) for kind in (pa.string(), pa.int64(), pa.string())]
+        yield pa.RecordBatch.from_arrays([*done.columns, *nothing], names=[*done.schema.names, "key", "start", "part"])
+        for k in sorted(set(range(len(texts))) - set(short)):
+            key = uuid.uuid4().hex
+            for start in range(0, len(texts[k]), row_chars - overlap):
+                empty = [pa.nulls(1, kind) for kind in done.schema.types[1:]]
+                own = [pa.array([key]), pa.array([start], pa.int64()), pa.array([texts[k][start : start + row_chars]], pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *empty, *own], names=[*done.schema.names, "key", "start", "part"])
+                if start + row_chars >= len(texts[k]):
+                    break
 
     def scan(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(ranks, pattern)
         ends = [codec.ends(x, 0, len(x)) for x in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.list_(pa.int32()))], names=[*batch.schema.names, "ends"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.list_(pa.int32()))], names=[id_col, "key", "start", "text", "ends"])
 
     def join(table: pa.Table) -> pa.Table:
         codec, rows = Codec.of(ranks, pattern), sorted(table.select(["start", "text", "ends"]).to_pylist(), key=lambda r: r["start"])
@@ -176,15 +194,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
         scans = [(r["start"], r["start"] + len(r["text"]), [r["start"] + e for e in r["ends"]]) for r in rows]
         return pa.Table.from_batches([result(table.column(id_col).combine_chunks()[:1], iter([cut(text, stitch(scans, size, lambda a, b: codec.ends(text, a, b)))]))])
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    short = map_arrow(docs.where(F.length(text) <= long_chars).select(F.col(id_col), text.alias("text")), whole, schema)
-    if long_chars is None:
-        return short
-    long = docs.where(F.length(text) > long_chars).select(F.col(id_col), text.alias("whole"))
-    if long.isEmpty():
-        return short
-    step = row_chars - overlap
-    rows = with_row_key(long, id_col, "row_key").select(id_col, "row_key", "whole", F.explode(F.expr(f"sequence(0L, length(whole) - 1L, {step}L)")).alias("start"))
-    rows = rows.select(id_col, "row_key", "start", F.expr(f"substring(whole, int(start) + 1, {row_chars})").alias("text")).repartition("row_key", "start")
-    scanned = map_arrow(rows, scan, f"{id_col} {kind}, row_key long, start long, text string, ends array<int>")
-    return short.unionByName(scanned.groupBy("row_key").applyInArrow(join, schema))
+    wanted = docs.select(F.col(id_col), F.col(text_col).alias("text"))
+    passed = materialize(map_arrow(wanted, first, f"{schema}, key string, start long, part string"), "encoded")
+    rows = passed.where(F.col("key").isNotNull()).select(id_col, "key", "start", F.col("part").alias("text")).repartition("key", "start")
+    scanned = map_arrow(rows, scan, f"{id_col} {kind}, key string, start long, text string, ends array<int>")
+    return passed.where(F.col("key").isNull()).select(id_col, *names).unionByName(scanned.groupBy("key").applyInArrow(join, schema))
