@@ -8,7 +8,8 @@ document (positional bound) and leave room for the window's words (length bound)
 compared exactly.
 
 The benchmark is taken in blocks of bounded size (BLOCK_BYTES of text), each of which is sent to all
-tasks; any number of blocks may be needed. The corpus is never dealt out for the join.
+tasks; any number of blocks may be needed, and the driver holds one at a time. The corpus is never
+dealt out for the join; with several blocks their hits are written and joined once.
 
 Defined results: null and empty texts have no words; items without words have no windows; equal
 item ids are one item; a null item id is written as "null"; equal rows each get their own result; an
@@ -19,8 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm import arrow
-from engram.storage import materialize, with_row_key
+from engram.storage import new_folder, with_row_key
 
 WINDOW = 10
 #: Words in a shingle (fewer in windows of fewer words).
@@ -144,15 +144,34 @@ class Block:
         return np.diff(counts), found
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
-    """Items (id as a string, text) in blocks of about ``block_bytes``; only one block is held at once."""
-    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).alias("t"))
-    size = F.octet_length(F.coalesce("t", F.lit(""))) + 64
-    total = items.agg(F.sum(size)).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
+def block_count(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
+    """Blocks of about ``block_bytes`` that the items make."""
+    size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 64
+    return max(1, -(-(benchmark.agg(F.sum(size)).first()[0] or 0) // block_bytes))
+
+
+def item_block(benchmark: DataFrame, k: int, n: int, id_col: str = "item_id") -> list[tuple[str, str | None]]:
+    """Items (id as a string, text) of block k of n."""
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"), F.col("text").alias("t"))
+    block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else items
+    return [(r.i, r.t) for r in block.collect()]  # block_bytes of text
+
+
+def block_hits(keyed: DataFrame, key: str, benchmark: DataFrame, n: int, window: int = WINDOW) -> DataFrame:
+    """key, spans and items of the texts that a block's windows occur in, written block by block; the driver holds one at a time."""
+    path = new_folder(keyed.sparkSession, "hits")
+    schema = f"{key} long, spans array<struct<a: long, b: long>>, items array<string>"
     for k in range(n):
-        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else items
-        yield [(r.i, r.t) for r in block.collect()]
+        block = prepared(keyed, item_block(benchmark, k, n), window)
+
+        def run(batch: pa.RecordBatch, block: Block = block) -> Iterator[pa.RecordBatch]:
+            _, found = block.hits(batch.column(0))
+            at = sorted(found)
+            span = pa.array([[{"a": a, "b": b} for a, b in found[k][0]] for k in at], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at, pa.int64())), span, pa.array([sorted(found[k][1]) for k in at], pa.list_(pa.string()))], names=[key, "spans", "items"])
+
+        arrow.map_arrow(keyed.select("text", key), run, schema).write.parquet(f"{path}/block={k}")
+    return keyed.sparkSession.read.schema(schema).parquet(*(f"{path}/block={k}" for k in range(n)))
 
 
 def prepared(docs: DataFrame, items: list[tuple[str, str | None]], window: int = WINDOW) -> Block:
@@ -200,9 +219,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """id, n_words, n_hit, n_items, items_sha256, contaminated."""
     kind = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    blocks = [prepared(plain, items, window) for items in item_blocks(benchmark, block_bytes=block_bytes)]
-    if len(blocks) == 1:
-        block = blocks[0]
+    n = block_count(benchmark, block_bytes)
+    if n == 1:
+        block = prepared(plain, item_block(benchmark, 0, 1), window)
 
         def whole(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             n, found = block.hits(batch.column(1))
@@ -212,18 +231,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         return arrow.map_arrow(plain, whole, f"{id_col} {kind}, {_TYPES}")
 
     keyed = with_row_key(plain, id_col)
-
-    def part(block: Block) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
-        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            _, found = block.hits(batch.column(0))
-            at = sorted(found)
-            span = pa.array([[{"a": a, "b": b} for a, b in found[k][0]] for k in at], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at, pa.int64())), span, pa.array([sorted(found[k][1]) for k in at], pa.list_(pa.string()))], names=["row_key", "spans", "items"])
-
-        return run
-
-    parts = [materialize(arrow.map_arrow(keyed.select("text", "row_key"), part(b), "row_key long, spans array<struct<a: long, b: long>>, items array<string>"), "hits") for b in blocks]
-    hits = reduce(DataFrame.unionByName, parts).groupBy("row_key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    hits = block_hits(keyed, "row_key", benchmark, n, window).groupBy("row_key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         counts = text_words(batch.column(2))[3]
@@ -238,16 +246,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return arrow.map_arrow(counted.join(hits, "row_key", "left").select(id_col, "n", "spans", "items"), finish, f"{id_col} {kind}, {_TYPES}")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` (text in column text) in which no window of the benchmark occurs; each block is one pass."""
-    for items in item_blocks(benchmark, block_bytes=block_bytes):
-        block = prepared(docs, items, window)
-
-        def keep(batch: pa.RecordBatch, block: Block = block) -> Iterator[pa.RecordBatch]:
-            _, found = block.hits(batch.column(batch.schema.get_field_index("text")))
-            mask = np.ones(batch.num_rows, bool)
-            mask[list(found)] = False
-            yield batch.filter(pa.array(mask))
-
-        docs = arrow.map_arrow(docs, keep, docs.schema)
-    return docs
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` (text in column text) in which no window of the benchmark occurs."""
+    n = block_count(benchmark, block_bytes)
+    if n > 1:
+        key = "__row_key"
+        while key in docs.columns:
+            key += "_"
+        keyed = with_row_key(docs, id_col, key)
+        return keyed.join(block_hits(keyed, key, benchmark, n, window), key, "left_anti").select(*docs.columns)
+    block = prepared(docs, item_block(benchmark, 0, 1), window)
+
+    def keep(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        _, found = block.hits(batch.column(batch.schema.get_field_index("text")))
+        mask = np.ones(batch.num_rows, bool)
+        mask[list(found)] = False
+        yield batch.filter(pa.array(mask))
+
+    return arrow.map_arrow(docs, keep, docs.schema)
