@@ -10,7 +10,7 @@ Files are written under names of their task attempts; only those of finished tas
 manifest, so a lost executor or a second attempt leaves nothing that is read.
 
 Defined results: a null or empty text holds the end id alone; null ids come first; equal ids follow
-each other by text; an empty table gives an empty manifest and result; other columns are left alone.
+each other by a hash of the text; an empty table gives an empty manifest and result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -141,13 +141,27 @@ def read_file(source) -> tuple[pa.Table, Iterator[np.ndarray]]:
 
 
 def open_path(path: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
+    """Arrow's file system for a path with a scheme."""
+    scheme, _, rest = path.partition("://")
+    return pa.fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else path)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder with its scheme, as Spark itself would read it; an error where workers cannot open files there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    try:
+        open_path(full)
+    except (ValueError, OSError, pa.ArrowException) as e:
+        raise ValueError(f"token files need a folder that Arrow can open; {full} is none: {e}") from e
+    return full
 
 
 def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, bits: bool = False) -> list[dict]:
     """Write the files; the manifest has one entry a file, in order: file, n_docs, n_ids, start.
 
-    The texts are dealt by ranges of the id and sorted within them, so files follow each other.
+    The texts are dealt by ranges of the id and a hash of the text, so that many rows of one id
+    (or none) are split, and sorted within them, so files follow each other.
     """
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, fs, name, writer, sink, ids, sizes = TaskContext.get().partitionId(), None, "", None, None, [], []
@@ -167,7 +181,9 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             sink.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [sum(map(len, sizes))], "n_ids": [writer.ids]})
 
-    dealt = docs.select(F.col(id_col), F.col(text_col).alias("text")).repartitionByRange(id_col).sortWithinPartitions(id_col, "text")
+    folder = qualified(docs.sparkSession, folder)
+    dealt = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("turn")).repartitionByRange(id_col, "turn")
+    dealt = dealt.sortWithinPartitions(id_col, "turn", "text").select(id_col, "text")
     rows = dealt.mapInArrow(write, "part long, file string, n_docs long, n_ids long").collect()  # one row a file
     manifest, start = [], 0
     for r in sorted(rows):
