@@ -25,8 +25,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (four fifths of their five-word shingles in common) keep the document with the smallest id."""
     keyed = with_row_key(docs, "doc_id", KEY)
-    groups = simhash.similar_documents(keyed, KEY, "text")
-    kept = groups.where(f"{KEY} = component_id").select(KEY)
+    kept = simhash.similar_rows(keyed, KEY).where(f"{KEY} = group").select(KEY)
     return keyed.join(kept, KEY, "left_semi").select(*docs.columns)
 
 

@@ -9,9 +9,11 @@ bucket go on as a spanning forest, never as all pairs. A bucket with too many fi
 to a grid of cells, each pair of its parts meeting in one cell, so that no task holds it whole.
 
 Sixty-four bits tell only very close copies (three bits stand for a cosine of about 0.99). For texts
-that share four fifths of their shingles, ``similar_documents`` takes buckets from bands of three least
-hashes of the set of five-word shingles (two texts of similarity 0.8 share at least one of sixteen
-bands with probability 0.99999) and compares the sets of a bucket exactly.
+that share four fifths of their five-word shingles, ``similar_documents`` makes fingerprints of 1,024
+bits from their sets of shingles, and buckets from bands of three least hashes (two texts of similarity
+0.8 share at least one of sixteen bands with probability 0.99999). The bit-sliced comparison within
+buckets, with a radius that a pair of similarity 0.8 passes with probability 1e-6, leaves groups of
+texts that may be similar; only their sets are made and compared, exactly.
 
 Defined results: a null, empty or blank text has no shingles and fingerprint zero, linked like any
 other; a text with fewer words than a shingle has one shingle, the whole; equal rows have equal
@@ -21,6 +23,7 @@ result; other columns are left alone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from engram.llm.arrow import SPACE, map_arrow, mix, rolling, text_bytes, word_bounds, word_hashes
 from engram.llm.components import components
-from engram.storage import materialize
+from engram.storage import filtered_joins, materialize, settle, with_row_key
 
 RADIUS = 3
 SHINGLE = 3
@@ -44,10 +47,12 @@ PART = 2048
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 16, 3
-#: Shingles that one part of a split bucket of long texts holds.
+#: Bits of their fingerprints, and nodes that one part of a split bucket of them holds.
+WIDE_BITS, WIDE_PART = 1024, 400
+#: Sets of fewer shingles are compared whatever their fingerprints, whose bits depend on single shingles.
+FEW = 16
+#: Shingles that one part of a split group holds.
 MOST_SHINGLES = 4_000_000
-#: Bits of the widest fingerprints that the comparison is tested with.
-WIDE_BITS = 2048
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -198,7 +203,7 @@ def bucket_forest(bucket: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> t
     return fp[u], fp[v]
 
 
-def deal_cells(keyed: DataFrame, node: str, part: int) -> DataFrame:
+def deal_cells(keyed: DataFrame, node: str) -> DataFrame:
     """Deal rows of columns bucket, parts and ``node`` to cells: a bucket of one part is a cell; of more, each pair of parts meets in one."""
     split = keyed.withColumn("own", F.pmod(F.xxhash64(node), F.coalesce("parts", F.lit(1))).cast("int"))
     cells = F.expr("CASE WHEN coalesce(parts, 1) = 1 THEN array(bucket) ELSE transform(filter(sequence(0, parts - 1), x -> x <> own), x -> xxhash64(bucket, least(x, own), greatest(x, own))) END")
@@ -214,7 +219,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFrame
     hot = keyed.groupBy("bucket").count().where(F.col("count") > 2 * part).select("bucket", F.ceil(F.col("count") / part).cast("int").alias("parts"))
     hot = materialize(hot, "hot")
     if not hot.isEmpty():
-        keyed = deal_cells(keyed.join(hot, "bucket", "left"), "fp", part)
+        keyed = deal_cells(keyed.join(hot, "bucket", "left"), "fp")
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest_b, rest_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -252,37 +257,97 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return printed.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """Keys of the bands of least hashes of a set of shingle hashes."""
-    turns = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-    least = np.full(len(turns), _ONES, np.uint64)
-    for a in range(0, len(hashes), 4096):
-        least = np.minimum(least, mix(hashes[a : a + 4096, None] * turns).min(axis=0))
-    bands = least.reshape(BANDS, BAND_ROWS)
+def radius_of(similarity: float, bits: int = WIDE_BITS) -> int:
+    """Bits in which sets of shingles of at least that Jaccard similarity differ at most, but for a chance of 1e-6."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + 6 * math.sqrt(bits * share * (1 - share)))
+
+
+def wide_sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprint (WIDE_BITS bits as machine words) and band keys of a set of shingle hashes."""
+    odd = mix(np.arange(1, WIDE_BITS // 64 + BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+    seeds, turns = odd[: WIDE_BITS // 64], odd[WIDE_BITS // 64 :]
+    ones, least = np.zeros(WIDE_BITS, np.int64), np.full(len(turns), _ONES, np.uint64)
+    for a in range(0, len(hashes), 255):  # so that a byte holds each sum
+        h = hashes[a : a + 255, None]
+        ones += np.add.reduce(np.unpackbits(mix(h * seeds).view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+        least = np.minimum(least, mix(h * turns).min(axis=0))
     keys = np.arange(BANDS, dtype=np.uint64)
-    for k in range(BAND_ROWS):
-        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + bands[:, k])
-    return keys
+    for band in least.reshape(BANDS, BAND_ROWS).T:
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + band)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64), keys
+
 
+def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """The set of hashes, in order, of each text's lower-cased shingles."""
+    buf, offsets = text_bytes(column)
+    buf = np.frombuffer(_LOWER, np.uint8)[buf]
+    starts, ends, counts = word_bounds(buf, offsets, SPACE)
+    words = word_hashes(buf, starts, ends)
+    windows = rolling(words, size)
+    for a, b in zip(counts[:-1].tolist(), counts[1:].tolist()):
+        yield np.zeros(0, np.uint64) if a == b else np.unique(mix(windows[a : b - size + 1] if b - a >= size else rolling(words[a:b], b - a)))
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """id, shingles (the set of hashes in order, as binary), keys (array of long) of every text."""
-    table = np.frombuffer(_LOWER, np.uint8)
+
+def wide_sketches(keyed: DataFrame, key: str, size: int) -> DataFrame:
+    """key, node (hash of the set of shingles), n (shingles), fp (wide fingerprint) and keys (of its buckets) of every text."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        buf, offsets = text_bytes(batch.column(1))
-        buf = table[buf]
-        starts, ends, counts = word_bounds(buf, offsets, SPACE)
-        words = word_hashes(buf, starts, ends)
-        windows = rolling(words, size)
-        sets, keys = [], []
-        for a, b in zip(counts[:-1].tolist(), counts[1:].tolist()):
-            own = np.zeros(0, np.uint64) if a == b else np.unique(mix(windows[a : b - size + 1] if b - a >= size else rolling(words[a:b], b - a)))
-            sets.append(own.tobytes())
-            keys.append(band_keys(own).view(np.int64) if len(own) else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=[id_col, "shingles", "keys"])
+        from xxhash import xxh64_intdigest
+
+        node, n, prints, keys = [], [], [], []
+        for own in shingle_sets(batch.column(1), size):
+            fp, bands = wide_sketch(own) if len(own) else (np.zeros(WIDE_BITS // 64, np.uint64), np.zeros(0, np.uint64))
+            node.append(xxh64_intdigest(own.tobytes(), SEED))
+            n.append(len(own))
+            prints.append(fp.tobytes())
+            keys.append(bands.view(np.int64))
+        columns = [batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=[key, "node", "n", "fp", "keys"])
+
+    return map_arrow(keyed.select(key, "text"), run, f"{key} long, node long, n long, fp binary, keys array<long>")
 
-    return map_arrow(docs.select(F.col(id_col), F.col(text_col).alias("text")), run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, shingles binary, keys array<long>")
+
+def near_pairs(nodes: DataFrame, similarity: float, part: int = WIDE_PART) -> DataFrame:
+    """Edges u, v (u < v) that connect all of ``nodes`` (distinct node; n, fp, keys) whose sketches do not rule out ``similarity``.
+
+    Buckets with the same members are one. Sets of few shingles pass on their buckets alone, the
+    others if their fingerprints are near; a bucket too large goes to a grid of cells.
+    """
+    keyed = nodes.select("node", "n", F.explode("keys").alias("bucket"))
+    members = F.struct(F.bit_xor(F.xxhash64("node")), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")))
+    shared = keyed.groupBy("bucket").agg(F.count("*").alias("count"), F.xxhash64(members, F.count("*")).alias("same")).where("count > 1")
+    shared = materialize(shared.select("bucket", "same", F.when(F.col("count") > 2 * part, F.ceil(F.col("count") / part)).otherwise(1).cast("int").alias("parts")), "shared")
+    groups = materialize(keyed.join(shared, "bucket").select("node", "n", F.col("same").alias("bucket"), "parts").distinct(), "groups")
+    few = groups.where(F.col("n") < FEW).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    least = few.groupBy("bucket").agg(F.min("node").alias("u"), F.min("parts").alias("parts"))
+    least = least.select("bucket", "u", F.explode(F.expr("sequence(0, parts - 1)")).alias("own"))  # one for each part of a large bucket
+    stars = few.join(least, ["bucket", "own"]).where("u < node").select("u", F.col("node").alias("v"))
+    dealt = deal_cells(groups.where(F.col("n") >= FEW - FEW // 4).select("node", "bucket", "parts"), "node").join(nodes.select("node", "fp"), "node")
+    radius, words = radius_of(similarity), WIDE_BITS // 64
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, words), np.uint64))
+
+        def out(b: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+            i, j = forest_rows(b, fp, radius)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, words)
+            b, node, fp = (np.concatenate(x) for x in zip(rest, (batch.column(0).to_numpy(), batch.column(1).to_numpy(), fp)))
+            end = int(np.searchsorted(b, b[-1]))  # the last bucket may go on
+            if end:
+                yield from out(b[:end], node[:end], fp[:end])
+            rest = (b[end:], node[end:], fp[end:])
+        if len(rest[0]):
+            yield from out(*rest)
+
+    found = dealt.select("bucket", "node", "fp").repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(forest, "u long, v long")
+    return found.unionByName(stars).distinct()
 
 
 def exact_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -312,20 +377,8 @@ def exact_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int],
     return left, right
 
 
-def similar_links(sketches: DataFrame, nodes: DataFrame, similarity: float, part: int = PART) -> DataFrame:
-    """Edges u, v that connect all of ``nodes`` (distinct node, n shingles, keys) as their exact links do.
-
-    Buckets with the same members are one; a bucket too large or too long goes to a grid of cells.
-    """
-    keyed = nodes.select("node", "n", F.explode("keys").alias("bucket"))
-    members = F.struct(F.bit_xor(F.xxhash64("node")), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")))
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("count"), F.sum("n").alias("weight"), F.xxhash64(members, F.count("*")).alias("same")).where("count > 1")
-    share = F.greatest(F.col("count") / part, F.col("weight") / MOST_SHINGLES)
-    shared = materialize(shared.select("bucket", "same", F.when(share > 2, F.ceil(share)).otherwise(1).cast("int").alias("parts")), "shared")
-    groups = keyed.join(shared, "bucket").select("node", F.col("same").alias("bucket"), "parts").distinct()
-    groups = materialize(deal_cells(groups, "node", part), "groups")
-    wanted = sketches.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles"))
-    dealt = groups.join(wanted, "node")
+def cell_links(dealt: DataFrame, similarity: float) -> DataFrame:
+    """Edges u, v of the exact links within cells; dealt: bucket, node, shingles. A task holds one cell at a time."""
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, node, sets = None, [], []
@@ -349,16 +402,90 @@ def similar_links(sketches: DataFrame, nodes: DataFrame, similarity: float, part
     return dealt.select("bucket", "node", "shingles").repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(forest, "u long, v long")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = SIMILAR_SHINGLE) -> DataFrame:
-    """id, component_id: the smallest id reachable over pairs of texts whose sets of shingles have ``similarity`` or more.
+def pair_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose sets (node, shingles) have the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    first = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
+    second = sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
+    return pairs.join(first, "u").join(second, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+
+
+def large_links(sets: DataFrame, pairs: DataFrame, similarity: float, part: int) -> DataFrame:
+    """Exact links of groups too large for one task; sets: node, root (the group), n, shingles.
+
+    First at most three pairs a node are asked, so that a group of copies falls together at a cost in
+    proportion to its size. What a group's largest part does not hold then is compared with the whole
+    group, in a grid of cells.
+    """
+    node = sets.select("node", "root", "n")
+    own = pairs.join(node.select(F.col("node").alias("v")), "v", "left_semi").groupBy("v").agg(F.array(F.min("u"), F.max("u"), F.min_by("u", F.xxhash64("u", "v"))).alias("u"))
+    sure = materialize(pair_links(own.select(F.explode(F.array_distinct("u")).alias("u"), "v"), sets, similarity), "sure")
+    label = node.join(components(sure).withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    label = materialize(label, "labels")
+    size = label.groupBy("root", "label").agg(F.count("*").alias("count"), F.sum("n").alias("weight"))
+    main = size.groupBy("root").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("root", "main")
+    split = label.join(materialize(main, "main"), "root").withColumn("other", F.col("label") != F.col("main"))
+    held = lambda side: F.ceil(F.greatest(F.lit(1), F.count_if(side) / part, F.sum(F.when(side, F.col("n")).otherwise(0)) / MOST_SHINGLES)).cast("int")
+    parts = split.groupBy("root").agg(held(~F.col("other")).alias("p"), held(F.col("other")).alias("q"))
+    cells = F.expr("""CASE WHEN other THEN concat(transform(sequence(0, p - 1), i -> xxhash64(root, i, pmod(xxhash64(node), q))),
+        transform(filter(sequence(0, q - 1), j -> j <> pmod(xxhash64(node), q)), j -> xxhash64(root, 'others', least(j, pmod(xxhash64(node), q)), greatest(j, pmod(xxhash64(node), q)))))
+        ELSE transform(sequence(0, q - 1), j -> xxhash64(root, int(pmod(xxhash64(node), p)), bigint(j))) END""")
+    dealt = split.join(materialize(parts, "parts"), "root").select("node", F.explode(cells).alias("bucket")).join(sets.select("node", "shingles"), "node")
+    return sure.unionByName(cell_links(dealt, similarity))
+
+
+def exact_links(keyed: DataFrame, key: str, nodes: DataFrame, pairs: DataFrame, similarity: float, size: int, part: int) -> DataFrame:
+    """Edges u, v that connect ``nodes`` as the exact links among those do that ``pairs`` connect; one text of each node is read again."""
+    found = components(pairs).join(nodes.select("node", "n", F.col("first_key").alias(key)), "node")
+    found = materialize(found, "found")
+    large = found.groupBy("root").agg(F.count("*").alias("count"), F.sum("n").alias("weight")).where((F.col("count") > 2 * part) | (F.col("weight") > MOST_SHINGLES))
+    large = materialize(large.select("root", F.lit(True).alias("large")), "large")
+    wanted = keyed.select(key, "text").join(found.where("n > 0").join(large, "root", "left"), key).select("node", "root", "n", F.coalesce("large", F.lit(False)).alias("large"), "text")
 
-    Texts of one set are one node before any comparison, so copies cost no pairs. Least hashes only
-    say which texts are compared; every link is an exact Jaccard similarity. A pair at exactly 0.8
-    meets in a bucket with probability 0.99999.
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sets = pa.array([x.tobytes() for x in shingle_sets(batch.column(4), size)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], sets], names=["node", "root", "n", "large", "shingles"])
+
+    with filtered_joins(keyed.sparkSession):  # few of the texts are wanted
+        sets = materialize(map_arrow(wanted, run, "node long, root long, n long, large boolean, shingles binary"), "sets")
+    small = cell_links(sets.where("NOT large").withColumnRenamed("root", "bucket"), similarity)
+    return small if large.isEmpty() else small.unionByName(large_links(sets.where("large"), pairs, similarity, part))
+
+
+def similar_rows(keyed: DataFrame, key: str, text_col: str = "text", similarity: float = SIMILARITY, size: int = SIMILAR_SHINGLE, part: int = WIDE_PART) -> DataFrame:
+    """key, group: the smallest key reachable over pairs of texts whose sets of shingles have ``similarity`` or more.
+
+    key is a column of distinct longs. Texts of one set are one node before any comparison, so copies
+    cost no pairs. Sketches only say which texts are compared; every link is an exact Jaccard
+    similarity. A pair at exactly 0.8 is compared with probability 0.99998.
     """
-    sketches = shingle_sets(docs, id_col, text_col, size).withColumn("node", F.xxhash64("shingles"))
-    sketches = materialize(sketches, "sketches")
-    nodes = sketches.groupBy("node").agg(F.min(id_col).alias("first"), F.max((F.length("shingles") / 8).cast("long")).alias("n"), F.min("keys").alias("keys"))
-    nodes = materialize(nodes, "nodes")
-    of = _named(nodes, components(similar_links(sketches, nodes, similarity)), "node")
-    return sketches.select(id_col, "node").join(of, "node").select(id_col, "component_id")
+    spark = keyed.sparkSession
+    keyed = keyed.select(key, F.col(text_col).alias("text"))
+
+    def groups() -> DataFrame:
+        sketches = materialize(wide_sketches(keyed, key, size), "sketches")
+        nodes = sketches.groupBy("node").agg(F.min(key).alias("first_key"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys"))
+        nodes = materialize(nodes, "nodes")
+        pairs = materialize(near_pairs(nodes, similarity, part), "pairs")
+        links = exact_links(keyed, key, nodes, pairs, similarity, size, part)
+        of = _named(nodes.withColumnRenamed("first_key", "first"), components(links), "node")
+        return sketches.select(key, "node").join(of, "node").select(key, F.col("component_id").alias("group"))
+
+    return settle(spark, "similar", groups)
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = SIMILAR_SHINGLE) -> DataFrame:
+    """id, component_id: the smallest id reachable over pairs of texts whose sets of shingles have ``similarity`` or more."""
+    keyed = with_row_key(docs.select(F.col(id_col), F.col(text_col).alias("text")), id_col)
+    named = keyed.select("row_key", id_col).join(similar_rows(keyed, "row_key", "text", similarity, size), "row_key")
+    lowest = named.groupBy("group").agg(F.min(id_col).alias("component_id"))
+    return named.join(lowest, "group").select(id_col, "component_id")
