@@ -7,7 +7,9 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from engram.llm import queries, simhash, substring_dedup
 from engram.llm.components import components
 
@@ -124,7 +126,7 @@ def test_bit_sliced(radius):
         assert simhash.within(planes, lag, len(fp), radius).tolist() == want
 
 
-@pytest.mark.parametrize("radius", [150, 337])
+@pytest.mark.parametrize("radius", [150, 224])
 def test_bit_sliced_wide(radius):
     r = np.random.default_rng(2)
     bits = np.repeat(r.integers(0, 2, (1, simhash.WIDE_BITS), dtype=np.uint8), 200, axis=0)
@@ -158,7 +160,7 @@ def edited(words, edits, r):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("part", [2, 2048])
+@pytest.mark.parametrize("part", [2, 400])
 def test_similar_documents(spark, monkeypatch, part):
     """Copies with few edits fall together whatever the grid of cells; ones with many edits and others stay apart."""
     r = np.random.default_rng(3)
@@ -170,7 +172,7 @@ def test_similar_documents(spark, monkeypatch, part):
             texts += [edited(words, max(1, length // 130), r) for _ in range(4)] if length > 100 else []
             texts += [edited(words, length // 12, r) for _ in range(2)]
     texts += [None, "", " \t", "one", "One", "one two", "one two three four five six"]
-    monkeypatch.setattr(simhash.similar_links, "__defaults__", (part,))
+    monkeypatch.setattr(simhash.similar_rows, "__defaults__", (*simhash.similar_rows.__defaults__[:-1], part))
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame).collect()}
     assert [got[i] for i in range(len(texts))] == similar_brute(texts)
@@ -228,3 +230,16 @@ def test_empty(spark):
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
     assert simhash.near_duplicates(empty(spark)).count() == 0
     assert simhash.similar_documents(empty(spark)).count() == 0
+
+
+def test_text_ids(spark):
+    """Ids need not be numbers."""
+    frame = awkward(spark).withColumn("doc_id", F.concat(F.lit("b"), F.col("doc_id").cast("string")))
+    rows = frame.select("doc_id", "text").collect()
+    want = Counter((r.doc_id, *x) for r, x in zip(rows, removed_brute([r.text for r in rows], 35)))
+    assert Counter(map(tuple, substring_dedup.remove_repeats(frame).collect())) == want
+    check_simhash(frame, simhash.near_duplicates(frame))
+    of = {r.doc_id: r.component_id for r in simhash.similar_documents(frame).collect()}
+    assert of["b8"] == of["b1"] == "b1" and of["b11"] == "b10" and len(of) == 13
+    for name, stage in corpus_pipeline.STAGES[1:2]:
+        assert stage(spark, frame, "").count() == len(set(similar_brute([r.text for r in rows]))), name

@@ -140,6 +140,55 @@ def test_toxicity_query(spark, sf_dir):
     assert all(r.held_out == held(r.doc_id) and r.predicted == int(r.score >= 0.5) for r in out)
 
 
+def features_brute(text, lexicon):
+    """The dense features once more, from their definitions."""
+    text = text or ""
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    weight = [lexicon.weight(w) for w in words]
+    strong = [i for i, x in enumerate(weight) if x >= 2.5]
+    you = [i for i, w in enumerate(words) if w in toxicity.SECOND]
+    near = sum(any(abs(i - j) <= 5 for j in you) for i in strong)
+    most = max((sum(a <= j < a + 50 for j in strong) for a in strong), default=0)
+    mixed = [m for m in (x.strip(".,;:!?") for x in re.split(r"\s", text)) if re.fullmatch(r"[^\W\d_]+[\d@$!*]+[^\W\d_]+", m)]
+    plain = [w for m in mixed for w in re.findall(r"[^\W\d_]+", "".join(dict(zip("013457@$!", "oieastasi")).get(c, c) for c in m.lower()))]
+    upper, lower, chars, n = len(re.findall("[A-Z]", text)), len(re.findall("[a-z]", text)), max(1, len(text)), max(1, len(words))
+    share = lambda signs: sum(text.count(c) for c in signs) / chars
+    return [
+        len(strong) / n, math.log1p(len(strong)), sum(x > 0 for x in weight) / n, math.log1p(sum(x > 0 for x in weight)), sum(weight) / n, max(weight, default=0.0),
+        len({words[i] for i in strong}), most, near / n, near / max(1, len(strong)), len(you) / n, upper / max(1, upper + lower), upper / chars, share("!"), share("?"),
+        text.count("!!") / chars, share("#$%&*<>@^|~"), len(mixed) / n, sum(lexicon.weight(w) >= 2.5 for w in plain) / n, math.log1p(len(words)), (upper + lower) / chars, share("0123456789"),
+    ]
+
+
+def score_brute(model, text):
+    """Trees walked node by node, and the calibration's line between its two neighbours."""
+    x, raw = features_brute(text, model.lexicon), model.trees.base
+    for feature, limit, leaf in zip(model.trees.features, model.trees.thresholds, model.trees.leaves):
+        node = 0
+        while node < len(feature):
+            node = 2 * node + (2 if x[feature[node]] > limit[node] else 1)
+        raw += leaf[node - len(feature)]
+    at, share = model.shares.at.tolist(), model.shares.share.tolist()
+    k = sum(a <= raw for a in at)
+    if k == 0 or k == len(at):
+        return share[0 if k == 0 else -1]
+    return share[k - 1] + (share[k] - share[k - 1]) * (raw - at[k - 1]) / (at[k] - at[k - 1])
+
+
+def test_toxicity_scores_and_held_out_accuracy(spark):
+    """Whole tables: every score against the plain scorer, and a floor under what held-out labels say of them."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels")
+    model = toxicity.train(docs, labels)
+    score = {r.doc_id: r.score for r in queries.op6_toxicity(spark, sf).collect()}
+    for r in docs.collect():
+        assert score[r.doc_id] == pytest.approx(score_brute(model, r.text), abs=1e-9)
+    known = [(score[r.doc_id], r.toxic) for r in labels.collect() if held(r.doc_id)]
+    bad, good = [s for s, y in known if y], [s for s, y in known if not y]
+    area = sum((a > b) + (a == b) / 2 for a in bad for b in good) / (len(bad) * len(good))
+    assert len(bad) >= 5 and area >= 0.98 and sum((s >= 0.5) != y for s, y in known) <= 0.05 * len(known)
+
+
 def test_trees_and_calibration():
     r = np.random.default_rng(0)
     x = r.normal(size=(600, 4))
@@ -216,6 +265,39 @@ def test_contamination_query(spark, sf_dir):
         assert out[d.doc_id][1:] == (len(w), sum(mask), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), any(mask))
 
 
+def test_contamination_of_many_blocks(spark, monkeypatch):
+    """One block at a time on the driver, a fixed number of jobs for each, and the rows of one block; text ids."""
+    import gc
+    import weakref
+
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(r.choice(words) for _ in range(r.randrange(1, 40)))) for i in range(60)]
+    rows = [(f"id {i}", " ".join([r.choice(words) for _ in range(30)] + (items[i % 60][1].split()[3:18] if i % 3 else []) + ["end"])) for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([*rows, rows[1]], "doc_id string, text string").coalesce(2)
+    alive, most, blocks = weakref.WeakSet(), [], []
+    plain = decontaminate.prepared
+
+    def watched(*args):
+        block = plain(*args)
+        gc.collect()
+        alive.add(block)
+        blocks.append(None)
+        most.append(len(alive))
+        return block
+
+    monkeypatch.setattr(decontaminate, "prepared", watched)
+    spark.sparkContext.setJobGroup("blocks", "blocks")
+    got = Counter(map(tuple, decontaminate.find_contamination(docs, bench, block_bytes=700).collect()))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("blocks"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(blocks) > 12 and max(most) <= 2 and jobs <= 6 * len(blocks) + 12
+    assert got == Counter(map(tuple, decontaminate.find_contamination(docs, bench).collect())) == Counter((i, *contamination_brute(t, items)) for i, t in [*rows, rows[1]])
+    left = decontaminate.drop_contaminated(docs, bench, block_bytes=700)
+    assert Counter(x.doc_id for x in left.collect()) == Counter(x[0] for x in got.elements() if not x[-1])
+
+
 def test_contamination_empty(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_contamination(empty(spark), bench).count() == 0
@@ -242,6 +324,87 @@ SECRETS = [
 ]
 
 
+KEYS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
+ALNUM = string.ascii_letters + string.digits
+#: name, characters, whether letters and digits alone or every key character must not stand beside a string, window, least entropy and pieces.
+RULES = [
+    ("hex", "0123456789abcdefABCDEF", KEYS, 24, 3.2, 0), ("base64", KEYS, "", 24, 4.1, 0), ("short hex", "0123456789abcdefABCDEF", ALNUM, 20, 2.82, 4), ("lower", string.ascii_lowercase + string.digits, ALNUM, 20, 3.34, 4),
+    ("upper", string.ascii_uppercase + string.digits, ALNUM, 20, 3.28, 2), ("letters", string.ascii_letters, ALNUM, 20, 3.52, 6), ("short base64", KEYS, "", 20, 3.58, 7),
+]
+
+
+def runs(text, alphabet):
+    """Places of the maximal runs of characters of an alphabet."""
+    marks = [c in alphabet for c in text] + [False]
+    starts = [i for i in range(len(text)) if marks[i] and not (i and marks[i - 1])]
+    return [(a, next(b for b in range(a, len(marks)) if not marks[b])) for a in starts]
+
+
+def pieces_brute(s):
+    n, i = 0, 0
+    while i < len(s):
+        kind = lambda c: "u" if "A" <= c <= "Z" else "l" if "a" <= c <= "z" else "d" if "0" <= c <= "9" else ""
+        k = kind(s[i])
+        j = i + 1
+        if k == "u" and j < len(s) and kind(s[j]) == "l":
+            k, j = "l", j + 1
+        while k and j < len(s) and kind(s[j]) == k:
+            j += 1
+        n, i = n + bool(k), j
+    return n
+
+
+def entropy_brute(text):
+    """Spans of high entropy, every window's entropy taken anew."""
+    t, out = text or "", []
+    for a, b in runs(t, KEYS):
+        if b - a < 20:
+            continue
+        plain = [m.span() for m in secret_scan.PLAIN.finditer(t[a:b])]
+        cuts = [0, *(x for p in plain for x in p), b - a]
+        found = []
+        for p, q in zip(cuts[::2], cuts[1::2]):
+            part = t[a + p : a + q]
+            if not re.search("[A-Za-z]", part):
+                continue
+            for name, alphabet, apart, size, least, pieces in RULES:
+                for x, y in runs(part, alphabet):
+                    if y - x < size or apart and (x and part[x - 1] in apart or y < len(part) and part[y] in apart):
+                        continue
+                    spans = []
+                    for i in range(x, y - size + 1):
+                        w = part[i : i + size]
+                        if -sum(n / size * math.log2(n / size) for n in Counter(w).values()) >= least - 1e-9 and (not pieces or pieces_brute(w) >= pieces):
+                            if spans and i <= spans[-1][1]:
+                                spans[-1][1] = i + size
+                            else:
+                                spans.append([i, i + size])
+                    for i, j in spans:
+                        if re.search("[A-Za-z]", part[i:j]) and (name == "letters" or re.search("[0-9]", part[i:j])):
+                            found.append([a + p + i, a + p + j])
+        merged = []
+        for i, j in sorted(found):
+            if merged and i < merged[-1][1]:
+                merged[-1][1] = max(j, merged[-1][1])
+            else:
+                merged.append([i, j])
+        out += map(tuple, merged)
+    return out
+
+
+def test_secret_entropy_brute():
+    r = random.Random(11)
+    alphabets = ["0123456789abcdef", string.ascii_lowercase + string.digits, string.ascii_uppercase + "234567", string.ascii_letters, ALNUM, KEYS, "-_/=+", "0123456789-"]
+    plain = ["word", "some/path", "example", "your_key", "xxxxxx", "123e4567-e89b-12d3-a456-426614174000", " ", "\n", ".", "2024-01-01", "=", "/", "é"]
+    n = 0
+    for _ in range(1500):
+        t = "".join(r.choice(plain) if r.random() < 0.5 else "".join(r.choice(a) for _ in range(r.randrange(1, 45))) for a in r.choices(alphabets, k=r.randrange(1, 7)))
+        want = entropy_brute(t)
+        n += len(want)
+        assert secret_scan.entropy_spans(t) == want, t
+    assert n > 500
+
+
 @pytest.mark.parametrize("text", SECRETS)
 def test_secret_patterns(text):
     found = secret_scan.find_secrets(text)
@@ -270,7 +433,7 @@ def test_secret_entropy():
 def test_secret_rulers():
     """Long runs of signs that end in a digit or a letter are told from words by one pass, not by trying every split."""
     start = time.perf_counter()
-    for ruler in ("-" * 60 + "1", "=" * 60 + "2024", "/_" * 40 + "9" + "-" * 40 + "a", "12" + "-" * 60 + "x"):
+    for ruler in ("-" * 60 + "1", "=" * 60 + "2024", "/_" * 40 + "9" + "-" * 40 + "a", "12" + "-" * 60 + "x", "-" * 10_000 + "1a", "=" * 10_000 + "v2", "_-" * 5_000 + "a1"):
         assert secret_scan.entropy_spans(ruler) == []
     assert time.perf_counter() - start < 1
 
@@ -299,7 +462,8 @@ def test_secrets_awkward(spark):
     docs = docs.unionByName(spark.createDataFrame(rows, docs.schema))
     want = Counter()
     for r in docs.collect():
-        base, every = secrets_brute(r.text), secret_scan.find_secrets(r.text)
+        base = secrets_brute(r.text)
+        every = sorted(base + [(a, 3, b) for a, b in entropy_brute(r.text)])
         want[(r.doc_id, *(sum(k == x for _, k, _ in base) for x in range(3)), hashlib.sha256(secret_scan.written(base).encode()).hexdigest(), secret_scan.written(every))] += 1
     assert Counter(map(tuple, secret_scan.scan(docs).collect())) == want
     masked = {r.doc_id: r for r in secret_scan.mask_secrets(docs).collect()}
@@ -315,4 +479,4 @@ def test_secrets_query(spark, sf_dir):
     for r in out:
         base = secrets_brute(text[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(secret_scan.written(base).encode()).hexdigest()
-        assert set(filter(None, secret_scan.written(base).split(","))) <= set(r.spans.split(","))
+        assert r.spans == secret_scan.written(sorted(base + [(a, 3, b) for a, b in entropy_brute(text[r.doc_id])]))

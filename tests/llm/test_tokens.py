@@ -10,6 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.fs
 import pytest
+from pyspark.sql import functions as F
 
 from engram.llm import bpe, encoding, queries, token_counts, token_store
 from engram.llm.encoding import Encoder
@@ -134,6 +135,20 @@ def test_token_store_ids(spark, library):
     assert token_store.round_trip(frame, with_ids=True).first().ids == [*ids_of(library, frame.first().text), 2]
 
 
+def test_token_store_of_one_id(spark, library):
+    """Rows of one id, or none, are dealt by their texts; a folder without a scheme is Spark's; others are refused at once."""
+    rows = [(k % 2 or None, f"text {i}") for k in range(2) for i in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = new_folder(spark, "plain").removeprefix("file:").replace("//", "/")
+    got = token_store.round_trip(frame, folder=folder).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((i, len(ids_of(library, t)) + 1) for i, t in rows)
+    assert sorted(r.start for r in got)[0] == 0 and len({r.start for r in got}) == 100
+    assert max(r.start for r in got if r.doc_id is None) < min(r.start for r in got if r.doc_id == 1)
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.t.link./x", "file:///tmp")
+    with pytest.raises(ValueError, match="Arrow can open"):
+        token_store.write_tokens(frame, "viewfs://t/x/y")
+
+
 def test_planes():
     r = np.random.default_rng(0)
     for n in (1, 7, 64, 1000):
@@ -181,6 +196,28 @@ def test_pre_tokens_stitch(ranks):
         assert bpe.pre_tokens(long, ranks, chunk, overlap) == ranks.pattern.findall(long)
 
 
+def test_pre_tokens_of_usual_texts_are_stitched(ranks, monkeypatch):
+    """Many of the documents go through overlapping chunks; few need a second scan."""
+    import pyarrow.parquet as pq
+
+    calls = {"stitch": 0, "rescan": 0}
+    plain = bpe.stitch
+
+    def counted(scans, size, rescan):
+        def again(a, b):
+            calls["rescan"] += 1
+            return rescan(a, b)
+
+        calls["stitch"] += 1
+        return plain(scans, size, again)
+
+    monkeypatch.setattr(bpe, "stitch", counted)
+    some = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    for t in some:
+        assert bpe.pre_tokens(t or "", ranks) == ranks.pattern.findall(t or "")
+    assert calls["stitch"] > 100 and calls["stitch"] == sum(len(t or "") > bpe.CHUNK for t in some)
+
+
 def test_bpe_awkward(spark, ranks):
     rows = awkward(spark).select("doc_id", "text").collect()
     want = Counter((r.doc_id, *bpe_brute(ranks, r.text)) for r in rows)
@@ -193,6 +230,9 @@ def test_bpe_long_texts_over_many_rows(spark, ranks):
     want = Counter((r.doc_id, *bpe_brute(ranks, r.text)) for r in rows)
     got = bpe.encode(awkward(spark), long_chars=20, row_chars=300, overlap=40)
     assert Counter(map(tuple, got.collect())) == want
+    texts = awkward(spark).withColumn("doc_id", F.concat(F.lit("b"), F.col("doc_id").cast("string")))
+    got = bpe.encode(texts, long_chars=20, row_chars=300, overlap=40)
+    assert Counter(map(tuple, got.collect())) == Counter({(x[0] and f"b{x[0]}", *x[1:]): n for x, n in want.items()})
 
 
 def test_bpe_query(spark, sf_dir, ranks):
