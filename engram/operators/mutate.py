@@ -12,15 +12,13 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engram.functions import vector
 from engram.operators import search
 from engram.operators.filters import best_per
 from engram.schema import memory_id, text_error, valid_entities, valid_metadata
+from engram.storage import materialize
 
 #: What a prompt may be meant as.
 INTENTS = ("command_automate", "memory_retrieve", "web_search", "screen_intelligence", "memory_store", "general_query", "set_constraint", "app_control_start", "general_knowledge")
-#: Changes that meet the stored rows at once where ids are no whole numbers.
-CHANGES = 2048
 SKILL_SAME, INTENT_SAME, PHRASE_SAME = 0.92, 0.95, 0.88
 
 
@@ -69,22 +67,11 @@ def add_hits(base: DataFrame, log: DataFrame, key: str = "id") -> DataFrame:
 def closest(base: DataFrame, changes: DataFrame, threshold: float, embedding: str = "embedding") -> DataFrame:
     """change_id, id and similarity of the closest stored row of each change at or above a threshold.
 
-    Whole numbers as ids go through the query blocks of ``lookup_many``; other ids are compared by a
-    cross join with blocks of changes, so that what is sent at once does not grow with the changes.
+    Found once, in blocks of changes, and written, as the callers join it more than once.
     """
-    asked = changes.where(F.col(embedding).isNotNull()).select(F.col("id").alias("change_id"), F.col(embedding).alias("__q"))
-    whole = {"bigint", "int", "smallint", "tinyint"}
-    if {base.schema["id"].dataType.simpleString(), changes.schema["id"].dataType.simpleString()} <= whole:
-        found = search.lookup_many(base.select("id", F.col(embedding).alias("embedding")), asked.select(F.col("change_id").alias("query_id"), F.col("__q").alias("query_embedding")), threshold)
-        return found.withColumnRenamed("query_id", "change_id")
-    rows, best = base.where(F.col(embedding).isNotNull()).select("id", embedding), None
-    blocks = max(1, -(-asked.count() // CHANGES))
-    for k in range(blocks):
-        pairs = rows.join(asked.where(F.pmod(F.xxhash64("change_id"), F.lit(blocks)) == k).hint("broadcast"), how="cross")  # about ``CHANGES`` rows
-        scored = pairs.select("change_id", "id", F.round(vector.cosine(F.col(embedding), F.col("__q")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
-        own = best_per(scored, "change_id", F.desc("similarity"), F.asc("id"))
-        best = own if best is None else best.unionByName(own)
-    return best
+    asked = changes.select(F.col("id").alias("query_id"), F.col(embedding).alias("query_embedding"))
+    found = search.lookup_many(base.select("id", F.col(embedding).alias("embedding")), asked, threshold)
+    return materialize(found.withColumnRenamed("query_id", "change_id"), "closest")
 
 
 def upsert_prompts(base: DataFrame, changes: DataFrame, threshold: float = SKILL_SAME) -> DataFrame:

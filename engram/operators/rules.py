@@ -91,25 +91,37 @@ _DISCOURSE = r"\b(like (you|i) (said|mentioned)|as (you|i) (mentioned|said|expla
 CASCADE_PATTERNS = {"discourse": (_DISCOURSE,), "positional": (*_POSITIONAL, *_TEMPORAL), "topical": _TOPICAL, "overview": _OVERVIEW, "anaphora": (_ANAPHORA, _DEMONSTRATIVE), "pronoun": (_PRONOUN,), "temporal": _TEMPORAL}
 
 
+#: What is said for each outcome; the last two without a conversation.
+REASONS = {
+    "discourse": "Explicit discourse marker referencing previous conversation",
+    "positional": "Positional reference to conversation history with context",
+    "topical": "Query asks about topics discussed in our conversation",
+    "overview": "Query requests summary of our conversation",
+    "anaphora": "Anaphoric reference to previous conversation content",
+    "pronoun": "Conversational pronouns present but no clear reference to conversation history",
+    "none": "No conversational context or patterns detected",
+    "strong": "Strong conversational markers present, but no session context available",
+    "alone": "No conversation context exists - treating as general query",
+}
+#: What is tried with a conversation, in order: name, class and confidence; "none" always fits.
+WITHIN = (("discourse", "POSITIONAL", 0.98), ("positional", "POSITIONAL", 0.95), ("topical", "TOPICAL", 0.92), ("overview", "OVERVIEW", 0.90), ("anaphora", "POSITIONAL", 0.85), ("pronoun", "GENERAL", 0.60), ("none", "GENERAL", 0.50))
+
+
 def classify_query(query: Column, has_context: Column) -> dict[str, Column]:
-    """classification, confidence and is_conversational of a query, with or without a conversation before it."""
+    """classification, confidence, is_conversational and reasoning of a query, with or without a conversation before it."""
     low = F.lower(query)
     says = {k: F.greatest(*(F.regexp_like(low, F.lit(p)) for p in v)) if len(v) > 1 else F.regexp_like(low, F.lit(v[0])) for k, v in CASCADE_PATTERNS.items()}
-    outcome = lambda c, p: F.struct(F.lit(c).alias("c"), F.lit(p).alias("p"))
-    alone = F.when(says["discourse"] | (says["pronoun"] & says["temporal"]), outcome("POSITIONAL", 0.70)).otherwise(outcome("GENERAL", 0.95))
-    within = (
-        F.when(says["discourse"], outcome("POSITIONAL", 0.98))
-        .when(says["positional"], outcome("POSITIONAL", 0.95))
-        .when(says["topical"], outcome("TOPICAL", 0.92))
-        .when(says["overview"], outcome("OVERVIEW", 0.90))
-        .when(says["anaphora"] & says["pronoun"], outcome("POSITIONAL", 0.85))
-        .when(says["pronoun"], outcome("GENERAL", 0.60))
-        .otherwise(outcome("GENERAL", 0.50))
-    )
+    says["anaphora"] = says["anaphora"] & says["pronoun"]
+    outcome = lambda name, c, p: F.struct(F.lit(c).alias("c"), F.lit(p).alias("p"), F.lit(REASONS[name]).alias("r"))
+    alone = F.when(says["discourse"] | (says["pronoun"] & says["temporal"]), outcome("strong", "POSITIONAL", 0.70)).otherwise(outcome("alone", "GENERAL", 0.95))
+    within = outcome(*WITHIN[-1])
+    for name, kind, sure in reversed(WITHIN[:-1]):
+        within = F.when(says[name], outcome(name, kind, sure)).otherwise(within)
     got = F.when(F.coalesce(has_context, F.lit(False)), within).otherwise(alone)
-    return {"classification": got["c"], "confidence": got["p"], "is_conversational": got["c"] != "GENERAL"}
+    return {"classification": got["c"], "confidence": got["p"], "is_conversational": got["c"] != "GENERAL", "reasoning": got["r"]}
 
 
+#: The form of a skill's name, the fields a contract needs, and what may run it.
 SKILL_NAME = r"^[a-z][a-z0-9]*(\.[a-z][a-z0-9]*)+$"
 REQUIRED = ("name", "description", "exec_path", "exec_type")
 EXEC_TYPES = ("node", "shell", "python")

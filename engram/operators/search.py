@@ -8,12 +8,14 @@ from datetime import datetime
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type as pa_type
 
 from engram.functions import ranking, vector
 from engram.operators.filters import any_ilike, best_per, top
-from engram.storage import materialize
+from engram.storage import materialize, new_folder
 
 
 def nearest(memories: DataFrame, query: Sequence[float], limit: int = 25, offset: int = 0, digits: int = 6) -> DataFrame:
@@ -29,41 +31,53 @@ def lookup(rows: DataFrame, query: Sequence[float], threshold: float, limit: int
 
 
 def lookup_many(rows: DataFrame, queries: DataFrame, threshold: float, limit: int = 1, block: int = 2048, others_only: bool = False) -> DataFrame:
-    """The nearest rows (query_id, id, similarity) of each query (query_id, query_embedding).
+    """The nearest rows (query_id, id, similarity) of each query (query_id, query_embedding); ids of any type.
 
     The queries go to the tasks in blocks of about ``block``, which bounds what is sent at once; each
     batch of rows meets a block in one matrix product, and only its best ``limit`` rows a query go on.
-    ``others_only`` leaves out the row whose id is the query's.
+    Of several blocks the driver holds one at a time, and what a block found is written before the next,
+    so the plan does not grow with them. ``others_only`` leaves out the row whose id is the query's.
     """
-    asked = queries.select(F.col("query_id").cast("long"), "query_embedding").where(F.col("query_embedding").isNotNull())
-    n = max(1, -(-asked.count() // block))
-    found = None
-    for k in range(n):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k).collect()  # about ``block`` rows
-        if not part:
-            continue
-        ids = np.array([r.query_id for r in part], np.int64)
-        matrix = np.array([r.query_embedding for r in part], np.float64)
+    spark = rows.sparkSession
+    asked = queries.select("query_id", "query_embedding").where(F.col("query_embedding").isNotNull())
+    able = rows.where(F.col("embedding").isNotNull()).select("id", "embedding")
+    query_type, id_type = (pa_type(f.schema[c].dataType) for f, c in ((asked, "query_id"), (able, "id")))
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {able.schema['id'].dataType.simpleString()}, similarity double"
+
+    def best_of(part: list) -> DataFrame:
+        ids = pa.array([r.query_id for r in part], query_type)
+        matrix = np.array([r.query_embedding for r in part], np.float64).reshape(len(part), -1)
         matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
 
-        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = np.array(ids.to_pylist(), object)
             for batch in batches:
                 for a in range(0, batch.num_rows, 1024):
                     own = batch.slice(a, 1024)
-                    rows_ = own.column(0).to_numpy()
-                    x = own.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows_), -1)
+                    turn = pc.rank(own.column(0), tiebreaker="dense").to_numpy()
+                    x = own.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(own.num_rows, -1)
                     sims = np.round(x @ matrix.T / np.linalg.norm(x, axis=1, keepdims=True), 6)
                     if others_only:
-                        sims[rows_[:, None] == ids[None, :]] = -2
-                    order = np.lexsort((np.broadcast_to(rows_[:, None], sims.shape), -sims), axis=0)[:limit]
+                        sims[np.array(own.column(0).to_pylist(), object)[:, None] == names[None, :]] = -2
+                    order = np.lexsort((np.broadcast_to(turn[:, None], sims.shape), -sims), axis=0)[:limit]
                     best = np.take_along_axis(sims, order, axis=0)
                     r, q = np.nonzero(best >= threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(rows_[order[r, q]]), pa.array(best[r, q])], names=["query_id", "id", "similarity"])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), own.column(0).take(pa.array(order[r, q])), pa.array(best[r, q])], names=["query_id", "id", "similarity"])
+
+        return able.mapInArrow(run, schema)
 
-        one = rows.where(F.col("embedding").isNotNull()).select(F.col("id").cast("long"), "embedding").mapInArrow(run, "query_id long, id long, similarity double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, id long, similarity double")
+    n = max(1, -(-asked.count() // block))
+    if n == 1:
+        part = asked.collect()  # at most ``block`` rows
+        found = best_of(part) if part else spark.createDataFrame([], schema)
+    else:
+        path, made = new_folder(spark, "nearest"), []
+        for k in range(n):
+            part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k).collect()  # about ``block`` rows
+            if part:
+                made.append(f"{path}/block={k}")
+                best_of(part).write.parquet(made[-1])
+        found = spark.read.schema(schema).parquet(*made)
     return best_per(found, "query_id", F.desc("similarity"), F.asc("id"), limit=limit)
 
 

@@ -114,11 +114,6 @@ def recent_capture(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def severity_sort(spark: SparkSession, sf: str) -> DataFrame:
-    s = views.table(spark, sf, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 3 == 0, "soft").otherwise("hard").alias("severity"))
-    return filters.top(s, F.desc("severity"), F.asc("s_suppkey"), limit=40)
-
-
-def severity_sort_all(spark: SparkSession, sf: str) -> DataFrame:
     s = views.table(spark, sf, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 3 == 0, "soft").otherwise("hard").alias("severity"))
     return s.orderBy(F.desc("severity"), F.asc("s_suppkey"))
 
@@ -216,11 +211,6 @@ def _brand_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def group_rules_by_key(spark: SparkSession, sf: str) -> DataFrame:
-    keys = [r.p_brand for r in views.table(spark, sf, "part").select("p_brand").distinct().orderBy("p_brand").limit(5).collect()]
-    return enrich.rules_by_key(_brand_rules(spark, sf), keys).select("context_key", F.array_join("rules", "|").alias("rules"))
-
-
-def group_rules_all_keys(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.rules_by_key(_brand_rules(spark, sf)).select("context_key", F.array_join("rules", "|").alias("rules"))
 
 
@@ -284,8 +274,7 @@ ORACLES = {
     "multi_key_sort": "SELECT p_partkey, p_size, p_retailprice, p_brand FROM part ORDER BY p_size DESC, p_retailprice DESC, p_brand, p_partkey LIMIT 50",
     "conditional_sort_first": with_views("captures", rest="SELECT id, metadata, created_at FROM captures ORDER BY CASE WHEN k = '7' THEN 0 ELSE 1 END, created_at DESC, id LIMIT 5"),
     "recent_capture": with_views("captures", rest="SELECT id, metadata, created_at FROM captures WHERE created_at >= TIMESTAMP '2024-01-20' - INTERVAL 86400 SECOND ORDER BY CASE WHEN k = '5' THEN 0 ELSE 1 END, created_at DESC, id LIMIT 1"),
-    "severity_sort": "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 = 0 THEN 'soft' ELSE 'hard' END AS severity FROM supplier ORDER BY severity DESC, s_suppkey LIMIT 40",
-    "severity_sort_all": "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 = 0 THEN 'soft' ELSE 'hard' END AS severity FROM supplier ORDER BY severity DESC, s_suppkey",
+    "severity_sort": "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 = 0 THEN 'soft' ELSE 'hard' END AS severity FROM supplier ORDER BY severity DESC, s_suppkey",
     "latest_one": with_views("captures", rest="SELECT id, created_at FROM captures ORDER BY created_at DESC, id LIMIT 1"),
     "session_best": with_views("captures", rest="SELECT id, user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, id) AS r FROM captures) WHERE r <= 3"),
     "episodic_dedup_hour": with_views("captures", rest="SELECT type, k AS key_k, date_trunc('hour', created_at) AS hour, min(id) AS id, min(user_id) AS user_id, min(created_at) AS created_at, min(value) AS least_value, count(*) AS captures FROM captures GROUP BY type, k, date_trunc('hour', created_at)"),
@@ -308,8 +297,6 @@ ORACLES = {
     "anti_migrate": with_views("captures", rest="""SELECT id, type, created_at, 'memory' AS place FROM captures WHERE type <> 'click'
       UNION ALL SELECT id, type, created_at, 'episodic' FROM captures WHERE type = 'click'"""),
     "group_rules_by_key": """SELECT p_brand AS context_key, string_agg(p_name, '|' ORDER BY p_size DESC, p_partkey % 5 DESC, p_partkey % 3 DESC, p_partkey) AS rules FROM part
-      WHERE p_partkey % 7 <> 0 AND p_brand IN (SELECT DISTINCT p_brand FROM part ORDER BY p_brand LIMIT 5) GROUP BY p_brand""",
-    "group_rules_all_keys": """SELECT p_brand AS context_key, string_agg(p_name, '|' ORDER BY p_size DESC, p_partkey % 5 DESC, p_partkey % 3 DESC, p_partkey) AS rules FROM part
       WHERE p_partkey % 7 <> 0 GROUP BY p_brand""",
     "vector_stats": """SELECT vec_id AS id, round(list_avg(e), 6) AS mean, round(list_stddev_pop(e), 6) AS stddev, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 4) AS norm,
       round(list_min(e), 6) AS least, round(list_max(e), 6) AS largest, len(e) AS dims FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)""",
@@ -321,7 +308,7 @@ QUERIES = {
     for f in (
         knn_topk, knn_page_offset, knn_threshold_lookup, knn_argmax_batch, recency_calendar, recency_elapsed, weighted_score, filter_time_range, filter_max_age, filter_in_notin, filter_json_path,
         filter_json_null, filter_like_session, filter_json_session, entity_ilike_any, distinct_entity_ids, list_paged, list_total_hasmore, multi_key_sort, conditional_sort_first, recent_capture,
-        severity_sort, severity_sort_all, latest_one, session_best, episodic_dedup_hour, episodic_dedup_bm25, episodic_raw, bm25_scores, bm25_minmax, hybrid_fusion, hybrid_fusion_cut, enrich_entities, enrich_page,
-        health_left_join, semi_delete_entities, anti_keep_entities, anti_migrate, group_rules_by_key, group_rules_all_keys, vector_stats, vector_head, lsh_topk,
+        severity_sort, latest_one, session_best, episodic_dedup_hour, episodic_dedup_bm25, episodic_raw, bm25_scores, bm25_minmax, hybrid_fusion, hybrid_fusion_cut, enrich_entities, enrich_page,
+        health_left_join, semi_delete_entities, anti_keep_entities, anti_migrate, group_rules_by_key, vector_stats, vector_head, lsh_topk,
     )
 }

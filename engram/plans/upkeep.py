@@ -60,33 +60,12 @@ def upsert_profile(spark: SparkSession, sf: str) -> DataFrame:
     return mutate.upsert_profile(c.limit(0), c).select("key", "id")
 
 
-@query("""WITH b AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 2 = 0), c AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 40 = 1),
-  m AS (SELECT c.id AS change_id, b.id, round(list_cosine_similarity(b.v, c.v), 6) AS s FROM b, c), n AS (SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY s DESC, id) AS r FROM m WHERE s >= 0.25),
-  i AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, change_id DESC) AS r2 FROM n WHERE r = 1)
-  SELECT b.id, coalesce('prompt ' || i.change_id, 'prompt ' || b.id) AS prompt_text FROM b LEFT JOIN i ON i.id = b.id AND i.r2 = 1
-  UNION ALL SELECT c.id, 'prompt ' || c.id FROM c WHERE c.id NOT IN (SELECT change_id FROM n WHERE r = 1)""")
-def semantic_dedup_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    p = views.vectors(spark, sf).select("id", F.lit("a,b").alias("tags"), F.concat(F.lit("prompt "), "id").alias("prompt_text"), "embedding", F.lit(EVENT_NOW).cast("timestamp_ntz").alias("updated_at"))
-    return mutate.upsert_prompts(p.where("id % 2 = 0"), p.where("id % 40 = 1"), 0.25).select("id", "prompt_text")
-
-
-@query("""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, CASE label % 3 WHEN 0 THEN 'web_search' WHEN 1 THEN 'memory_store' ELSE 'nonsense' END AS i FROM embeddings),
-  m AS (SELECT c.id, b.i AS stored, row_number() OVER (PARTITION BY c.id ORDER BY round(list_cosine_similarity(b.v, c.v), 6) DESC, b.id) AS r FROM v b, v c
-        WHERE b.id % 2 = 0 AND c.id % 40 = 1 AND c.i <> 'nonsense' AND round(list_cosine_similarity(b.v, c.v), 6) >= 0.25)
-  SELECT id, i AS correct_intent FROM v WHERE id % 2 = 0
-  UNION ALL SELECT v.id, v.i FROM v LEFT JOIN m ON m.id = v.id AND m.r = 1 WHERE v.id % 40 = 1 AND v.i <> 'nonsense' AND (stored IS NULL OR stored <> v.i)""")
-def semantic_intent_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    intent = F.when(F.col("label") % 3 == 0, "web_search").when(F.col("label") % 3 == 1, "memory_store").otherwise("nonsense")
-    p = views.vectors(spark, sf).select("id", "embedding", intent.alias("correct_intent"))
-    return mutate.upsert_intents(p.where("id % 2 = 0"), p.where("id % 40 = 1"), 0.25).select("id", "correct_intent")
-
-
 @query("""WITH b AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 2 = 0), c AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 2 = 1),
   m AS (SELECT c.id AS change_id, b.id, round(list_cosine_similarity(b.v, c.v), 6) AS s FROM b, c), n AS (SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY s DESC, id) AS r FROM m WHERE s >= 0.25),
   i AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, change_id DESC) AS r2 FROM n WHERE r = 1)
   SELECT b.id, coalesce('prompt ' || i.change_id, 'prompt ' || b.id) AS prompt_text FROM b LEFT JOIN i ON i.id = b.id AND i.r2 = 1
   UNION ALL SELECT c.id, 'prompt ' || c.id FROM c WHERE c.id NOT IN (SELECT change_id FROM n WHERE r = 1)""")
-def semantic_dedup_upsert_all(spark: SparkSession, sf: str) -> DataFrame:
+def semantic_dedup_upsert(spark: SparkSession, sf: str) -> DataFrame:
     p = views.vectors(spark, sf).select("id", F.lit("a,b").alias("tags"), F.concat(F.lit("prompt "), "id").alias("prompt_text"), "embedding", F.lit(EVENT_NOW).cast("timestamp_ntz").alias("updated_at"))
     return mutate.upsert_prompts(p.where("id % 2 = 0"), p.where("id % 2 = 1"), 0.25).select("id", "prompt_text")
 
@@ -96,7 +75,7 @@ def semantic_dedup_upsert_all(spark: SparkSession, sf: str) -> DataFrame:
         WHERE b.id % 2 = 0 AND c.id % 2 = 1 AND c.i <> 'nonsense' AND round(list_cosine_similarity(b.v, c.v), 6) >= 0.25)
   SELECT id, i AS correct_intent FROM v WHERE id % 2 = 0
   UNION ALL SELECT v.id, v.i FROM v LEFT JOIN m ON m.id = v.id AND m.r = 1 WHERE v.id % 2 = 1 AND v.i <> 'nonsense' AND (stored IS NULL OR stored <> v.i)""")
-def semantic_intent_upsert_all(spark: SparkSession, sf: str) -> DataFrame:
+def semantic_intent_upsert(spark: SparkSession, sf: str) -> DataFrame:
     intent = F.when(F.col("label") % 3 == 0, "web_search").when(F.col("label") % 3 == 1, "memory_store").otherwise("nonsense")
     p = views.vectors(spark, sf).select("id", "embedding", intent.alias("correct_intent"))
     return mutate.upsert_intents(p.where("id % 2 = 0"), p.where("id % 2 = 1"), 0.25).select("id", "correct_intent")
@@ -252,12 +231,14 @@ def _any(names: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"regexp_matches(t, '{p}')" for n in names for p in rules.CASCADE_PATTERNS[n]) + ")"
 
 
+_TRIED = " ".join(f"WHEN {' AND '.join(_any((n,)) for n in ((name, 'pronoun') if name == 'anaphora' else (name,)))} THEN ['{kind}', '{sure}', '{rules.REASONS[name]}']" for name, kind, sure in rules.WITHIN[:-1])
+
+
 @query(f"""WITH p AS (SELECT * FROM (VALUES {", ".join(f"('{p}')" for p in _PROBES)}) v(probe)), x AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'
   UNION ALL SELECT -row_number() OVER (ORDER BY probe), h, probe FROM p, (VALUES (0), (1)) w(h)),
-  y AS (SELECT *, lower(text) AS t, turn > 0 AS ctx FROM x), z AS (SELECT *, CASE WHEN ctx THEN CASE WHEN {_any(("discourse",))} THEN ['POSITIONAL', '0.98'] WHEN {_any(("positional",))} THEN ['POSITIONAL', '0.95']
-    WHEN {_any(("topical",))} THEN ['TOPICAL', '0.92'] WHEN {_any(("overview",))} THEN ['OVERVIEW', '0.9'] WHEN {_any(("anaphora",))} AND {_any(("pronoun",))} THEN ['POSITIONAL', '0.85']
-    WHEN {_any(("pronoun",))} THEN ['GENERAL', '0.6'] ELSE ['GENERAL', '0.5'] END ELSE CASE WHEN {_any(("discourse",))} OR ({_any(("pronoun",))} AND {_any(("temporal",))}) THEN ['POSITIONAL', '0.7'] ELSE ['GENERAL', '0.95'] END END AS r FROM y)
-  SELECT text, ctx AS has_context, r[1] AS classification, CAST(r[2] AS DOUBLE) AS confidence, r[1] <> 'GENERAL' AS is_conversational FROM z""")
+  y AS (SELECT *, lower(text) AS t, turn > 0 AS ctx FROM x), z AS (SELECT *, CASE WHEN ctx THEN CASE {_TRIED} ELSE ['GENERAL', '0.5', '{rules.REASONS["none"]}'] END
+    ELSE CASE WHEN {_any(("discourse",))} OR ({_any(("pronoun",))} AND {_any(("temporal",))}) THEN ['POSITIONAL', '0.7', '{rules.REASONS["strong"]}'] ELSE ['GENERAL', '0.95', '{rules.REASONS["alone"]}'] END END AS r FROM y)
+  SELECT text, ctx AS has_context, r[1] AS classification, CAST(r[2] AS DOUBLE) AS confidence, r[1] <> 'GENERAL' AS is_conversational, r[3] AS reasoning FROM z""")
 def classify_conversational(spark: SparkSession, sf: str) -> DataFrame:
     turns = views.table(spark, sf, "conversations").where("role = 'user'").select("text", (F.col("turn") > 0).alias("has_context"))
     probes = spark.createDataFrame([(p, c) for p in _PROBES for c in (False, True)], "text string, has_context boolean")
@@ -372,7 +353,15 @@ def summary_for_embedding(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def gibberish_filter(spark: SparkSession, sf: str) -> DataFrame:
     d = views.wide(views.table(spark, sf, "pages"))
-    return d.select(F.col("page_id").alias("id"), text.without_gibberish_udf()(text.strip_tags(text.clean(F.col("html")))).alias("filtered"))
+    cleaned = text.strip_tags(text.clean(F.col("html")))
+    kept = text.common_words(d.select(cleaned.alias("t")), "t")
+    return d.select(F.col("page_id").alias("id"), text.without_gibberish_udf(kept)(cleaned).alias("filtered"))
+
+
+@query()
+def screen_text_chain(spark: SparkSession, sf: str) -> DataFrame:
+    d = views.wide(views.table(spark, sf, "documents")).select("doc_id", F.expr(_NAMED).alias("t"))
+    return d.select(F.col("doc_id").alias("id"), *(c.alias(k) for k, c in text.screen_text(F.col("t"), text.common_words(d, "t")).items()))
 
 
 @query()

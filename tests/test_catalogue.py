@@ -5,9 +5,10 @@ import math
 import duckdb
 import pytest
 
-from engram.plans import retrieval, upkeep
+from engram.plans import registry, retrieval, upkeep
 
-QUERIES, ORACLES = {**retrieval.QUERIES, **upkeep.QUERIES}, {**retrieval.ORACLES, **upkeep.ORACLES}
+QUERIES = {**retrieval.QUERIES, **upkeep.QUERIES, **registry.QUERIES}
+ORACLES = {**retrieval.ORACLES, **upkeep.ORACLES, **registry.ORACLES}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

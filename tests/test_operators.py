@@ -201,10 +201,10 @@ def test_phrases(spark):
 
 
 def test_severity_sort_of_all_rows(spark, tmp_path):
-    from engram.plans.retrieval import severity_sort_all
+    from engram.plans.retrieval import severity_sort
 
     spark.range(100).select(F.col("id").alias("s_suppkey"), F.col("id").cast("string").alias("s_name")).write.parquet(f"{tmp_path}/supplier.parquet")
-    got = [r.s_suppkey for r in severity_sort_all(spark, str(tmp_path)).collect()]
+    got = [r.s_suppkey for r in severity_sort(spark, str(tmp_path)).collect()]
     assert got == [i for i in range(100) if i % 3 == 0] + [i for i in range(100) if i % 3]
 
 
@@ -220,7 +220,7 @@ def test_semantic_upserts_take_every_row(spark, sf_dir):
     from engram.plans import upkeep as plans
 
     rows = {r.id: r for r in views.vectors(spark, sf_dir).select("id").collect()}
-    found = [r.prompt_text for r in plans.semantic_dedup_upsert_all(spark, sf_dir).collect()]
+    found = [r.prompt_text for r in plans.semantic_dedup_upsert(spark, sf_dir).collect()]
     assert len(found) >= len(rows) // 2 and {f"prompt {i}" for i in rows} >= set(found)
     changes = views.vectors(spark, sf_dir).where("id % 2 = 1").select("id", "embedding")
     match = mutate.closest(views.vectors(spark, sf_dir).where("id % 2 = 0"), changes, -1.0)
@@ -230,7 +230,7 @@ def test_semantic_upserts_take_every_row(spark, sf_dir):
 
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_closest_in_blocks(spark, monkeypatch, kind):
-    monkeypatch.setattr(mutate, "CHANGES", 2)
+    monkeypatch.setattr(search.lookup_many, "__defaults__", (1, 2, False))  # blocks of two changes
     frame = lambda ids, r: spark.createDataFrame([(i, [float(x) for x in r.normal(size=4)]) for i in ids], "id long, embedding array<float>").withColumn("id", F.col("id").cast(kind))
     base, changes = frame(range(100, 140), np.random.default_rng(1)), frame(range(200, 211), np.random.default_rng(2))
     got = {int(m.change_id): int(m.id) for m in mutate.closest(base, changes, -1.0).collect()}
@@ -348,8 +348,9 @@ def test_file_names(spark):
 
 
 def test_gibberish():
-    assert text.without_gibberish("Meeting at 10:30 AM a b c d e about budget") == "Meeting at 10:30 AM --- about budget"
+    assert text.without_gibberish("Meeting at 10:30 AM a b c d e about budget", ["At"]) == "Meeting at 10:30 AM --- about budget"
     assert text.without_gibberish("xq rbd zz kk vf bd real sentence follows") == "follows"
+    assert text.without_gibberish("xq SDK zz kk vf bd real sentence", ["sdk", "real", "sentence"]) == "SDK --- real sentence"
     assert text.without_gibberish("keep report-two.pdf and 2024-01-02 times") == "keep report-two.pdf and 2024-01-02 times"
     assert text.without_gibberish(None) == "" and text.without_gibberish("rbd hello", ["rbd"]) == "rbd hello"
 
@@ -433,3 +434,118 @@ def test_settled_phases_are_removed(spark):
     out = settle(spark, "kept", make)
     left = [f for f in os.listdir(root) if f.startswith(("first", "second", "kept"))]
     assert out.count() == 3 and len(left) == 1 and left[0].startswith("kept")
+
+
+@pytest.mark.parametrize(("word", "odd"), [("a.pdf", False), ("ab-cd", False), ("x-y", True), ("x12", False), ("12", False), ("ab", True), ("brr", True), ("strip", True), ("string", False), ("lengths", True), ("word", False), ("...", False), ("", False)])
+def test_odd_words(word, odd):
+    assert text.odd_word(word) == odd
+
+
+def test_broken_names_in_long_texts():
+    """Against every pair of beginnings and names, and in time on a long text."""
+    import random
+    import re
+    import time
+
+    def brute(t):
+        heads = [(m.group(1), m.end()) for m in re.finditer(r"([a-zA-Z0-9]+-[a-zA-Z0-9-]*[a-zA-Z0-9]|[a-zA-Z0-9]+-)(?=\s)", t)]
+        tails = [(m.group(1), m.start()) for m in re.finditer(r"(?i)([a-zA-Z0-9][a-zA-Z0-9_-]*\.(?:pdf|py|md))", t)]
+        taken, out = set(), []
+        for h, e in heads:
+            for n, b in tails:
+                if b not in taken and 0 < b - e < 200:
+                    taken.add(b)
+                    out.append(f"{h}...{n}")
+        return out
+
+    r = random.Random(1)
+    for _ in range(200):
+        t = " ".join(r.choice(["ab-cd", "q-", "x.pdf", "long_name.py", "word", "y" * 90, "z-1.md"]) for _ in range(r.randrange(60)))
+        assert text.broken_names(t) == brute(t)
+    start = time.perf_counter()
+    assert len(text.broken_names("ab-cd x.pdf " * 40_000)) == 40_000 and time.perf_counter() - start < 5
+
+
+def test_common_words(spark):
+    rows = spark.createDataFrame([("the SDK is", 1), ("the sdk", 2), ("the rare", 3), (None, 4)], "t string, i int")
+    assert text.common_words(rows, "t", 0.5) == {"the", "sdk"} and text.common_words(rows, "t", 0.0, 1) == {"the"}
+
+
+def test_nearest_rank_against_sorted_values(spark):
+    import random
+
+    from engram.operators import upkeep
+
+    r = random.Random(2)
+    rows = [(k, r.choice([r.uniform(-5, 5), 1.5, 1.5000001, 1e9, None])) for k in ("a", "b") for _ in range(500)] + [("c", 7.0), ("d", None)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    shares = (0.01, 0.5, 0.95, 0.99, 1.0)
+    values = {k: sorted(v for q, v in rows if q == k and v is not None) for k in "abc"}
+    at = lambda v: tuple(v[max(0, math.ceil(s * len(v)) - 1)] for s in shares)
+    for pieces in (2, 4096):
+        assert {x.k: tuple(x)[1:] for x in upkeep.nearest_rank(frame, "v", *shares, by="k", pieces=pieces).collect()} == {k: at(v) for k, v in values.items()}
+    assert tuple(upkeep.nearest_rank(frame, "v", *shares).first()) == at(sorted(v for _, v in rows if v is not None))
+
+
+def test_lookups_of_many_blocks(spark):
+    """Text ids, several blocks of queries, ties and the row itself left out, against one product."""
+    r = np.random.default_rng(3)
+    v = r.normal(size=(60, 8))
+    v[10] = v[11]
+    rows = spark.createDataFrame([(f"r{i:02}", x.tolist()) for i, x in enumerate(v)] + [("none", None)], "id string, embedding array<double>")
+    asked = rows.selectExpr("id AS query_id", "embedding AS query_embedding")
+    n = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sims = np.round(n @ n.T, 6)
+    for block in (7, 2048):
+        for others in (False, True):
+            got = {(x.query_id, x.id, round(x.similarity, 5)) for x in search.lookup_many(rows, asked, -1.0, limit=3, block=block, others_only=others).collect()}
+            want = set()
+            for q in range(60):
+                order = sorted((i for i in range(60) if not (others and i == q)), key=lambda i: (-sims[i, q], i))[:3]
+                want |= {(f"r{q:02}", f"r{i:02}", round(float(sims[i, q]), 5)) for i in order}
+            assert got == want
+
+
+def test_manifests_say_yes_only_with_a_true(spark):
+    from engram.operators import registry
+
+    skills = spark.createDataFrame([(n,) for n in "abcdef"], "name string")
+    files = spark.createDataFrame([("a", '{"goal_tied": true}'), ("b", '{"goal_tied": "true"}'), ("c", "{"), ("d", '{"x": 1}'), ("e", None)], "name string, manifest string")
+    assert {r.name: r.goal_tied for r in registry.with_manifests(skills, files).collect()} == {n: n == "a" for n in "abcdef"}
+
+
+def test_listing_takes_only_given_filters(spark):
+    from engram.operators import registry
+
+    df = spark.createDataFrame([(1, "a", 5.0), (2, "b", None), (3, None, 7.0)], "id long, k string, w double")
+    ids = lambda *args, **more: [r.id for r in registry.listing(df, *args, **more).collect()]
+    assert ids({}) == [1, 2, 3] and ids({"k": None}, F.desc("id")) == [3, 2, 1] and ids({"k": "a"}) == [1]
+    assert ids({"k": ["a", "b"]}, at_least={"w": 5.0}) == [1] and ids({"k": []}) == []
+
+
+def test_install_keeps_enabled_and_refuses(spark):
+    from engram.operators import registry
+
+    kind = "name string, id long, enabled boolean, updated_at timestamp_ntz"
+    base = spark.createDataFrame([("a", 1, False, NOW), ("b", 2, True, NOW)], kind)
+    new = spark.createDataFrame([("a", 3, NOW, None), ("c", 4, NOW, None), ("b", 5, NOW, "bad")], "name string, id long, updated_at timestamp_ntz, error string")
+    after, refused = registry.install_skills(base, new)
+    assert {r.name: (r.id, r.enabled) for r in after.collect()} == {"a": (3, False), "b": (2, True), "c": (4, True)} and [r.id for r in refused.collect()] == [5]
+
+
+def test_maintenance_runs_when_due_or_stopping(spark):
+    from datetime import timedelta
+
+    rows = spark.createDataFrame([(1, datetime(2010, 1, 1)), (2, datetime(2020, 1, 1))], "id long, created_at timestamp_ntz")
+    children = spark.createDataFrame([(1,), (2,)], "memory_id long")
+    left = lambda last, **more: ([r.id for r in upkeep.maintain(rows, children, last, NOW, **more)[0].collect()], upkeep.maintain(rows, children, last, NOW, **more)[2])
+    early = NOW - timedelta(hours=23)
+    assert left(early) == ([1, 2], early) and left(early, stopping=True) == ([2], NOW) == left(None) == left(NOW - timedelta(hours=24))
+    assert [r.id for r in upkeep.purge_older(rows, children, datetime(2021, 1, 1), 3000)[0].collect()] == [2]
+
+
+def test_screen_text_chain(spark):
+    raw = "see  report-two.pdf\nconst a = 1\n[INFO] xq zz kk vf bd rbd budget meeting"
+    df = spark.createDataFrame([(raw,), (None,)], "t string")
+    one, none = df.select(*(c.alias(k) for k, c in text.screen_text(F.col("t"), ["see"]).items())).collect()
+    assert one.files == ["report-two.pdf"] and one.snippets == ["const a = 1"] and "report-two" not in one.filtered and one.filtered.endswith("budget meeting") and none.filtered == ""
