@@ -315,10 +315,13 @@ def near_pairs(nodes: DataFrame, similarity: float, part: int = WIDE_PART) -> Da
     others if their fingerprints are near; a bucket too large goes to a grid of cells.
     """
     keyed = nodes.select("node", "n", F.explode("keys").alias("bucket"))
-    members = F.struct(F.bit_xor(F.xxhash64("node")), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")))
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("count"), F.xxhash64(members, F.count("*")).alias("same")).where("count > 1")
+    members = F.struct(F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64(F.lit(1), "node")), F.count("*"))
+    shared = keyed.groupBy("bucket").agg(F.count("*").alias("count"), F.xxhash64(members).alias("same")).where("count > 1")
     shared = materialize(shared.select("bucket", "same", F.when(F.col("count") > 2 * part, F.ceil(F.col("count") / part)).otherwise(1).cast("int").alias("parts")), "shared")
-    groups = materialize(keyed.join(shared, "bucket").select("node", "n", F.col("same").alias("bucket"), "parts").distinct(), "groups")
+    # few buckets are shared; their table grows with the corpus, so it is never sent to all tasks
+    with filtered_joins(nodes.sparkSession):
+        groups = keyed.join(shared.where("parts > 0").hint("merge"), "bucket").select("node", "n", F.col("same").alias("bucket"), "parts").distinct()
+        groups = materialize(groups, "groups")
     few = groups.where(F.col("n") < FEW).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     least = few.groupBy("bucket").agg(F.min("node").alias("u"), F.min("parts").alias("parts"))
     least = least.select("bucket", "u", F.explode(F.expr("sequence(0, parts - 1)")).alias("own"))  # one for each part of a large bucket
@@ -449,7 +452,7 @@ def exact_links(keyed: DataFrame, key: str, nodes: DataFrame, pairs: DataFrame,
     found = materialize(found, "found")
     large = found.groupBy("root").agg(F.count("*").alias("count"), F.sum("n").alias("weight")).where((F.col("count") > 2 * part) | (F.col("weight") > MOST_SHINGLES))
     large = materialize(large.select("root", F.lit(True).alias("large")), "large")
-    wanted = keyed.select(key, "text").join(found.where("n > 0").join(large, "root", "left"), key).select("node", "root", "n", F.coalesce("large", F.lit(False)).alias("large"), "text")
+    wanted = keyed.select(key, "text").join(found.where("n > 0").join(large, "root", "left").hint("merge"), key).select("node", "root", "n", F.coalesce("large", F.lit(False)).alias("large"), "text")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = pa.array([x.tobytes() for x in shingle_sets(batch.column(4), size)], pa.binary())
