@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm import arrow
+from engram.llm.rows import free_name, without_keys
 from engram.storage import new_folder, with_row_key
 
 WINDOW = 10
@@ -250,11 +251,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     """The rows of ``docs`` (text in column text) in which no window of the benchmark occurs."""
     n = block_count(benchmark, block_bytes)
     if n > 1:
-        key = "__row_key"
-        while key in docs.columns:
-            key += "_"
+        key = free_name(docs, "__row_key")
         keyed = with_row_key(docs, id_col, key)
-        return keyed.join(block_hits(keyed, key, benchmark, n, window), key, "left_anti").select(*docs.columns)
+        return without_keys(keyed, block_hits(keyed, key, benchmark, n, window), key).select(*docs.columns)
     block = prepared(docs, item_block(benchmark, 0, 1), window)
 
     def keep(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from engram.llm import queries, simhash, substring_dedup
 from engram.llm.components import components
+from engram.llm.rows import parted_by_filter, without_keys
 
 from .fixtures import awkward, empty
 
@@ -243,3 +244,32 @@ def test_text_ids(spark):
     assert of["b8"] == of["b1"] == "b1" and of["b11"] == "b10" and len(of) == 13
     for name, stage in corpus_pipeline.STAGES[1:2]:
         assert stage(spark, frame, "").count() == len(set(similar_brute([r.text for r in rows]))), name
+
+
+@pytest.mark.parametrize(("n", "step"), [(0, 1), (1, 1), (3000, 7), (3000, 1)])
+def test_without_keys(spark, n, step):
+    rows = spark.range(-1500, 1500).select("id", F.concat(F.lit("text "), "id").alias("text"), F.lit("a").alias("__part"), F.lit("b").alias("__BITS"))
+    rows = rows.unionByName(rows.where("id % 100 = 0")).unionByName(rows.limit(2).withColumn("id", F.lit(None).cast("long")))
+    gone = spark.range(-1500, n - 1500, step).unionByName(spark.range(-1500, n - 1500, step)).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS id"))
+    went = set(range(-1500, n - 1500, step))
+    got = without_keys(rows, gone, "id")
+    assert got.columns == rows.columns
+    want = sorted(str(tuple(r)) for r in rows.collect() if r.id is None or r.id not in went)
+    assert sorted(str(tuple(r)) for r in got.collect()) == want
+    assert without_keys(rows.limit(0), gone, "id").count() == 0
+
+
+def test_without_keys_full_filter(spark, monkeypatch):
+    """A filter whose bits are nearly all set still gives the right rows."""
+    monkeypatch.setattr("engram.llm.rows.MOST_BITS", 1 << 15)
+    rows = spark.range(200_000).withColumn("text", F.lit("x"))
+    assert without_keys(rows, spark.range(0, 200_000, 2), "id").where("id % 2 = 0").count() == 0
+    assert without_keys(rows, spark.range(0, 200_000, 2), "id").count() == 100_000
+
+
+def test_without_keys_shuffles_few(spark):
+    """Of 100,000 rows of which 1,000 go, few besides these reach the anti-join."""
+    rows, gone = spark.range(100_000).withColumn("text", F.lit("x")), spark.range(0, 100_000, 100)
+    stay, asked = parted_by_filter(rows, gone, 1000, "id")
+    assert stay.where("id % 100 = 0").count() == 0 and asked.where("id % 100 = 0").count() == 1000
+    assert asked.count() < 6_000 and stay.count() + asked.count() == 100_000
