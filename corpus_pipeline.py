@@ -11,10 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from engram.llm import bpe, decontaminate, secret_scan, simhash, toxicity
+from engram.llm.rows import free_name, without_keys
 from engram.storage import materialize, with_row_key
 
-KEY = "__row_key"
-
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the classifier, fitted to the labels, calls toxic."""
@@ -24,9 +23,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (four fifths of their five-word shingles in common) keep the document with the smallest id."""
-    keyed = with_row_key(docs, "doc_id", KEY)
-    kept = simhash.similar_rows(keyed, KEY).where(f"{KEY} = group").select(KEY)
-    return keyed.join(kept, KEY, "left_semi").select(*docs.columns)
+    key = free_name(docs, "__row_key")
+    keyed = with_row_key(docs, "doc_id", key)
+    gone = simhash.similar_rows(keyed, key).where(f"{key} <> group").select(key)
+    return without_keys(keyed, gone, key).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
