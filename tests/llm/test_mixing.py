@@ -162,6 +162,19 @@ def test_variants_random(spark, monkeypatch):
     assert variants(many) == variants_brute([*rows, *rows, *((i + 1, t) for i, t in rows)])
 
 
+def test_cells(spark, monkeypatch):
+    """Cells of a few words each, whose pairs lie over all of them."""
+    r = random.Random(4)
+    words = {"".join(r.choice("abé") for _ in range(r.randrange(5, 8))) for _ in range(600)}
+    rows = [(i, " ".join([w] * r.randrange(3, 9))) for i, w in enumerate(sorted(words))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = variants_brute(rows)
+    monkeypatch.setattr(spelling, "CELL_LETTERS", 1 << 13)
+    assert variants(df) == want and len(want) > 300
+    monkeypatch.setattr(spelling, "_PAIRS", 5)
+    assert variants(df.where("doc_id < 60")) == variants_brute(rows[:60])
+
+
 def test_counts_are_handed_on(spark, monkeypatch):
     docs = awkward(spark)
     want = Counter(map(tuple, spelling.word_counts(docs).collect()))
