@@ -1,6 +1,9 @@
 """Operators against hand-written cases and plain Python."""
 
 import math
+import random
+import re
+import time
 from datetime import datetime
 
 import numpy as np
@@ -443,9 +446,6 @@ def test_odd_words(word, odd):
 
 def test_broken_names_in_long_texts():
     """Against every pair of beginnings and names, and in time on a long text."""
-    import random
-    import re
-    import time
 
     def brute(t):
         heads = [(m.group(1), m.end()) for m in re.finditer(r"([a-zA-Z0-9]+-[a-zA-Z0-9-]*[a-zA-Z0-9]|[a-zA-Z0-9]+-)(?=\s)", t)]
@@ -472,7 +472,6 @@ def test_common_words(spark):
 
 
 def test_nearest_rank_against_sorted_values(spark):
-    import random
 
     from engram.operators import upkeep
 
@@ -549,3 +548,38 @@ def test_screen_text_chain(spark):
     df = spark.createDataFrame([(raw,), (None,)], "t string")
     one, none = df.select(*(c.alias(k) for k, c in text.screen_text(F.col("t"), ["see"]).items())).collect()
     assert one.files == ["report-two.pdf"] and one.snippets == ["const a = 1"] and "report-two" not in one.filtered and one.filtered == "see --- about plans" and none.filtered == ""
+
+
+def test_names_are_those_of_the_plain_patterns(spark):
+    """Linear patterns find what the plain ones find."""
+    r = random.Random(1)
+    parts = ["a", "B", "9", "-", "-", "_", ".", "/", " ", "  ", "\n", ".js", ".json", ".md", "Jan ", "May ", "ab", " Feb "]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(3000)]
+    ext, months = "|".join(text.EXTENSIONS), "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+    plain = re.compile(rf"[a-z0-9][a-z0-9._/-]*\.(?:{ext})\b", re.IGNORECASE | re.ASCII)
+    dated = re.compile(rf"([a-z][a-z0-9]+-[a-z0-9-]+[a-z0-9])\s+(?:{months})\s", re.IGNORECASE | re.ASCII)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
+    got = {x.t: x.n for x in rows.select("t", text.file_names(F.col("t")).alias("n")).collect()}
+    assert got == {t: list(dict.fromkeys(plain.findall(t) + dated.findall(t))) for t in texts}
+    for files in [["a.md", "A.MD", "b.md", "a.md"], [], ["x/y.md", "b.md", "B.md", " "]]:
+        one = spark.createDataFrame([(files,)], "f array<string>")
+        firsts = [n for k, n in enumerate(files) if n.lower() not in [x.lower() for x in files[:k]]]
+        assert one.select(text.valid_names(F.col("f"))).first()[0] == [n for n in firsts if n in ("a.md", "b.md")]
+
+
+@pytest.mark.parametrize("unit", ["a", "a-", "a.", "ab-", "a9", "1-", "Zm9v"])
+def test_names_in_long_runs(spark, unit):
+    """A million characters of one run take no longer than other texts."""
+    long = (unit * 1_000_000)[:1_000_000]
+    one = spark.createDataFrame([(long,)], "t string")
+    one.select(F.size(text.file_names(F.col("t")))).collect()
+    for run in (lambda: text.broken_names(long), lambda: text.without_gibberish(long), lambda: one.select(F.size(text.valid_names(text.file_names(F.col("t"))))).collect()):
+        start = time.perf_counter()
+        run()
+        assert time.perf_counter() - start < 5
+
+
+def test_common_words_at_the_cap(spark):
+    """Where more words are common than may be kept, those in the most texts stay, ties by the word."""
+    rows = spark.createDataFrame([("bb cc aa",), ("bb cc aa",), ("bb",)], "t string")
+    assert text.common_words(rows, "t", 0.5, 2) == {"bb", "aa"} and text.common_words(rows, "t", 0.5, 3) == {"bb", "aa", "cc"}
