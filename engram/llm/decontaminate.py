@@ -2,42 +2,40 @@
 
 Every benchmark item gives windows of ten words (a shorter item is one window). A window occurs in a
 document only if all of its shingles do, so one of them is enough as its necessary prefix: the one
-that is rarest in the corpus, counted over all documents. Document shingles are joined with these
-prefixes; a hit gives the place where the window would have to start, which must lie inside the
-document (positional bound) and leave room for the window's words (length bound); the words are then
-compared exactly.
+that is rarest in the corpus. Two scans of the corpus do it, however large the benchmark is: the first
+counts the benchmark's shingles in all documents, the second gives the places where a prefix occurs,
+each with the words around it. Places and windows meet in an equi-join on the prefix; the window would
+have to start inside the document (positional bound) and leave room for its words (length bound), and
+the words are compared exactly.
 
-The benchmark is taken in blocks of bounded size (BLOCK_BYTES of text), each of which is sent to all
-tasks; any number of blocks may be needed, and the driver holds one at a time. The corpus is never
-dealt out for the join; with several blocks their hits are written and joined once.
+Both sides are tables; a filter of bits (up to FILTER_BITS, 32 MB) lets the scans pass over nearly all
+shingles of the corpus. In a benchmark of over eight million shingles the bits fill up, so that
+more places than needed reach the join, which decides.
 
 Defined results: null and empty texts have no words; items without words have no windows; equal
-item ids are one item; a null item id is written as "null"; equal rows each get their own result; an
+item ids are one item; a null item id is written as "null"; repeated items count once; equal rows each get their own result; an
 empty table gives an empty result; an empty benchmark hits nothing; other columns are left alone.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.llm import arrow
-from engram.llm.rows import free_name, without_keys
-from engram.storage import new_folder, with_row_key
+from engram.llm.rows import MAP_BITS, free_name, without_keys
+from engram.storage import materialize, with_row_key
 
 WINDOW = 10
 #: Words in a shingle (fewer in windows of fewer words).
 SHINGLE = 5
-#: Bytes of benchmark text that are sent to the tasks at once; an item above that is a block of its own.
-BLOCK_BYTES = 8 << 20
-#: Low bits of a hash that the first sieve looks at.
-SIEVE_BITS = 20
+#: Bits of the filter at most, bits for each key, and places that a key sets.
+FILTER_BITS, KEY_BITS, PLACES = 1 << 28, 32, 3
+_TURN = 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -45,32 +43,6 @@ _LOWER[65:91] += 32
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[:128] = True
 SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
-_TABLE = bytes(32 if s else low for s, low in zip(SEPARATOR.tolist(), _LOWER.tolist()))
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased words of a text."""
-    return (text or "").encode().translate(_TABLE).split()
-
-
-class Lookup:
-    """Sorted hashes, with a sieve before the search."""
-
-    def __init__(self, values: np.ndarray) -> None:
-        self.values = np.unique(values)
-        self.sieve = np.zeros(1 << SIEVE_BITS, bool)
-        self.sieve[self._low(self.values)] = True
-
-    @staticmethod
-    def _low(values: np.ndarray) -> np.ndarray:
-        return (values & np.uint64((1 << SIEVE_BITS) - 1)).astype(np.int64)
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of hashes that are held, and which they are."""
-        at = np.flatnonzero(self.sieve[self._low(hashes)])
-        k = np.searchsorted(self.values, hashes[at])
-        ok = self.values[np.minimum(k, len(self.values) - 1)] == hashes[at]
-        return at[ok], k[ok]
 
 
 def text_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,185 +53,146 @@ def text_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return buf, starts, ends, counts, arrow.word_hashes(buf, starts, ends)
 
 
-class Block:
-    """Windows of some items; with the shingle counts also their prefixes."""
-
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW, shingle: int = SHINGLE) -> None:
-        owners: dict[bytes, set[str]] = defaultdict(set)
-        for name, text in items:
-            words = words_of(text)
-            size = min(window, len(words))
-            for i in range(len(words) - size + 1 if words else 0):
-                owners[b" ".join(words[i : i + size])].add(name)
-        self.windows = list(owners)
-        self.items = list(owners.values())
-        joined = pa.array([w.decode() for w in self.windows], pa.string())
-        _, _, _, counts, hashes = text_words(joined)
-        self.lengths = np.diff(counts)
-        self.own: list[tuple[int, np.ndarray]] = []  # of each window: shingle size, shingle hashes
-        for k, n in enumerate(self.lengths.tolist()):
-            size = min(shingle, n)
-            self.own.append((size, arrow.rolling(hashes[counts[k] : counts[k + 1]], size)))
-        by_size: dict[int, list[np.ndarray]] = defaultdict(list)
-        for size, own in self.own:
-            by_size[size].append(own)
-        self.shingles = {size: Lookup(np.concatenate(own)) for size, own in by_size.items()}
-
-    def count(self, column: pa.Array, totals: dict[int, np.ndarray]) -> None:
-        """Add the shingles' occurrences in these texts."""
-        _, _, _, counts, hashes = text_words(column)
-        for size, lookup in self.shingles.items():
-            at, which = lookup.find(arrow.rolling(hashes, size))
-            totals.setdefault(size, np.zeros(len(lookup.values), np.int64))
-            totals[size] += np.bincount(which, minlength=len(lookup.values))
-
-    def choose(self, totals: dict[int, np.ndarray]) -> None:
-        """The rarest shingle of each window becomes its prefix."""
-        prefixes: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for k, (size, own) in enumerate(self.own):
-            which = np.searchsorted(self.shingles[size].values, own)
-            offset = int(np.argmin(totals[size][which]))
-            prefixes[size][int(own[offset])].append((k, offset))
-        self.prefixes = {size: (Lookup(np.fromiter(p, np.uint64, len(p))), [p[v] for v in sorted(p)]) for size, p in prefixes.items()}
-        self.own, self.shingles = [], {}
-
-    def hits(self, column: pa.Array) -> tuple[np.ndarray, dict[int, tuple[list[tuple[int, int]], set[str]]]]:
-        """Number of words of each text; for texts with occurrences, word intervals and items."""
-        buf, starts, ends, counts, hashes = text_words(column)
-        found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
-        for size, (lookup, of) in self.prefixes.items():
-            at, which = lookup.find(arrow.rolling(hashes, size))
-            text = np.searchsorted(counts, at, side="right") - 1
-            for p, w, t in zip(at.tolist(), which.tolist(), text.tolist()):
-                low, high = int(counts[t]), int(counts[t + 1])
-                for k, offset in of[w]:
-                    a = p - offset
-                    b = a + int(self.lengths[k])
-                    if a < low or b > high:
-                        continue
-                    window = self.windows[k]
-                    if b" ".join(bytes(buf[starts[i] : ends[i]]) for i in range(a, b)) == window:
-                        spans, items = found.setdefault(t, ([], set()))
-                        spans.append((a - low, b - low))
-                        items |= self.items[k]
-        return np.diff(counts), found
-
-
-def block_count(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    """Blocks of about ``block_bytes`` that the items make."""
-    size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 64
-    return max(1, -(-(benchmark.agg(F.sum(size)).first()[0] or 0) // block_bytes))
-
-
-def item_block(benchmark: DataFrame, k: int, n: int, id_col: str = "item_id") -> list[tuple[str, str | None]]:
-    """Items (id as a string, text) of block k of n."""
-    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"), F.col("text").alias("t"))
-    block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else items
-    return [(r.i, r.t) for r in block.collect()]  # block_bytes of text
-
-
-def block_hits(keyed: DataFrame, key: str, benchmark: DataFrame, n: int, window: int = WINDOW) -> DataFrame:
-    """key, spans and items of the texts that a block's windows occur in, written block by block; the driver holds one at a time."""
-    path = new_folder(keyed.sparkSession, "hits")
-    schema = f"{key} long, spans array<struct<a: long, b: long>>, items array<string>"
-    for k in range(n):
-        block = prepared(keyed, item_block(benchmark, k, n), window)
-
-        def run(batch: pa.RecordBatch, block: Block = block) -> Iterator[pa.RecordBatch]:
-            _, found = block.hits(batch.column(0))
-            at = sorted(found)
-            span = pa.array([[{"a": a, "b": b} for a, b in found[k][0]] for k in at], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at, pa.int64())), span, pa.array([sorted(found[k][1]) for k in at], pa.list_(pa.string()))], names=[key, "spans", "items"])
-
-        arrow.map_arrow(keyed.select("text", key), run, schema).write.parquet(f"{path}/block={k}")
-    return keyed.sparkSession.read.schema(schema).parquet(*(f"{path}/block={k}" for k in range(n)))
-
-
-def prepared(docs: DataFrame, items: list[tuple[str, str | None]], window: int = WINDOW) -> Block:
-    """A block whose prefixes follow the shingles' counts over all of ``docs`` (which has a text column)."""
-    block = Block(items, window)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
-        for whole in batches:
-            for batch in arrow.slices(whole):
-                block.count(batch.column(0), totals)
-        for size, n in totals.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size)), pa.array(at), pa.array(n[at])], names=["size", "which", "n"])
-
-    totals = {size: np.zeros(len(x.values), np.int64) for size, x in block.shingles.items()}
-    if block.windows:
-        rows = docs.select("text").mapInArrow(run, "size long, which long, n long").groupBy("size", "which").agg(F.sum("n").alias("n"))
-        for r in rows.collect():  # no more rows than the block has shingles
-            totals[r.size][r.which] = r.n
-    block.choose(totals)
-    return block
-
-
-def covered(spans: list[tuple[int, int]]) -> int:
-    """Words in the union of intervals."""
-    total, end = 0, 0
-    for a, b in sorted(spans):
-        total += max(0, b - max(a, end))
-        end = max(end, b)
-    return total
-
-
-def columns_of(n_words: list[int], spans: list[list[tuple[int, int]]], items: list[list[str]]) -> list[pa.Array]:
-    hit = [covered(s) for s in spans]
-    digest = [hashlib.sha256(",".join(sorted(set(i))).encode()).hexdigest() for i in items]
-    return [pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(set(i)) for i in items], pa.int64()), pa.array(digest, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())]
-
-
-_NAMES = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-_TYPES = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    plain = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    n = block_count(benchmark, block_bytes)
-    if n == 1:
-        block = prepared(plain, item_block(benchmark, 0, 1), window)
+def shingles(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``size`` words (the size is part of the hash), and which lie in one text."""
+    return arrow.mix(arrow.rolling(hashes, size) ^ np.uint64(size)), arrow.inside(counts, size)
 
-        def whole(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            n, found = block.hits(batch.column(1))
-            own = [found.get(k, ([], ())) for k in range(len(n))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns_of(n.tolist(), [s for s, _ in own], [list(i) for _, i in own])], names=[id_col, *_NAMES])
 
-        return arrow.map_arrow(plain, whole, f"{id_col} {kind}, {_TYPES}")
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, id_col: str = "item_id") -> tuple[DataFrame, DataFrame]:
+    """Distinct windows (w, n words, size of a shingle, shingles) and their owners (w, item), written."""
 
-    keyed = with_row_key(plain, id_col)
-    hits = block_hits(keyed, "row_key", benchmark, n, window).groupBy("row_key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        buf, starts, ends, counts, hashes = text_words(batch.column(1))
+        by_size = {}
+        for k, name in enumerate(batch.column(0).to_pylist()):
+            low, high = int(counts[k]), int(counts[k + 1])
+            n = min(window, high - low)
+            if not n:
+                continue
+            size = min(shingle, n)
+            if size not in by_size:
+                by_size[size] = shingles(hashes, counts, size)[0].view(np.int64)
+            own, words = by_size[size], [bytes(buf[a:b]) for a, b in zip(starts[low:high].tolist(), ends[low:high].tolist())]
+            for a in range(0, high - low - n + 1, 4096):
+                b = min(a + 4096, high - low - n + 1)
+                texts = [b" ".join(words[i : i + n]).decode() for i in range(a, b)]
+                lists = own[(low + np.arange(a, b))[:, None] + np.arange(n - size + 1)].ravel()
+                columns = [pa.array(texts, pa.string()), pa.array(np.full(b - a, n, np.int32)), pa.array(np.full(b - a, size, np.int32))]
+                columns += [pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * (n - size + 1)), pa.array(lists)), pa.array([name] * (b - a), pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["w", "n", "size", "shingles", "item"])
+
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.col("text")).distinct()
+    cuts = materialize(arrow.map_arrow(items, cut, "w string, n int, size int, shingles array<long>, item string"), "cuts")
+    return materialize(cuts.select("w", "n", "size", "shingles").dropDuplicates(["w"]), "windows"), cuts.select("w", "item").distinct()
+
+
+class Bits:
+    """A filter of bits over 64-bit hashes: whether a hash may be among the keys."""
+
+    def __init__(self, keys: DataFrame, column: str):
+        n = keys.count()
+        self.bits = min(FILTER_BITS, max(MAP_BITS, 1 << (KEY_BITS * n - 1).bit_length())) if n else MAP_BITS
+        places = F.array(*(F.shiftrightunsigned(column, k * _TURN).bitwiseAND(self.bits - 1) for k in range(PLACES)))
+        place = keys.select(F.explode(places).alias("p")).select((F.col("p") + 1).alias("p"))
+        maps = place.groupBy(F.bitmap_bucket_number("p").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("map"))
+        held = np.zeros(self.bits // 8, np.uint8)
+        for r in maps.toLocalIterator():  # FILTER_BITS in all
+            held[(r["part"] - 1) * MAP_BITS // 8 :][: MAP_BITS // 8] = np.frombuffer(r["map"], np.uint8)
+        self.sent = keys.sparkSession.sparkContext.broadcast(held)
+
+    def among(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that may be keys."""
+        held, at = self.sent.value, np.arange(len(hashes))
+        for k in range(PLACES):
+            p = ((hashes[at] >> np.uint64(k * _TURN)) & np.uint64(self.bits - 1)).astype(np.int64)
+            at = at[(held[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1]
+        return at
+
+
+def prefixes(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """w, n, size, prefix and offset (of the prefix in the window): the shingle that is rarest in all of ``docs`` (ties to the first)."""
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # SHINGLE at most
+    each = windows.select("w", F.posexplode("shingles").alias("offset", "shingle"))
+    asked = materialize(each.select("shingle").distinct(), "asked")
+    bits = Bits(asked, "shingle")
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        counts = text_words(batch.column(2))[3]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(counts), pa.int64())], names=["row_key", id_col, "n"])
-
-    counted = arrow.map_arrow(keyed.select("row_key", id_col, "text"), count, f"row_key long, {id_col} {kind}, n long")
-
-    def finish(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        spans = [[(x["a"], x["b"]) for x in s or []] for s in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns_of(batch.column(1).to_pylist(), spans, [i or [] for i in batch.column(3).to_pylist()])], names=[id_col, *_NAMES])
-
-    return arrow.map_arrow(counted.join(hits, "row_key", "left").select(id_col, "n", "spans", "items"), finish, f"{id_col} {kind}, {_TYPES}")
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id") -> DataFrame:
+        _, _, _, counts, hashes = text_words(batch.column(0))
+        for size in sizes:
+            own, whole = shingles(hashes, counts, size)
+            at = bits.among(own)
+            found, times = np.unique(own[at[whole[at]]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], names=["shingle", "times"])
+
+    found = arrow.map_arrow(docs.select("text"), count, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
+    known = materialize(asked.join(found, "shingle", "left").na.fill(0), "counted")
+    best = each.join(known, "shingle").groupBy("w").agg(F.min(F.struct("times", "offset", "shingle")).alias("best"))
+    return materialize(windows.join(best, "w").select("w", "n", "size", F.col("best.shingle").alias("prefix"), F.col("best.offset").alias("offset")), "prefixes")
+
+
+def places(keyed: DataFrame, key: str, chosen: DataFrame, window: int, sizes: list[int]) -> DataFrame:
+    """For each text key and n_words, and for each of its places where a prefix may occur key, prefix, place, words around it and how many are before."""
+    bits = Bits(chosen.select("prefix").distinct(), "prefix")
+
+    def scan(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        buf, starts, ends, counts, hashes = text_words(batch.column(1))
+        rows = batch.num_rows
+        none = pa.nulls(rows, pa.int64())
+        names = [key, "n_words", "prefix", "place", "before", "around"]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(counts)), none, none, none, pa.nulls(rows, pa.string())], names=names)
+        for size in sizes:
+            own, whole = shingles(hashes, counts, size)
+            at = bits.among(own)
+            at = at[whole[at]]
+            text = np.searchsorted(counts, at, side="right") - 1
+            first = np.maximum(counts[text], at - (window - size))
+            last = np.minimum(counts[text + 1], at + window)
+            for a in range(0, len(at), 4096):
+                some = slice(a, a + 4096)
+                around = [b" ".join(bytes(buf[x:y]) for x, y in zip(starts[f:e].tolist(), ends[f:e].tolist())).decode() for f, e in zip(first[some].tolist(), last[some].tolist())]
+                keys = batch.column(0).take(pa.array(text[some]))
+                before, place = at[some] - first[some], at[some] - counts[text[some]]
+                columns = [keys, pa.nulls(len(keys), pa.int64()), pa.array(own[at[some]].view(np.int64)), pa.array(place), pa.array(before), pa.array(around, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return arrow.map_arrow(keyed.select(key, "text"), scan, f"{key} long, n_words long, prefix long, place long, before long, around string")
+
+
+def find_windows(keyed: DataFrame, key: str, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of texts with a unique long key: (key, n_words) of each; (key, a, b, w) of each occurrence of a window; the windows' owners (w, item)."""
+    windows, owners = benchmark_windows(benchmark, window)
+    chosen = prefixes(keyed, windows)
+    sizes = sorted(r[0] for r in chosen.select("size").distinct().collect())  # SHINGLE at most
+    seen = materialize(places(keyed, key, chosen, window, sizes), "places")
+    start = F.col("before") - F.col("offset")
+    words = F.split("around", " ")
+    fits = (start >= 0) & (start + F.col("n") <= F.size(words))
+    same = F.when(fits, F.array_join(F.slice(words, (F.greatest(start, F.lit(0)) + 1).cast("int"), F.col("n")), " ") == F.col("w"))
+    found = seen.where("prefix IS NOT NULL").drop("n_words").withColumnRenamed("prefix", "seen").join(chosen, (F.col("seen") == F.col("prefix")) & same)
+    a = F.col("place") - F.col("offset")
+    hits = materialize(found.select(key, a.alias("a"), (a + F.col("n")).alias("b"), "w"), "hits")
+    return seen.where("prefix IS NULL").select(key, "n_words"), hits, owners
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    keyed = with_row_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "key")
+    texts, hits, owners = find_windows(keyed, "key", benchmark, window)
+    # words in the union of a text's intervals: what each reaches beyond all that start before it
+    before = Window.partitionBy("key").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    spans = hits.groupBy("key", "a").agg(F.max("b").alias("b")).withColumn("reach", F.coalesce(F.max("b").over(before), F.lit(0)))
+    words = spans.groupBy("key").agg(F.sum(F.greatest(F.lit(0), F.col("b") - F.greatest("a", "reach"))).alias("n_hit"))
+    items = hits.select("key", "w").distinct().join(owners, "w").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = keyed.select("key", "id").join(texts, "key").join(words, "key", "left").join(items, "key", "left")
+    n_hit, own = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
+    return out.select(
+        F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(own).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", own), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+    )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` (text in column text) in which no window of the benchmark occurs."""
-    n = block_count(benchmark, block_bytes)
-    if n > 1:
-        key = free_name(docs, "__row_key")
-        keyed = with_row_key(docs, id_col, key)
-        return without_keys(keyed, block_hits(keyed, key, benchmark, n, window), key).select(*docs.columns)
-    block = prepared(docs, item_block(benchmark, 0, 1), window)
-
-    def keep(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        _, found = block.hits(batch.column(batch.schema.get_field_index("text")))
-        mask = np.ones(batch.num_rows, bool)
-        mask[list(found)] = False
-        yield batch.filter(pa.array(mask))
-
-    return arrow.map_arrow(docs, keep, docs.schema)
+    key = free_name(docs, "__row_key")
+    keyed = with_row_key(docs, id_col, key)
+    _, hits, _ = find_windows(keyed, key, benchmark, window)
+    return without_keys(keyed, hits, key).select(*docs.columns)

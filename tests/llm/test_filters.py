@@ -228,15 +228,15 @@ def contamination_brute(text, items, window=10):
 ITEMS = [(1, "Plain words"), (2, "naïve CAFÉ grüße"), (3, None), (4, ""), (5, " ".join(f"PASSAGE{i}" for i in range(20, 45))), (5, "two words"), (None, "document without an id"), (10, "never there at all"), (6, "alpha beta gamma delta alpha beta gamma delta alpha beta gamma"), (7, "!!! ---")]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 100])
-def test_contamination_awkward(spark, block_bytes):
-    """In one block of the benchmark, and in several whose hits are brought together."""
-    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+@pytest.mark.parametrize("repeats", [1, 3])
+def test_contamination_awkward(spark, repeats):
+    """Repeated items count once."""
+    bench = spark.createDataFrame(ITEMS * repeats, "item_id long, text string")
     docs = awkward(spark).where(F.length(F.coalesce("text", F.lit(""))) < 5000).unionByName(awkward(spark).where("doc_id = 7").withColumn("text", F.expr("substring(text, 1, 600)")))
     rows = docs.select("doc_id", "text").collect()
     want = Counter((r.doc_id, *contamination_brute(r.text, ITEMS)) for r in rows)
-    assert Counter(map(tuple, decontaminate.find_contamination(docs, bench, block_bytes=block_bytes).collect())) == want
-    left = decontaminate.drop_contaminated(docs, bench, block_bytes=block_bytes)
+    assert Counter(map(tuple, decontaminate.find_contamination(docs, bench).collect())) == want
+    left = decontaminate.drop_contaminated(docs, bench)
     assert left.columns == docs.columns and Counter(left.select("doc_id").collect()) == Counter({k: n for k, n in Counter((x[0],) for x in want.elements() if not x[-1]).items()})
 
 
@@ -265,37 +265,39 @@ def test_contamination_query(spark, sf_dir):
         assert out[d.doc_id][1:] == (len(w), sum(mask), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), any(mask))
 
 
-def test_contamination_of_many_blocks(spark, monkeypatch):
-    """One block at a time on the driver, a fixed number of jobs for each, and the rows of one block; text ids."""
-    import gc
-    import weakref
-
+@pytest.mark.parametrize("bits", [1 << 28, 1 << 15])
+def test_contamination_of_many_items(spark, monkeypatch, bits):
+    """Words that are all common, text ids, and a filter whose bits fill up; the number of jobs does not grow with the benchmark."""
     r = random.Random(9)
     words = [f"w{i}" for i in range(400)]
-    items = [(i, " ".join(r.choice(words) for _ in range(r.randrange(1, 40)))) for i in range(60)]
+    items = [(i, " ".join(r.choice(words) for _ in range(r.randrange(1, 40)))) for i in range(600)]
     rows = [(f"id {i}", " ".join([r.choice(words) for _ in range(30)] + (items[i % 60][1].split()[3:18] if i % 3 else []) + ["end"])) for i in range(60)]
-    bench = spark.createDataFrame(items, "item_id long, text string")
     docs = spark.createDataFrame([*rows, rows[1]], "doc_id string, text string").coalesce(2)
-    alive, most, blocks = weakref.WeakSet(), [], []
-    plain = decontaminate.prepared
-
-    def watched(*args):
-        block = plain(*args)
-        gc.collect()
-        alive.add(block)
-        blocks.append(None)
-        most.append(len(alive))
-        return block
-
-    monkeypatch.setattr(decontaminate, "prepared", watched)
-    spark.sparkContext.setJobGroup("blocks", "blocks")
-    got = Counter(map(tuple, decontaminate.find_contamination(docs, bench, block_bytes=700).collect()))
-    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("blocks"))
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
+    jobs = []
+    for n in (60, 600):
+        bench = spark.createDataFrame(items[:n], "item_id long, text string")
+        spark.sparkContext.setJobGroup(f"bench {bits} {n}", "bench")
+        got = Counter(map(tuple, decontaminate.find_contamination(docs, bench).collect()))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"bench {bits} {n}")))
+        assert got == Counter((i, *contamination_brute(t, items[:n])) for i, t in [*rows, rows[1]])
+        left = decontaminate.drop_contaminated(docs, bench)
+        assert Counter(x.doc_id for x in left.collect()) == Counter(x[0] for x in got.elements() if not x[-1])
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    assert len(blocks) > 12 and max(most) <= 2 and jobs <= 6 * len(blocks) + 12
-    assert got == Counter(map(tuple, decontaminate.find_contamination(docs, bench).collect())) == Counter((i, *contamination_brute(t, items)) for i, t in [*rows, rows[1]])
-    left = decontaminate.drop_contaminated(docs, bench, block_bytes=700)
-    assert Counter(x.doc_id for x in left.collect()) == Counter(x[0] for x in got.elements() if not x[-1])
+    assert abs(jobs[0] - jobs[1]) <= 6
+
+
+def test_contamination_driver_memory(spark):
+    """A benchmark of 8 MB (over a million windows) leaves next to nothing on the driver."""
+    import tracemalloc
+
+    items = spark.range(400).select(F.col("id").alias("item_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(2600)), lambda k: F.hex(F.xxhash64("id", k) % 1000003))).alias("text"))
+    docs = spark.range(20).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(100), F.lit(130)), lambda k: F.hex(F.xxhash64("id", k) % 1000003))).alias("text"))
+    tracemalloc.start()
+    out = decontaminate.find_contamination(docs, items).collect()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(r.n_words, r.n_hit, r.n_items) for r in out} == {(31, 31, 1)} and peak < 150e6
 
 
 def test_contamination_empty(spark):
