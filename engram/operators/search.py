@@ -8,14 +8,14 @@ from datetime import datetime
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type as pa_type
 
 from engram.functions import ranking, vector
+from engram.operators import vector_index
 from engram.operators.filters import any_ilike, best_per, top
-from engram.storage import materialize, new_folder
+from engram.storage import materialize
 
 
 def nearest(memories: DataFrame, query: Sequence[float], limit: int = 25, offset: int = 0, digits: int = 6) -> DataFrame:
@@ -33,52 +33,29 @@ def lookup(rows: DataFrame, query: Sequence[float], threshold: float, limit: int
 def lookup_many(rows: DataFrame, queries: DataFrame, threshold: float, limit: int = 1, block: int = 2048, others_only: bool = False) -> DataFrame:
     """The nearest rows (query_id, id, similarity) of each query (query_id, query_embedding); ids of any type.
 
-    The queries go to the tasks in blocks of about ``block``, which bounds what is sent at once; each
-    batch of rows meets a block in one matrix product, and only its best ``limit`` rows a query go on.
-    Of several blocks the driver holds one at a time, and what a block found is written before the next,
-    so the plan does not grow with them. ``others_only`` leaves out the row whose id is the query's.
+    Up to ``block`` queries go to the tasks as they are; each batch of rows meets them in one matrix product, and only its best
+    ``limit`` rows a query go on. More queries than that never come to the driver: rows and queries are dealt to cells and meet
+    there (``vector_index.match``), with the same results. ``others_only`` leaves out the row whose id is the query's.
     """
-    spark = rows.sparkSession
-    asked = queries.select("query_id", "query_embedding").where(F.col("query_embedding").isNotNull())
-    able = rows.where(F.col("embedding").isNotNull()).select("id", "embedding")
-    query_type, id_type = (pa_type(f.schema[c].dataType) for f, c in ((asked, "query_id"), (able, "id")))
-    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {able.schema['id'].dataType.simpleString()}, similarity double"
-
-    def best_of(part: list) -> DataFrame:
-        ids = pa.array([r.query_id for r in part], query_type)
-        matrix = np.array([r.query_embedding for r in part], np.float64).reshape(len(part), -1)
-        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = np.array(ids.to_pylist(), object)
-            for batch in batches:
-                for a in range(0, batch.num_rows, 1024):
-                    own = batch.slice(a, 1024)
-                    turn = pc.rank(own.column(0), tiebreaker="dense").to_numpy()
-                    x = own.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(own.num_rows, -1)
-                    sims = np.round(x @ matrix.T / np.linalg.norm(x, axis=1, keepdims=True), 6)
-                    if others_only:
-                        sims[np.array(own.column(0).to_pylist(), object)[:, None] == names[None, :]] = -2
-                    order = np.lexsort((np.broadcast_to(turn[:, None], sims.shape), -sims), axis=0)[:limit]
-                    best = np.take_along_axis(sims, order, axis=0)
-                    r, q = np.nonzero(best >= threshold)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), own.column(0).take(pa.array(order[r, q])), pa.array(best[r, q])], names=["query_id", "id", "similarity"])
-
-        return able.mapInArrow(run, schema)
-
-    n = max(1, -(-asked.count() // block))
-    if n == 1:
-        part = asked.collect()  # at most ``block`` rows
-        found = best_of(part) if part else spark.createDataFrame([], schema)
-    else:
-        path, made = new_folder(spark, "nearest"), []
-        for k in range(n):
-            part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k).collect()  # about ``block`` rows
-            if part:
-                made.append(f"{path}/block={k}")
-                best_of(part).write.parquet(made[-1])
-        found = spark.read.schema(schema).parquet(*made)
-    return best_per(found, "query_id", F.desc("similarity"), F.asc("id"), limit=limit)
+    asked = vector_index.usable(queries.select("query_id", "query_embedding"), "query_embedding")
+    few = asked.limit(block + 1).collect()
+    if len(few) > block:
+        return vector_index.match(rows, queries, threshold, limit, block, others_only)
+    able = vector_index.usable(rows.select("id", "embedding"))
+    schema = asked.select("query_id").join(able.select("id")).limit(0).withColumn("similarity", F.lit(0.0)).schema
+    if not few:
+        return rows.sparkSession.createDataFrame([], schema)
+    ids = pa.array([r.query_id for r in few], pa_type(asked.schema["query_id"].dataType))
+    vectors = vector_index.unit(np.array([r.query_embedding for r in few], np.float64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                own = batch.slice(a, 1024)
+                r, q, sims = vector_index.best_pairs(own.column(0), vector_index.matrix(own.column(1)), ids, vectors, threshold, limit, others_only)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), own.column(0).take(pa.array(r)), pa.array(sims)], names=["query_id", "id", "similarity"])
+
+    return best_per(able.mapInArrow(run, schema), "query_id", F.desc("similarity"), F.asc("id"), limit=limit)
 
 
 def spaced_words(text: Column) -> Column:
@@ -158,18 +135,10 @@ def hybrid(memories: DataFrame, entities: DataFrame, query: str, embedding: Sequ
     return best.where(F.col("similarity") >= min_similarity)
 
 
-def approximate_nearest(memories: DataFrame, query: Sequence[float], limit: int = 25, tables: int = 8, length: float = 1.0, seed: int = 42) -> DataFrame:
-    """Locality-sensitive hashing over unit vectors, then the exact order of what it finds.
+def approximate_nearest(memories: DataFrame, query: Sequence[float], limit: int = 25, probes: int | None = None) -> DataFrame:
+    """An index of centroid lists, and the exact order within the lists nearest to the query.
 
-    For repeated searches over one table; ``nearest`` is exact and needs one pass as well.
+    For repeated searches build the index once (``vector_index.build``) and ask that; ``nearest`` is exact and needs one pass.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    unit = Normalizer(inputCol="raw", outputCol="unit").transform(memories.withColumn("raw", array_to_vector(F.col("embedding").cast("array<double>"))))
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=length, numHashTables=tables, seed=seed).fit(unit)
-    size = sum(v * v for v in query) ** 0.5
-    found = model.approxNearestNeighbors(unit, Vectors.dense([v / size for v in query]), limit + 100)
-    scored = found.withColumn("similarity", F.round(1 - F.col("distCol") * F.col("distCol") / 2, 6))
-    return top(scored.select(*memories.columns, "similarity"), F.desc("similarity"), F.asc("id"), limit=limit)
+    index = vector_index.build(memories)
+    return vector_index.nearest(index, memories.sparkSession, query, limit, probes).select(*memories.columns, "similarity")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.functions import ranking, vector
-from engram.operators import enrich, episodic, filters, search
+from engram.operators import enrich, episodic, filters, search, vector_index
 from engram.sources import views
 from engram.sources.views import DOC_NOW, EVENT_NOW, with_views
 
@@ -34,6 +34,38 @@ def knn_argmax_batch(spark: SparkSession, sf: str) -> DataFrame:
     return search.lookup_many(rows, asked, 0.1, others_only=True)
 
 
+def _dated_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every vector with a type and a date by its id, and the query set: ids divisible by 20."""
+    rows = views.vectors(spark, sf).selectExpr(
+        "id", "embedding", "CASE WHEN id % 7 = 0 THEN 'personal_profile' ELSE 'note' END AS type", "timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, CAST(id % 90 AS INT)) AS created_at"
+    )
+    return rows, rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+
+
+def ivf_topk(spark: SparkSession, sf: str) -> DataFrame:
+    rows, asked = _dated_vectors(spark, sf)
+    return vector_index.search(vector_index.build(rows), asked, 10)
+
+
+def ivf_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    rows, asked = _dated_vectors(spark, sf)
+    return vector_index.search_ranked(vector_index.build(rows), asked, DOC_NOW, 10)
+
+
+def ivf_rerank_all_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The same where a query looks into every list and compares every row, so that SQL gives the same rows."""
+    rows, asked = _dated_vectors(spark, sf)
+    index = vector_index.build(rows)
+    return vector_index.search_ranked(index, asked, DOC_NOW, 10, len(index.centres), every=True)
+
+
+def vector_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row's nearest other one at or above a similarity, both sides dealt to cells."""
+    rows, _ = _dated_vectors(spark, sf)
+    asked = rows.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    return vector_index.match(rows, asked, 0.4, others_only=True)
+
+
 def recency_calendar(spark: SparkSession, sf: str) -> DataFrame:
     n = views.notes(spark, sf)
     return n.select("id", F.round(ranking.recency_calendar(F.col("created_at"), F.lit(DOC_NOW).cast("timestamp_ntz"), F.col("type")), 6).alias("recency"))
@@ -254,6 +286,14 @@ ORACLES = {
     "knn_topk": with_views("q", rest="SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS similarity FROM embeddings, q ORDER BY 2 DESC, 1 LIMIT 25"),
     "knn_page_offset": with_views("q", rest="SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS similarity FROM embeddings, q ORDER BY 2 DESC, 1 LIMIT 10 OFFSET 20"),
     "knn_threshold_lookup": with_views("q", rest="SELECT vec_id AS id, label, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS similarity FROM embeddings, q WHERE similarity >= 0.1 ORDER BY 3 DESC, 1 LIMIT 3"),
+    "ivf_rerank_all_lists": f"""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, CASE WHEN vec_id % 7 = 0 THEN 'personal_profile' ELSE 'note' END AS type, DATE '2024-01-01' + CAST(vec_id % 90 AS INT) AS day FROM embeddings),
+      p AS (SELECT a.id AS query_id, b.id, b.type, b.day, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.id % 20 = 0),
+      f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 40),
+      s AS (SELECT query_id, id, similarity, round(0.7 * similarity + 0.3 * CASE WHEN type = 'personal_profile' THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / (1.0 + ln(1.0 + greatest(DATE '{DOC_NOW:%Y-%m-%d}' - day, 0))) END, 8) AS score FROM f)
+      SELECT query_id, id, similarity, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10""",
+    "vector_match": """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+      p AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.id <> b.id)
+      SELECT query_id, id, similarity FROM p WHERE similarity >= 0.4 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) = 1""",
     "knn_argmax_batch": """SELECT query_id, id, similarity FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity,
       row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS r
       FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) WHERE r = 1 AND similarity >= 0.1""",
@@ -309,6 +349,7 @@ QUERIES = {
         knn_topk, knn_page_offset, knn_threshold_lookup, knn_argmax_batch, recency_calendar, recency_elapsed, weighted_score, filter_time_range, filter_max_age, filter_in_notin, filter_json_path,
         filter_json_null, filter_like_session, filter_json_session, entity_ilike_any, distinct_entity_ids, list_paged, list_total_hasmore, multi_key_sort, conditional_sort_first, recent_capture,
         severity_sort, latest_one, session_best, episodic_dedup_hour, episodic_dedup_bm25, episodic_raw, bm25_scores, bm25_minmax, hybrid_fusion, hybrid_fusion_cut, enrich_entities, enrich_page,
-        health_left_join, semi_delete_entities, anti_keep_entities, anti_migrate, group_rules_by_key, vector_stats, vector_head, lsh_topk,
+        health_left_join, semi_delete_entities, anti_keep_entities, anti_migrate, group_rules_by_key, vector_stats, vector_head, lsh_topk, ivf_topk,
+        ivf_rerank, ivf_rerank_all_lists, vector_match,
     )
 }

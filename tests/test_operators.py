@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from engram.functions import embedding, ranking, text, vector
-from engram.operators import enrich, episodic, filters, folds, mutate, rules, search, upkeep
+from engram.operators import enrich, episodic, filters, folds, mutate, rules, search, upkeep, vector_index
 from engram.schema import SCHEMAS, memory_id, migrate, text_error, valid_entities, valid_metadata
 from engram.sources import views
 from engram.streaming import captures as stream
@@ -113,13 +113,74 @@ def test_lookup_many(spark, block):
     assert {(m.query_id, m.id) for m in search.lookup_many(frame, asked, 0.2, 2, block, others_only=True).collect()} == want
 
 
-def test_approximate_recall(spark, sf_dir):
-    """The index against brute force for the query set."""
+def test_index_recall_and_share(spark, sf_dir):
+    """The query set (ids divisible by 20) against all rows: most of the true neighbours from at most a fifth of the rows."""
     rows = views.vectors(spark, sf_dir).select("id", "embedding").cache()
     asked = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    want = {(r.query_id, r.id) for r in search.lookup_many(rows, asked, -1.0, limit=25).collect()}
-    got = {(q.query_id, r.id) for q in asked.collect() for r in search.approximate_nearest(rows, [float(x) for x in q.query_embedding]).collect()}
+    index = vector_index.build(rows)
+    assert index.lists(spark).count() == rows.count()
+    want = {(r.query_id, r.id) for r in search.lookup_many(rows, asked, -1.0, limit=10).collect()}
+    got = {(r.query_id, r.id) for r in vector_index.search(index, asked, 10).collect()}
     assert len(got & want) >= 0.9 * len(want)
+    assert vector_index.compared_share(index, asked) <= 0.2
+    every = {(r.query_id, r.id) for r in vector_index.search(index, asked, 10, len(index.centres), every=True).collect()}
+    assert every == want
+    q = asked.first()
+    one = vector_index.nearest(index, spark, list(q.query_embedding), 10)
+    assert len({r.id for r in one.collect()} & {i for k, i in want if k == q.query_id}) >= 7
+    assert "cell#" in one._jdf.queryExecution().toString().split("PartitionFilters:")[1][:200]
+    again = vector_index.open_index(spark, index.path)
+    assert {(r.query_id, r.id) for r in vector_index.search(again, asked, 10).collect()} == got
+    vector_index.add(again, rows.where("id < 30").withColumn("id", F.col("id") + 1_000_000))
+    assert again.lists(spark).count() == rows.count() + 30
+
+
+def test_index_of_clusters(spark):
+    """Where vectors lie in clusters, few lists are looked into."""
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(40, 16)) * 6
+    x = centres[r.integers(0, 40, 2000)] + r.normal(size=(2000, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    index = vector_index.build(rows)
+    want = {(q.query_id, q.id) for q in search.lookup_many(rows, asked, -1.0, limit=10).collect()}
+    got = {(q.query_id, q.id) for q in vector_index.search(index, asked, 10, every=True).collect()}
+    assert len(got & want) >= 0.9 * len(want) and index.probes <= len(index.centres) // 5
+    assert vector_index.compared_share(index, asked) <= 0.2
+
+
+def test_index_of_awkward_rows(spark):
+    kind = "id long, embedding array<double>"
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0, 0.0]), (6, [-1.0, 0.5])], kind)
+    asked = rows.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    for got in (vector_index.match(rows, asked, 0.9, 2), search.lookup_many(rows, asked, 0.9, 2), search.lookup_many(rows, asked, 0.9, 2, 1)):
+        assert {(r.query_id, r.id) for r in got.collect()} == {(1, 1), (1, 5), (5, 1), (5, 5), (6, 6)}
+    assert vector_index.match(rows.limit(0), asked, 0.5).count() == 0 and vector_index.match(rows, asked.limit(0), 0.5).count() == 0
+    assert vector_index.search(vector_index.build(rows.where("id = 2")), asked, 3).count() == 0
+    assert vector_index.search(vector_index.build(rows), asked, 1, 9).count() == 3
+
+
+def test_match_of_large_sets(spark):
+    """Cells of several parts with a hot one, against a matrix; the same number of jobs for few and many queries, no nested loops."""
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(12, 8)) * 4
+    x = centres[np.minimum(r.integers(0, 30, 1500), 11)] + r.normal(size=(1500, 8))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").repartition(4).cache()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    jobs = []
+    for n in (100, 1500):
+        asked = frame.where(f"id < {n}").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+        spark.sparkContext.setJobGroup(f"match {n}", "match")
+        out = vector_index.match(frame, asked, 0.97, 2, part=64, others_only=True)
+        assert "NestedLoop" not in out._jdf.queryExecution().toString() and "Cartesian" not in out._jdf.queryExecution().toString()
+        got = {(m.query_id, m.id) for m in out.collect()}
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"match {n}")))
+        sims = np.round(unit[:n] @ unit.T, 6)
+        sims[np.arange(n), np.arange(n)] = -2
+        want = {(q, int(i)) for q in range(n) for i in np.lexsort((np.arange(1500), -sims[q]))[:2] if sims[q, i] >= 0.97}
+        assert got == want and len(want) > n // 2
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert abs(jobs[0] - jobs[1]) <= 4
 
 
 def test_recency_rules_differ_near_midnight(spark):
