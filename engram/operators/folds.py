@@ -1,7 +1,15 @@
-"""States that depend on the order of events: moving averages and moods, as ordered aggregates."""
+"""States that depend on the order of events: moving averages and moods.
+
+One step of either maps the state before to the state after, and steps in a row make one map of the same form. So a key's events are
+cut into segments of SEGMENT events, each segment becomes one map, segments in a row become one again, and the map of all is
+applied to the first state. No task holds a key's history. A key of one segment is folded step by step, as if there were no
+segments; beyond that results agree but for the rounding of sums.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +31,27 @@ GUIDANCE = {
 }
 
 
+#: Events in a segment, and maps that make one of the next level.
+SEGMENT = 1000
+#: Levels before the maps of a key are put together: with two, a key of a billion events has some thousand maps left.
+LEVELS = 2
+
+
+def in_segments(df: DataFrame, key: str, order: Sequence[str], step: Column, together: Callable[[Column], Column], segment: int = SEGMENT) -> DataFrame:
+    """key and map: the map of all of a key's steps in order; ``together`` makes one of an array of maps.
+
+    Range partitions by key and order number the events, so a key may span any number of tasks; groups of ``segment`` numbers
+    give the segments, and the first numbers of these the order of the next level.
+    """
+    ranged = df.select(key, *order, step.alias("map")).repartitionByRange(key, *order, F.hash("map")).sortWithinPartitions(key, *order, F.hash("map"))
+    maps = ranged.select(key, F.monotonically_increasing_id().alias("n"), "map")
+    for level in range(LEVELS):
+        lists = maps.groupBy(key, F.floor(F.col("n") / segment ** (level + 1)).alias("s")).agg(F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("n", "map"))).alias("maps"))
+        maps = lists.select(key, "n", together(F.transform("maps", lambda x: x["map"])).alias("map"))
+    whole = maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "map"))).alias("maps"))
+    return whole.select(key, together(F.transform("maps", lambda x: x["map"])).alias("map"))
+
+
 def clamp(value: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))
 
@@ -47,39 +76,59 @@ def guidance(label: Column) -> Column:
 def mood(events: DataFrame, key: str, kind: str = "event_type", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """The mood of each key after its events; the clamp at every step makes the order matter.
 
-    A key's events are held as an array of small numbers (their kind's two deltas), sorted in Spark.
+    A step is x -> clamp(a * x + b, low, high), and so are two steps in a row.
     """
     deltas = [x for k, v in DELTAS.items() for x in (F.lit(k), F.struct(F.lit(v[0]).alias("v"), F.lit(v[1]).alias("a")))]
-    step = F.struct(*order, F.element_at(F.create_map(*deltas), F.col(kind)).alias("d"), (F.col(kind) == "natural_decay").alias("decays"))
+    given, decays = F.element_at(F.create_map(*deltas), F.col(kind)), F.col(kind) == "natural_decay"
     known = events.where(F.col(kind).isin(*DELTAS))
-    lists = known.groupBy(key).agg(
-        F.array_sort(F.collect_list(step)).alias("steps"),
-        F.sum(F.when(F.col(kind) == "user_insult", 1).otherwise(0)).alias("hurt_count"),
-        F.sum(F.when(F.col(kind) == "positive_feedback", 1).otherwise(0)).alias("joy_count"),
-    )
 
-    def moved(state: Column, x: Column, field: str, delta: str) -> Column:
-        return clamp(F.when(x["decays"], state[field] * (1 - DECAY)).otherwise(state[field] + x["d"][delta]))
+    def step(delta: str) -> Column:
+        return F.struct(F.when(decays, 1.0 - DECAY).otherwise(1.0).alias("a"), F.when(decays, 0.0).otherwise(given[delta]).alias("b"), F.lit(-1.0).alias("low"), F.lit(1.0).alias("high"))
+
+    def moved(now: Column, then: Column) -> Column:
+        held = lambda x: F.greatest(then["low"], F.least(then["high"], then["a"] * x + then["b"]))
+        return F.struct((then["a"] * now["a"]).alias("a"), (then["a"] * now["b"] + then["b"]).alias("b"), held(now["low"]).alias("low"), held(now["high"]).alias("high"))
+
+    def together(maps: Column) -> Column:
+        rest = F.slice(maps, 2, F.greatest(F.size(maps), F.lit(1)))
+        return F.aggregate(rest, maps[0], lambda s, x: F.struct(moved(s["v"], x["v"]).alias("v"), moved(s["a"], x["a"]).alias("a")))
 
-    start = F.struct(F.lit(0.0).alias("valence"), F.lit(0.0).alias("arousal"))
-    end = F.aggregate("steps", start, lambda s, x: F.struct(moved(s, x, "valence", "v").alias("valence"), moved(s, x, "arousal", "a").alias("arousal")))
-    out = lists.select(key, end.alias("end"), "hurt_count", "joy_count").select(key, "end.valence", "end.arousal", F.lit(DOMINANCE).alias("dominance"), "hurt_count", "joy_count")
+    ends = in_segments(known, key, order, F.struct(step("v").alias("v"), step("a").alias("a")), together)
+    at_zero = lambda m: F.greatest(m["low"], F.least(m["high"], m["b"]))
+    counts = known.groupBy(F.col(key).alias("its_key")).agg(
+        F.sum(F.when(F.col(kind) == "user_insult", 1).otherwise(0)).alias("hurt_count"), F.sum(F.when(F.col(kind) == "positive_feedback", 1).otherwise(0)).alias("joy_count")
+    )
+    states = ends.select(key, at_zero(F.col("map.v")).alias("valence"), at_zero(F.col("map.a")).alias("arousal"), F.lit(DOMINANCE).alias("dominance"))
+    out = states.join(counts, F.col(key).eqNullSafe(F.col("its_key"))).drop("its_key")
     return out.withColumn("mood_label", mood_label(F.col("valence"), F.col("arousal")))
 
 
 def moving_average(samples: DataFrame, key: str, features: str = "features", order: tuple[str, ...] = ("ts",), alpha: float = 0.10) -> DataFrame:
-    """Exponential moving average of feature arrays; the first sample starts it, alpha of 1 or more replaces."""
-    lists = samples.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(features).alias("x")))).alias("s"), F.count("*").alias("sample_count"))
-    first = F.col("s")[0]["x"]
-    rest = F.slice("s", 2, F.greatest(F.size("s"), F.lit(1)))
-
-    def blend(state: Column, sample: Column) -> Column:
-        if alpha >= 1:
-            return sample["x"]
-        new = sample["x"]
-        return F.transform(state, lambda v, i: v * F.lit(1.0 - alpha) + F.coalesce(F.get(new, i), F.lit(0.0)) * F.lit(alpha))
-
-    return lists.select(key, F.aggregate(rest, first, blend).alias("features"), "sample_count")
+    """Exponential moving average of feature arrays; the first sample starts it and gives its length, alpha of 1 or more replaces.
+
+    A segment's map holds what it is if it comes first, and otherwise the weight left to the state before and the weighted sum added.
+    """
+    x = F.col(features).cast("array<double>")
+    if alpha >= 1:
+        last = F.max_by(features, F.struct(*order, F.hash(features)))
+        return samples.groupBy(key).agg(last.alias("features"), F.count("*").alias("sample_count"))
+    keep, new = F.lit(1.0 - alpha), F.lit(alpha)
+    step = F.struct(x.alias("first"), keep.alias("weight"), F.transform(x, lambda v: F.coalesce(v.cast("double"), F.lit(0.0)) * new).alias("added"))
+
+    def blend(state: Column, then: Column) -> Column:
+        return F.transform(state, lambda v, i: v * then["weight"] + F.coalesce(F.get(then["added"], i), F.lit(0.0)))
+
+    def joined(now: Column, then: Column) -> Column:
+        zero = lambda v: F.coalesce(v, F.lit(0.0))
+        added = F.zip_with(now["added"], then["added"], lambda p, q: zero(p) * then["weight"] + zero(q))
+        return F.struct(blend(now["first"], then).alias("first"), (now["weight"] * then["weight"]).alias("weight"), added.alias("added"))
+
+    def together(maps: Column) -> Column:
+        return F.aggregate(F.slice(maps, 2, F.greatest(F.size(maps), F.lit(1))), maps[0], joined)
+
+    ends = in_segments(samples, key, order, step, together)
+    counts = samples.groupBy(F.col(key).alias("its_key")).agg(F.count("*").alias("sample_count"))
+    return ends.join(counts, F.col(key).eqNullSafe(F.col("its_key"))).select(key, F.col("map.first").alias("features"), "sample_count")
 
 
 def overlay(state: DataFrame, traits: DataFrame, title: str = "LIVE STATE") -> DataFrame:

@@ -460,6 +460,51 @@ def test_moving_average(spark, values, alpha):
     assert got.features == pytest.approx([want, -want]) and got.sample_count == len(values)
 
 
+def test_folds_of_many_segments(spark, monkeypatch):
+    """Segments of three events and several levels, keys of all lengths, a null key, samples of other lengths than the first."""
+    monkeypatch.setattr(folds.in_segments, "__defaults__", (3,))
+    r = random.Random(6)
+    events = [(r.choice([1, 1, 1, 2, 3, None]), i // 3, i, r.choice([*folds.DELTAS, "unknown"])) for i in range(400)] + [(9, 0, 0, "user_insult")]
+    want, counts = {}, {}
+    for user, _, _, kind in events:
+        if kind in folds.DELTAS:
+            v, a = want.get(user, (0.0, 0.0))
+            dv, da = folds.DELTAS[kind]
+            v, a = (v * (1 - folds.DECAY), a * (1 - folds.DECAY)) if kind == "natural_decay" else (v + dv, a + da)
+            want[user] = max(-1.0, min(1.0, v)), max(-1.0, min(1.0, a))
+            counts[user] = counts.get(user, 0) + (kind == "user_insult")
+    df = spark.createDataFrame(events, "user long, ts long, event_id long, event_type string").repartition(5)
+    got = {m.user: m for m in folds.mood(df, "user").collect()}
+    assert set(got) == set(want) and {k: m.hurt_count for k, m in got.items()} == counts
+    for k, (v, a) in want.items():
+        assert got[k].valence == pytest.approx(v, abs=1e-9) and got[k].arousal == pytest.approx(a, abs=1e-9)
+    samples = [(r.choice([1, 2, 2, None]), i, [r.uniform(-5, 5) for _ in range(r.choice([1, 2, 2, 3]))]) for i in range(200)]
+    state = {}
+    for k, _, x in samples:
+        own = state.get(k)
+        state[k] = x if own is None else [v * 0.9 + (x[i] if i < len(x) else 0.0) * 0.1 for i, v in enumerate(own)]
+    got = {m.k: m for m in folds.moving_average(spark.createDataFrame(samples, "k long, ts long, features array<double>").repartition(4), "k").collect()}
+    assert set(got) == set(state) and all(got[k].features == pytest.approx(v) for k, v in state.items())
+
+
+def test_folds_of_one_long_key(spark):
+    """A million events of one key, in segments over all tasks."""
+    kinds = list(folds.DELTAS)
+    events = spark.range(1_000_000).select(F.lit(1).alias("user"), F.col("id").alias("ts"), F.col("id").alias("event_id"), F.element_at(F.lit(kinds), (F.pmod(F.xxhash64("id"), F.lit(len(kinds))) + 1).cast("int")).alias("event_type"))
+    v = a = 0.0
+    for (kind,) in events.select("event_type").toPandas().itertuples(index=False):
+        dv, da = folds.DELTAS[kind]
+        v, a = (v * 0.98, a * 0.98) if kind == "natural_decay" else (v + dv, a + da)
+        v, a = max(-1.0, min(1.0, v)), max(-1.0, min(1.0, a))
+    got = folds.mood(events, "user").first()
+    assert got.valence == pytest.approx(v, abs=1e-9) and got.arousal == pytest.approx(a, abs=1e-9)
+    samples = events.select("user", "ts", F.array((F.col("ts") % 7).cast("double")).alias("features"))
+    state = 0.0
+    for i in range(1, 1_000_000):
+        state = state * 0.9 + (i % 7) * 0.1
+    assert folds.moving_average(samples, "user").first().features == pytest.approx([state])
+
+
 def test_overlay_text(spark):
     state = spark.createDataFrame([(0.2, 0.0, None)], "valence double, arousal double, mood_label string")
     traits = spark.createDataFrame([("user_interests", "maps"), ("user_projects", ""), ("speaker_profile", "male_adult")], "trait_key string, trait_value string")
