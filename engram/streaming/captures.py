@@ -1,8 +1,9 @@
 """The chain from raw capture rows to stored captures, for tables and for streams.
 
 A capture row has ts, capture_id, user_id, app, title, idle_ms, diff_ratio, width, height, ocr_raw.
-On tables the chain uses windows over each user's captures in order (ts, capture_id); on streams the
-same chain keeps a small state for each user. The gates, in order: idle users; overlay windows; no
+On tables the chain uses windows over each user's captures in order (ts, capture_id), cut by the hour: the
+last state of every hour is handed on to the user's next one, so that a busy user's captures lie over many
+tasks. On streams the same chain keeps a small state for each user. The gates, in order: idle users; overlay windows; no
 change of title and too few changed pixels; short texts; the text that was seen last.
 """
 
@@ -18,8 +19,27 @@ OVERLAY_APPS = ("Electron",)
 _STATE = "app string, title string, hash string"
 
 
-def _ordered(user: str = "user_id") -> Window:
-    return Window.partitionBy(user).orderBy("ts", "capture_id")
+#: Captures of one user are taken together by this length of time.
+BUCKET = "hour"
+
+
+def _handed_on(captures: DataFrame, value: Column) -> tuple[DataFrame, Window]:
+    """Rows with __value, and the window of a user's hour, which a row (with __real false) opens that holds the last value before the hour.
+
+    Values that are null are passed over. The rows that open hours are one for each user and hour.
+    """
+    rows = captures.withColumn("__value", value).withColumn("__hour", F.date_trunc(BUCKET, "ts")).withColumn("__real", F.lit(True))
+    last = F.max_by("__value", F.when(F.col("__value").isNotNull(), F.struct("ts", "capture_id")))
+    ends = rows.groupBy("user_id", "__hour").agg(last.alias("__value"))
+    earlier = Window.partitionBy("user_id").orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)
+    opened = ends.withColumn("__value", F.last("__value", ignorenulls=True).over(earlier)).where("__value IS NOT NULL").withColumn("__real", F.lit(False))
+    return rows.unionByName(opened, allowMissingColumns=True), Window.partitionBy("user_id", "__hour").orderBy("__real", "ts", "capture_id")
+
+
+def _with_before(captures: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds the value (a struct) of the user's row before; null for the first."""
+    rows, w = _handed_on(captures, value)
+    return rows.withColumn(name, F.lag("__value").over(w)).where("__real").drop("__value", "__hour", "__real")
 
 
 def is_overlay(app: Column, overlays: Sequence[str] = OVERLAY_APPS) -> Column:
@@ -35,30 +55,33 @@ def text_hash(text: Column) -> Column:
 
 def last_real_app(captures: DataFrame, overlays: Sequence[str] = OVERLAY_APPS) -> DataFrame:
     """Adds real_app: the newest app up to the row that is no overlay."""
-    real = F.when(~is_overlay(F.col("app"), overlays), F.col("app"))
-    return captures.withColumn("real_app", F.last(real, ignorenulls=True).over(_ordered().rowsBetween(Window.unboundedPreceding, 0)))
+    rows, w = _handed_on(captures, F.when(~is_overlay(F.col("app"), overlays), F.col("app")))
+    newest = F.last("__value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("real_app", newest).where("__real").drop("__value", "__hour", "__real")
 
 
 def title_changes(captures: DataFrame) -> DataFrame:
     """Adds changed: app or title differ from the user's row before; a first row is a change."""
-    w = _ordered()
-    same = F.lag("app").over(w).eqNullSafe(F.col("app")) & F.lag("title").over(w).eqNullSafe(F.col("title"))
-    return captures.withColumn("changed", F.lag("capture_id").over(w).isNull() | ~same)
+    held = _with_before(captures, F.struct("app", "title"), "__before")
+    before = F.col("__before")
+    same = before["app"].eqNullSafe(F.col("app")) & before["title"].eqNullSafe(F.col("title"))
+    return held.withColumn("changed", before.isNull() | ~same).drop("__before")
 
 
 def resizes(captures: DataFrame, most: int = RESIZE) -> DataFrame:
     """Rows whose width or height moved by more than ``most`` from the row before."""
-    w = _ordered()
-    moved = (F.abs(F.col("width") - F.lag("width").over(w)) > most) | (F.abs(F.col("height") - F.lag("height").over(w)) > most)
-    return captures.withColumn("resized", F.coalesce(moved, F.lit(False))).where("resized").drop("resized")
+    held = _with_before(captures, F.struct("width", "height"), "__before")
+    before = F.col("__before")
+    moved = (F.abs(F.col("width") - before["width"]) > most) | (F.abs(F.col("height") - before["height"]) > most)
+    return held.where(F.coalesce(moved, F.lit(False))).drop("__before")
 
 
 def drop_repeats(captures: DataFrame, text: str = "ocr_raw", keep: Column | None = None) -> DataFrame:
     """Rows whose text differs from that of the user's row before (A, B, A stays whole); ``keep`` overrides."""
-    before = F.lag(text_hash(F.col(text))).over(_ordered())
-    held = captures.withColumn("__same", F.coalesce(before == text_hash(F.col(text)), F.lit(False)))
-    wanted = ~F.col("__same") if keep is None else ~F.col("__same") | keep
-    return held.where(wanted).drop("__same")
+    own = text_hash(F.col(text))
+    held = _with_before(captures, F.struct(own.alias("hash")), "__before")
+    wanted = ~F.coalesce(F.col("__before")["hash"] == own, F.lit(False))
+    return held.where(wanted if keep is None else wanted | keep).drop("__before")
 
 
 def gated(captures: DataFrame, overlays: Sequence[str] = OVERLAY_APPS) -> DataFrame:

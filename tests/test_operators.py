@@ -460,6 +460,41 @@ def test_moving_average(spark, values, alpha):
     assert got.features == pytest.approx([want, -want]) and got.sample_count == len(values)
 
 
+def test_gates_of_a_busy_user(spark):
+    """All rows of one user, over many hours and tasks, against a plain loop; null users, hours without a real app, equal texts over a boundary."""
+    from datetime import timedelta
+
+    r = random.Random(7)
+    rows, at = [], datetime(2024, 1, 1)
+    for i in range(1200):
+        at += timedelta(seconds=r.choice([5, 30, 600, 4000]))
+        rows.append((at, i, r.choice(["busy"] * 8 + [None, "b"]), r.choice(["Code", "Electron", "Electron Helper"]), r.choice("xy"), r.choice([100, 150, 400, None]), 5, r.choice(["text one", "text two"])))
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, capture_id long, user_id string, app string, title string, width int, height int, ocr_raw string").repartition(6)
+    changed, resized, texts, apps, before, real = {}, set(), set(), {}, {}, {}
+    for t, i, user, app, title, width, height, ocr in rows:
+        old = before.get(user)
+        changed[i] = old is None or (old[3], old[4]) != (app, title)
+        if old and width is not None and old[5] is not None and abs(width - old[5]) > 100:
+            resized.add(i)
+        if not old or old[7] != ocr:
+            texts.add(i)
+        if "Electron" not in app:
+            real[user] = app
+        apps[i] = real.get(user)
+        before[user] = (t, i, user, app, title, width, height, ocr)
+    assert {x.capture_id: x.changed for x in stream.title_changes(df).collect()} == changed
+    assert {x.capture_id for x in stream.resizes(df).collect()} == resized
+    assert {x.capture_id for x in stream.drop_repeats(df).collect()} == texts
+    assert {x.capture_id: x.real_app for x in stream.last_real_app(df).collect()} == apps
+    assert stream.title_changes(df).columns == [*df.columns, "changed"] and stream.drop_repeats(df).columns == df.columns
+    tasks = stream.drop_repeats(df.where("user_id = 'busy'")).withColumn("p", F.spark_partition_id())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert tasks.select("p").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_folds_of_many_segments(spark, monkeypatch):
     """Segments of three events and several levels, keys of all lengths, a null key, samples of other lengths than the first."""
     monkeypatch.setattr(folds.in_segments, "__defaults__", (3,))
