@@ -1,11 +1,13 @@
 """Changes as new versions of a table: every function takes frames and returns the table after the change.
 
-Nothing is changed in place; ``replace_table`` writes a version beside the old one and swaps the
-pointer file, so a reader of the old version is never disturbed.
+Nothing is changed in place; ``replace_table`` writes a version beside the old one and then commits it as
+the next number in a list of commits, so a reader of the old version is never disturbed and one that begins
+sees a whole version. ``tidy_table`` removes what no commit in use names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import datetime
 
@@ -183,15 +185,74 @@ def cancel_tasks(base: DataFrame, ids: Sequence[str], now: datetime) -> DataFram
     return set_where(set_where(base, hit, "completed_at", F.lit(now).cast("timestamp_ntz")), hit, "status", F.lit("cancelled"))
 
 
-def replace_table(df: DataFrame, folder: str, version: str) -> str:
-    """Write a version under a table's folder; the caller then points readers at it."""
-    path = f"{folder.rstrip('/')}/v={version}"
+def _files(spark: SparkSession, path: str):
+    """Hadoop's path, its file system, and its file context (whose rename refuses to replace)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(conf), jvm.org.apache.hadoop.fs.FileContext.getFileContext(hadoop.getFileSystem(conf).getUri(), conf)
+
+
+def table_commits(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """Number and version of a table's commits, oldest first; empty where nothing was committed."""
+    path, fs, _ = _files(spark, f"{folder.rstrip('/')}/_commits")
+    if not fs.exists(path):
+        return []
+    read = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString
+    out = []
+    for f in fs.listStatus(path):
+        if f.getPath().getName().isdigit():
+            stream = fs.open(f.getPath())
+            out.append((int(f.getPath().getName()), read(stream, "UTF-8")))
+            stream.close()
+    return sorted(out)
+
+
+def replace_table(df: DataFrame, folder: str, version: str, after: int | None = None) -> str:
+    """Write a version under a table's folder and commit it; the version's path.
+
+    ``after`` is the number of the commit that the change was made from (by default the newest when writing begins). Where another writer
+    has committed since, nothing is committed and ValueError is raised. A write that fails commits nothing. The commit is a
+    rename that does not replace, which is atomic on file systems like HDFS.
+    """
+    spark, folder = df.sparkSession, folder.rstrip("/")
+    if not version or "/" in version or version.startswith((".", "_")):
+        raise ValueError(f"no name for a version: {version!r}")
+    if after is None:
+        after = max((n for n, _ in table_commits(spark, folder)), default=0)
+    path = f"{folder}/v={version}"
     df.write.mode("errorifexists").parquet(path)
+    if any(n > after for n, _ in table_commits(spark, folder)):
+        raise ValueError("another version was committed meanwhile")
+    whole, fs, context = _files(spark, f"{folder}/_commits/.{uuid.uuid4().hex}")
+    stream = fs.create(whole)
+    stream.write(bytearray(version.encode()))
+    stream.close()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(whole, _files(spark, f"{folder}/_commits/{after + 1:012d}")[0], none)  # one writer alone gets the number
+    except Exception as error:
+        fs.delete(whole, False)
+        raise ValueError("another version was committed meanwhile") from error
     return path
 
 
 def read_latest(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest version of a table; only that version's files are read."""
-    versions = spark.read.parquet(folder)
-    newest = versions.agg(F.max("v")).first()[0]
-    return versions.where(F.col("v") == newest).drop("v")
+    """The version that was committed last; only its files are read."""
+    commits = table_commits(spark, folder)
+    if not commits:
+        raise ValueError(f"no version of {folder} was committed")
+    return spark.read.parquet(f"{folder.rstrip('/')}/v={commits[-1][1]}")
+
+
+def tidy_table(spark: SparkSession, folder: str, keep: int = 2, seconds: float = 86_400, now: datetime | None = None) -> list[str]:
+    """Remove versions that none of the last ``keep`` commits names and that are older than ``seconds``; their names.
+
+    Readers of versions that were replaced, and writers that have not committed yet, have that time to end.
+    """
+    root, fs, _ = _files(spark, folder.rstrip("/"))
+    used = {f"v={version}" for _, version in table_commits(spark, folder)[-max(1, keep) :]}
+    before = ((now or datetime.now()).timestamp() - seconds) * 1000
+    gone = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("v=") and f.getPath().getName() not in used and f.getModificationTime() <= before]
+    for path in gone:
+        fs.delete(path, True)
+    return sorted(path.getName()[2:] for path in gone)

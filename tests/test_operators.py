@@ -346,6 +346,31 @@ def test_versions(spark, tmp_path):
     assert mutate.read_latest(spark, folder).count() == 5
 
 
+def test_versions_are_committed(spark, tmp_path):
+    """In the order of commits, not of names; failed writes and late writers commit nothing; readers keep their version."""
+    folder = str(tmp_path / "t")
+    with pytest.raises(ValueError):
+        mutate.read_latest(spark, folder)
+    mutate.replace_table(spark.range(10), folder, "2024-9")
+    old = mutate.read_latest(spark, folder)
+    mutate.replace_table(spark.range(20), folder, "2024-10")
+    assert mutate.read_latest(spark, folder).count() == 20 and old.count() == 10
+    with pytest.raises(Exception, match="stop"):
+        mutate.replace_table(spark.range(30).select(F.raise_error(F.lit("stop")).cast("long").alias("id")), folder, "broken")
+    assert mutate.read_latest(spark, folder).count() == 20
+    begun = mutate.table_commits(spark, folder)[-1][0]  # two writers from the same version
+    mutate.replace_table(spark.range(40), folder, "first", after=begun)
+    with pytest.raises(ValueError, match="meanwhile"):
+        mutate.replace_table(spark.range(50), folder, "second", after=begun)
+    assert mutate.read_latest(spark, folder).count() == 40
+    assert [v for _, v in mutate.table_commits(spark, folder)] == ["2024-9", "2024-10", "first"]
+    assert mutate.tidy_table(spark, folder) == []
+    assert mutate.tidy_table(spark, folder, seconds=0, now=datetime(2100, 1, 1)) == ["2024-9", "broken", "second"]
+    assert mutate.read_latest(spark, folder).count() == 40
+    with pytest.raises(ValueError):
+        mutate.replace_table(spark.range(1), folder, "a/b")
+
+
 def test_seed_twice(spark):
     rows = spark.createDataFrame([("1", "a"), ("2", "b")], "id string, key string")
     once = mutate.seed(rows.limit(0), rows, ["key"])
