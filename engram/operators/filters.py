@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.storage import materialize
+
 #: Columns that a caller may sort by.
 SORTABLE = ("created_at", "updated_at", "type", "id", "hit_count", "priority")
 CAPTURES = "screen_capture"
@@ -71,9 +73,31 @@ def active(status: Column) -> Column:
     return F.coalesce(status, F.lit("active")) == "active"
 
 
+#: A page that ends further down than this is found by the counts of range partitions.
+DEEP = 100_000
+
+
 def top(df: DataFrame, *order: Column, limit: int = 25, offset: int = 0) -> DataFrame:
-    """A page in order; Spark keeps limit + offset rows a task."""
-    return df.orderBy(*order).offset(offset).limit(limit)
+    """A page in order; Spark keeps limit + offset rows a task, and of deep pages only the parts that the page lies in."""
+    return df.orderBy(*order).offset(offset).limit(limit) if offset + limit <= DEEP else deep_page(df, *order, limit=limit, offset=offset)
+
+
+def deep_page(df: DataFrame, *order: Column, limit: int, offset: int) -> DataFrame:
+    """The rows ``offset`` to ``offset + limit`` in order, however deep.
+
+    The rows are dealt to ranges of the order and written once with the number of their range; the counts of the ranges (a row each)
+    tell which of them the page touches, and only those are read and sorted. Where rows tie in the whole order, they lie in one range.
+    """
+    part = "__part"
+    ranged = materialize(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranged")
+    start, before, touched = 0, 0, []
+    for r in sorted(ranged.groupBy(part).count().collect()):  # a row for each range
+        if start < offset + limit and start + r["count"] > offset:
+            before = before if touched else start
+            touched.append(r[part])
+        start += r["count"]
+    rows = ranged.where(F.col(part).isin(touched)) if touched else ranged.limit(0)
+    return rows.drop(part).orderBy(*order).offset(offset - before if touched else 0).limit(limit)
 
 
 def sorted_page(df: DataFrame, by: str = "created_at", descending: bool = True, limit: int = 25, offset: int = 0) -> DataFrame:

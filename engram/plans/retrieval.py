@@ -66,6 +66,11 @@ def vector_match(spark: SparkSession, sf: str) -> DataFrame:
     return vector_index.match(rows, asked, 0.4, others_only=True)
 
 
+def list_deep_page(spark: SparkSession, sf: str) -> DataFrame:
+    rows = views.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return filters.deep_page(rows, F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber"), limit=25, offset=5000).select("l_orderkey", "l_linenumber")
+
+
 def recency_calendar(spark: SparkSession, sf: str) -> DataFrame:
     n = views.notes(spark, sf)
     return n.select("id", F.round(ranking.recency_calendar(F.col("created_at"), F.lit(DOC_NOW).cast("timestamp_ntz"), F.col("type")), 6).alias("recency"))
@@ -291,6 +296,7 @@ ORACLES = {
       f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 40),
       s AS (SELECT query_id, id, similarity, round(0.7 * similarity + 0.3 * CASE WHEN type = 'personal_profile' THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / (1.0 + ln(1.0 + greatest(DATE '{DOC_NOW:%Y-%m-%d}' - day, 0))) END, 8) AS score FROM f)
       SELECT query_id, id, similarity, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10""",
+    "list_deep_page": "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 25 OFFSET 5000",
     "vector_match": """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
       p AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.id <> b.id)
       SELECT query_id, id, similarity FROM p WHERE similarity >= 0.4 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) = 1""",
@@ -350,6 +356,6 @@ QUERIES = {
         filter_json_null, filter_like_session, filter_json_session, entity_ilike_any, distinct_entity_ids, list_paged, list_total_hasmore, multi_key_sort, conditional_sort_first, recent_capture,
         severity_sort, latest_one, session_best, episodic_dedup_hour, episodic_dedup_bm25, episodic_raw, bm25_scores, bm25_minmax, hybrid_fusion, hybrid_fusion_cut, enrich_entities, enrich_page,
         health_left_join, semi_delete_entities, anti_keep_entities, anti_migrate, group_rules_by_key, vector_stats, vector_head, lsh_topk, ivf_topk,
-        ivf_rerank, ivf_rerank_all_lists, vector_match,
+        ivf_rerank, ivf_rerank_all_lists, vector_match, list_deep_page,
     )
 }

@@ -339,6 +339,17 @@ def test_update_keeps_type_and_creation(spark):
     assert sorted(map(tuple, left.select("memory_id", "entity").collect())) == [("m1", "c"), ("m2", "b")]
 
 
+@pytest.mark.parametrize("offset", [0, 1_000_000, 1_199_990, 1_300_000])
+def test_deep_pages(spark, offset):
+    """A page far down a list of repeated and null values is that of the sorted list."""
+    rows = spark.range(0, 1_200_000, 1, 7).select("id", F.when(F.col("id") % 11 > 0, F.pmod(F.xxhash64("id"), F.lit(5000))).alias("v"))
+    order = (F.desc_nulls_last("v"), F.asc("id"))
+    plain = rows.toPandas().sort_values(["v", "id"], ascending=[False, True], na_position="last").id.tolist()
+    assert [r.id for r in filters.deep_page(rows, *order, limit=25, offset=offset).collect()] == plain[offset : offset + 25]
+    if offset == 1_000_000:
+        assert [r.id for r in filters.top(rows, *order, limit=25, offset=offset).collect()] == plain[offset : offset + 25]
+
+
 def test_versions(spark, tmp_path):
     folder = f"{tmp_path}/t"
     mutate.replace_table(spark.range(3), folder, "001")
