@@ -17,7 +17,7 @@ _SHAPE = 20  # last places, which describe the text's shape
 
 
 def word_hash(word: str) -> int:
-    """Signed 32-bit hash, 31 * h + c over the characters."""
+    """Signed 32-bit hash, 31 * h + c over the characters (a fixed value: vectors must be the same everywhere)."""
     h = 0
     for c in word:
         h = (31 * h + ord(c)) & 0xFFFFFFFF
