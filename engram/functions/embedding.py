@@ -51,7 +51,6 @@ def embed_distinct(texts: DataFrame, model: Callable[[Sequence[str]], Sequence[S
     ``model`` takes a batch of texts; without one the hashed embedding is used.
     """
 
-
     @F.pandas_udf("array<double>")
     def run(batch: pd.Series) -> pd.Series:
         own = [t or "" for t in batch]
@@ -59,7 +58,8 @@ def embed_distinct(texts: DataFrame, model: Callable[[Sequence[str]], Sequence[S
         checked = [np.asarray(v, float) for v in vectors]
         return pd.Series([v.tolist() if v.shape == (dimension,) and np.isfinite(v).all() else None for v in checked])
 
-    return texts.select("text").distinct().withColumn("embedding", run("text"))
+    once = run.asNondeterministic()  # or a filter on the vectors would ask the model twice
+    return texts.select("text").distinct().withColumn("embedding", once("text"))
 
 
 def embedder(model: Callable[[Sequence[str]], Sequence[Sequence[float]]] | None = None, dimension: int = DIMENSION) -> Callable[[DataFrame], DataFrame]:

@@ -8,7 +8,7 @@ sees a whole version. ``tidy_table`` removes what no commit in use names.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -139,7 +139,7 @@ def ingest(inputs: DataFrame, embed, now: datetime) -> tuple[DataFrame, DataFram
     good = checked.where("error IS NULL").drop("error").withColumn("text", F.trim("text"))
     fields = good.columns
     counted = good.groupBy(*fields).agg(F.count("*").alias("__n"))
-    vectors = embed(good.select("text").distinct())
+    vectors = materialize(embed(good.select("text").distinct()), "vectors")  # the three results read them
     held = counted.join(vectors, "text", "left").withColumn("__repeat", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).drop("__n")
     refused = checked.where("error IS NOT NULL").unionByName(held.where("embedding IS NULL").drop("embedding", "__repeat").withColumn("error", F.lit("no embedding")))
     millis = F.unix_millis(moment.cast("timestamp"))
@@ -207,6 +207,22 @@ def table_commits(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
     return sorted(out)
 
 
+def commit(spark: SparkSession, folder: str, said: str, after: int) -> None:
+    """Put ``said`` down as the commit that follows number ``after``; ValueError where another writer was first."""
+    if any(n > after for n, _ in table_commits(spark, folder)):
+        raise ValueError("another version was committed meanwhile")
+    whole, fs, context = _files(spark, f"{folder}/_commits/.{uuid.uuid4().hex}")
+    stream = fs.create(whole)
+    stream.write(bytearray(said.encode()))
+    stream.close()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(whole, _files(spark, f"{folder}/_commits/{after + 1:012d}")[0], none)  # one writer alone gets the number
+    except Exception as error:
+        fs.delete(whole, False)
+        raise ValueError("another version was committed meanwhile") from error
+
+
 def replace_table(df: DataFrame, folder: str, version: str, after: int | None = None) -> str:
     """Write a version under a table's folder and commit it; the version's path.
 
@@ -221,18 +237,7 @@ def replace_table(df: DataFrame, folder: str, version: str, after: int | None =
         after = max((n for n, _ in table_commits(spark, folder)), default=0)
     path = f"{folder}/v={version}"
     df.write.mode("errorifexists").parquet(path)
-    if any(n > after for n, _ in table_commits(spark, folder)):
-        raise ValueError("another version was committed meanwhile")
-    whole, fs, context = _files(spark, f"{folder}/_commits/.{uuid.uuid4().hex}")
-    stream = fs.create(whole)
-    stream.write(bytearray(version.encode()))
-    stream.close()
-    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 0)
-    try:
-        context.rename(whole, _files(spark, f"{folder}/_commits/{after + 1:012d}")[0], none)  # one writer alone gets the number
-    except Exception as error:
-        fs.delete(whole, False)
-        raise ValueError("another version was committed meanwhile") from error
+    commit(spark, folder, version, after)
     return path
 
 
@@ -244,13 +249,13 @@ def read_latest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/v={commits[-1][1]}")
 
 
-def tidy_table(spark: SparkSession, folder: str, keep: int = 2, seconds: float = 86_400, now: datetime | None = None) -> list[str]:
+def tidy_table(spark: SparkSession, folder: str, keep: int = 2, seconds: float = 86_400, now: datetime | None = None, named: Callable[[str], list[str]] = lambda said: [said]) -> list[str]:
     """Remove versions that none of the last ``keep`` commits names and that are older than ``seconds``; their names.
 
     Readers of versions that were replaced, and writers that have not committed yet, have that time to end.
     """
     root, fs, _ = _files(spark, folder.rstrip("/"))
-    used = {f"v={version}" for _, version in table_commits(spark, folder)[-max(1, keep) :]}
+    used = {f"v={version}" for _, said in table_commits(spark, folder)[-max(1, keep) :] for version in named(said)}
     before = ((now or datetime.now()).timestamp() - seconds) * 1000
     gone = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("v=") and f.getPath().getName() not in used and f.getModificationTime() <= before]
     for path in gone:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.functions import ranking, vector
-from engram.operators import enrich, episodic, filters, search, vector_index
+from engram.operators import enrich, episodic, filters, keyword_index, search, vector_index
 from engram.sources import views
 from engram.sources.views import DOC_NOW, EVENT_NOW, with_views
+from engram.storage import new_folder
 
 QUERY = "the toxic quality of on and"
 START, END = datetime(2024, 1, 10), datetime(2024, 1, 20, 12)
@@ -184,6 +185,30 @@ def bm25_scores(spark: SparkSession, sf: str) -> DataFrame:
     return search.bm25(views.wide(views.notes(spark, sf)), QUERY).select("id", F.round("score", 4).alias("score"))
 
 
+def _benchmark_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return views.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _keyword_index(spark: SparkSession, sf: str) -> keyword_index.KeywordIndex:
+    """All notes, in two refreshes: the notes of one type come with a text in the second only."""
+    n = views.wide(views.notes(spark, sf)).select("id", "type", "source_text")
+    index = keyword_index.KeywordIndex(spark, new_folder(spark, "keywords"), n.schema["id"].dataType)
+    index.refresh(n.withColumn("source_text", F.when(F.col("type") != "de", F.col("source_text"))))
+    index.refresh(n, n.where("type = 'de' OR type IS NULL"))
+    return index
+
+
+def keyword_index_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The scores of bm25_scores by the kept index."""
+    asked = spark.createDataFrame([(0, QUERY)], "query_id long, query string")
+    return _keyword_index(spark, sf).scores(asked).select("id", "score")
+
+
+def keyword_index_best(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best notes of every benchmark item's whole text."""
+    return _keyword_index(spark, sf).best(_benchmark_queries(spark, sf), 10)
+
+
 def bm25_minmax(spark: SparkSession, sf: str) -> DataFrame:
     s = search.bm25(views.wide(views.notes(spark, sf)), QUERY).select("id", F.round("score", 4).alias("score"))
     best = filters.top(s, F.desc("score"), F.asc("id"), limit=75)
@@ -328,6 +353,15 @@ ORACLES = {
       g AS (SELECT type, user_id AS "key_appName", date_trunc('hour', created_at) AS hour, min(id) AS id, min(created_at) AS created_at, count(*) AS captures, max(coalesce(score, 0)) AS score
       FROM notes LEFT JOIN bm USING (id) GROUP BY 1, 2, 3) SELECT * FROM g ORDER BY score DESC, created_at DESC, id LIMIT 40""").replace("\n,", ",", 1),
     "episodic_raw": with_views("captures", rest="SELECT id, type, created_at FROM captures WHERE k = '9' ORDER BY created_at DESC, id LIMIT 30"),
+    "keyword_index_scores": with_views("notes", rest=f", {_BM25} SELECT id, score FROM bm").replace("\n,", ",", 1),
+    "keyword_index_best": """WITH words AS (SELECT doc_id AS id, w FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM documents) WHERE w <> ''),
+      size AS (SELECT doc_id AS id, coalesce(n, 0)::DOUBLE AS dl FROM documents LEFT JOIN (SELECT id, count(*) AS n FROM words GROUP BY id) s ON s.id = doc_id),
+      figs AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM size),
+      tf AS (SELECT id, w, count(*)::DOUBLE AS tf FROM words GROUP BY id, w), df AS (SELECT w, count(*)::DOUBLE AS df FROM tf GROUP BY w),
+      asked AS (SELECT DISTINCT item_id AS query_id, w FROM (SELECT item_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM benchmark) WHERE w <> ''),
+      scored AS (SELECT query_id, id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 4) AS score
+        FROM asked JOIN df USING (w) JOIN tf USING (w) JOIN size USING (id), figs GROUP BY query_id, id)
+      SELECT query_id, id, score FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10""",
     "bm25_scores": with_views("notes", rest=f", {_BM25} SELECT id, score FROM bm").replace("\n,", ",", 1),
     "bm25_minmax": with_views("notes", rest=f""", {_BM25}, top AS (SELECT * FROM bm ORDER BY score DESC, id LIMIT 75)
       SELECT id, score, round(CASE WHEN max(score) OVER () > min(score) OVER () THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 0 END, 4) AS scaled FROM top""").replace("\n,", ",", 1),
@@ -354,7 +388,7 @@ QUERIES = {
     for f in (
         knn_topk, knn_page_offset, knn_threshold_lookup, knn_argmax_batch, recency_calendar, recency_elapsed, weighted_score, filter_time_range, filter_max_age, filter_in_notin, filter_json_path,
         filter_json_null, filter_like_session, filter_json_session, entity_ilike_any, distinct_entity_ids, list_paged, list_total_hasmore, multi_key_sort, conditional_sort_first, recent_capture,
-        severity_sort, latest_one, session_best, episodic_dedup_hour, episodic_dedup_bm25, episodic_raw, bm25_scores, bm25_minmax, hybrid_fusion, hybrid_fusion_cut, enrich_entities, enrich_page,
+        keyword_index_scores, keyword_index_best, severity_sort, latest_one, session_best, episodic_dedup_hour, episodic_dedup_bm25, episodic_raw, bm25_scores, bm25_minmax, hybrid_fusion, hybrid_fusion_cut, enrich_entities, enrich_page,
         health_left_join, semi_delete_entities, anti_keep_entities, anti_migrate, group_rules_by_key, vector_stats, vector_head, lsh_topk, ivf_topk,
         ivf_rerank, ivf_rerank_all_lists, vector_match, list_deep_page,
     )

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.functions import embedding, text
-from engram.operators import folds, mutate, rules, upkeep
+from engram.operators import folds, kept_embeddings, mutate, rules, upkeep
 from engram.sources import views
 from engram.sources.views import EVENT_NOW, with_views
 from engram.storage import new_folder
@@ -370,6 +370,22 @@ def fallback_embedding(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.xxhash64("text").alias("text_hash"), F.transform("embedding", lambda x: F.round(x, 9)).alias("embedding"))
 
 
+@query("""WITH t AS (SELECT turn, text FROM conversations WHERE trim(text) <> ''), a AS (SELECT DISTINCT text FROM t WHERE turn = 0), n AS (SELECT count(*) AS n, count(DISTINCT text) AS d FROM t)
+  SELECT step, CAST(requests AS BIGINT) AS requests, CAST(misses AS BIGINT) AS misses, CAST(requests - misses AS BIGINT) AS hits, (requests - misses) / requests AS hit_rate FROM (
+    SELECT 1 AS step, (SELECT count(*) FROM t WHERE turn = 0) AS requests, (SELECT count(*) FROM a) AS misses
+    UNION ALL SELECT 2, (SELECT count(*) FROM t WHERE turn = 0) + n, d FROM n
+    UNION ALL SELECT 3, (SELECT count(*) FROM t WHERE turn = 0) + 2 * n, 2 * d FROM n)""")
+def embedding_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests, hits and misses so far after first turns are embedded, all turns an hour later, and all turns when the entries have ended."""
+    turns = views.table(spark, sf, "conversations").select("turn", "text")
+    store = kept_embeddings.EmbeddingStore(spark, new_folder(spark, "embeddings"))
+    out = []
+    for step, (rows, hours) in enumerate(((turns.where("turn = 0"), 0), (turns, 1), (turns, 49)), 1):
+        store.embed(rows.select("text"), EVENT_NOW + timedelta(hours=hours))
+        out.append(store.figures().withColumn("step", F.lit(step)))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 # --- folds ---------------------------------------------------------------------------------------
 
 _KINDS = {"click": "positive_feedback", "purchase": "task_success", "error": "task_failure", "signup": "user_insult", "view": "natural_decay"}
