@@ -31,6 +31,8 @@ _WORD = re.compile("[a-z]+")
 _SLICE = 64
 #: Up to so many distinct terms are named to the scan of the postings; more meet it in a join alone.
 NAMED_TERMS = 2048
+#: Rows scored in full for each row wanted, to tell which lists can be left.
+TRIED = 4
 #: Scores are told to four digits; a list is left only where it cannot change any of them.
 DIGITS, _SLACK = 4, 1e-4
 _LISTS = StructType().add("term", StringType()).add("docs", LongType()).add("words", LongType()).add("most_tf", LongType()).add("least_length", LongType())
@@ -153,9 +155,9 @@ class KeywordIndex:
     def best(self, queries: DataFrame, limit: int = 10) -> DataFrame:
         """The ``limit`` best rows of each query; ties by id. The same as the best of ``scores``.
 
-        The rarest lists of a query, as far as ``limit`` rows stand in them, give a score that its last place reaches at least. The lists with the smallest
-        bounds that together stay below it cannot bring a row in by themselves: they are not gone through, but asked only for
-        rows that other lists have found and whose bound still reaches that score.
+        Some rows from a query's rarest lists are scored in full; the last place reaches at least the score of the ``limit``-th of them.
+        The lists with the smallest bounds that together stay below it cannot bring a row in by themselves: they are
+        not gone through, but asked only for rows that other lists have found and whose bound still reaches that score.
         """
         return self.best_and_plan(queries, limit)[0]
 
@@ -164,9 +166,11 @@ class KeywordIndex:
         seen = kept.state(self.spark, self.folder)
         plan, wanted = self._plan(seen, queries)
         rare = Window.partitionBy("query_id").orderBy("docs", "term").rowsBetween(Window.unboundedPreceding, -1)
-        lead = plan.withColumn("before", F.coalesce(F.sum("docs").over(rare), F.lit(0))).where(F.col("before") < limit).drop("before")
+        lead = plan.withColumn("before", F.coalesce(F.sum("docs").over(rare), F.lit(0))).where(F.col("before") < TRIED * limit).drop("before")
         sums = self._part(self._postings(seen, wanted), lead, "term").groupBy("query_id", "id").agg(F.sum("part").alias("sum"))
-        floor = best_per(sums, "query_id", F.desc("sum"), F.asc("id"), limit=limit).groupBy("query_id").agg(F.min("sum").alias("floor"), F.count("*").alias("n"))
+        tried = materialize(best_per(sums, "query_id", F.desc("sum"), F.asc("id"), limit=TRIED * limit).select("query_id", "id"), "tried")
+        known = self._part(self._postings(seen, wanted), tried.join(plan, "query_id"), "id", "term").groupBy("query_id", "id").agg(F.sum("part").alias("sum"))
+        floor = best_per(known, "query_id", F.desc("sum"), F.asc("id"), limit=limit).groupBy("query_id").agg(F.min("sum").alias("floor"), F.count("*").alias("n"))
         small = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         told = plan.withColumn("upto", F.sum("bound").over(small)).join(floor.where(F.col("n") >= limit).drop("n"), "query_id", "left")
         told = materialize(told.withColumn("left", F.coalesce(F.col("upto") < F.col("floor") - _SLACK, F.lit(False))), "lists")
