@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 STOP_WORDS = ("the", "and", "from", "that", "this", "with", "not", "let", "can", "you", "for", "are", "was", "its", "all", "any", "but", "our", "they", "been", "have", "has", "will", "would", "could", "should", "never", "dont", "also", "just", "make", "sure")
 
 
+#: Literal characters by which a glob is looked up, at most.
+END = 16
+
+
 def content_words(text: Column) -> Column:
     """Lower-case words of three letters or more that are no stop words."""
     words = F.split(F.lower(text), r"[^A-Za-z0-9_]+")
@@ -19,7 +23,7 @@ def content_words(text: Column) -> Column:
 
 def glob_pattern(glob: Column) -> Column:
     """A regular expression for a glob: dots are dots, a star is anything, either case."""
-    return F.concat(F.lit("(?i)^"), F.replace(F.replace(glob, F.lit("."), F.lit(r"\.")), F.lit("*"), F.lit(".*")), F.lit("$"))
+    return F.concat(F.lit("(?i)^"), F.replace(F.replace(glob, F.lit("."), F.lit(r"\.")), F.lit("*"), F.lit(".*")), F.lit(r"\z"))
 
 
 def any_glob(blocks: Column, actions: Column) -> Column:
@@ -31,20 +35,55 @@ def pin_hash(pin: Column) -> Column:
     return F.sha2(F.trim(F.upper(pin)), 256)
 
 
+def _plain_ends(glob: Column) -> Column:
+    """The literal characters at one end of a glob by which it can be looked up, as a key; "" where there are none."""
+    low = _ascii_lower(glob)
+    head, tail = F.substring(F.regexp_extract(low, r"^[^*]*", 0), 1, END), F.substring(F.reverse(F.regexp_extract(low, r"[^*]*$", 0)), 1, END)
+    return F.when(F.regexp_like(glob, F.lit(r"[\\^$|?+()\[\]{}]")), F.lit("")).when(head != "", F.concat(F.lit("<"), head)).when(tail != "", F.concat(F.lit(">"), tail)).otherwise(F.lit(""))
+
+
+def _ascii_lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def glob_pairs(globs: DataFrame, actions: DataFrame) -> DataFrame:
+    """Distinct pairs (glob, action) that match.
+
+    Globs are looked up by the literal characters at their start, or else at their end (END at most), and only actions with
+    the same ones are tried; a glob without any (``*x*``, or one that is a regular expression) is tried on every distinct action.
+    """
+    held = globs.where("glob IS NOT NULL").select("glob").distinct().withColumn("key", _plain_ends(F.col("glob")))
+    lengths = sorted(r[0] for r in held.select(F.length("key")).distinct().collect())  # END + 2 numbers at most
+    low = _ascii_lower(F.col("action"))
+    ends = [F.concat(F.lit(mark), F.substring(text, 1, n - 1)) for mark, text in (("<", low), (">", F.reverse(low))) for n in lengths if n]
+    keys = F.array_distinct(F.array(F.lit(""), *ends))
+    asked = actions.where("action IS NOT NULL").select("action").distinct().select("action", F.explode(keys).alias("key"))
+    return asked.join(held, "key").where(F.regexp_like(F.col("action"), glob_pattern(F.col("glob")))).select("glob", "action")
+
+
 def matching_constraints(constraints: DataFrame, requests: DataFrame) -> DataFrame:
-    """Constraints that apply to each request (request_id, scope, actions array, message, pin).
+    """Constraints that apply to each request (request_id, scope, actions array, message, pin); ids are unique on either side.
 
-    A constraint without blocks applies to everything of its scope. Rows meet on the scope, so only a
-    request's own scope and the global one are compared with it.
+    A constraint without blocks applies to everything of its scope. A request meets the constraints of its own scope and of the
+    global one, or all where it names none. Rules are found by their words, their globs and, if they block everything, their
+    scope; no pair of a request and a constraint that have none of these in common is made.
     """
-    wanted = requests.withColumn("scope", F.explode(F.array_distinct(F.array(F.lit("global"), F.coalesce("scope", F.lit("global"))))))
-    held = constraints.withColumn("globs", F.coalesce(F.from_json("blocks", "array<string>"), F.array().cast("array<string>")))
-    pairs = wanted.join(held, "scope")
-    by_action = (F.size("globs") == 0) | any_glob(F.col("globs"), F.coalesce("actions", F.array().cast("array<string>")))
-    by_words = F.arrays_overlap(content_words(F.coalesce("rule", F.lit(""))), content_words(F.coalesce("message", F.lit(""))))
-    hit = pairs.where(by_action | by_words)
+    named = F.col("scope") != ""
+    reach = F.when(named, F.array_distinct(F.array(F.lit("in global"), F.concat(F.lit("in "), F.col("scope"))))).otherwise(F.array(F.lit("any")))
+    held = constraints.select(
+        "id", F.explode(F.array(F.concat(F.lit("in "), F.col("scope")), F.lit("any"))).alias("reach"),
+        F.coalesce(F.from_json("blocks", "array<string>"), F.array().cast("array<string>")).alias("globs"), F.array_distinct(content_words(F.coalesce("rule", F.lit("")))).alias("words"),
+    )
+    asked = requests.select("request_id", F.explode(reach).alias("reach"), F.coalesce("actions", F.array().cast("array<string>")).alias("actions"), F.array_distinct(content_words(F.coalesce("message", F.lit("")))).alias("words"))
+    everything = held.where(F.size("globs") == 0).select("id", "reach").join(asked.select("request_id", "reach"), "reach")
+    by_words = held.select("id", "reach", F.explode("words").alias("word")).join(asked.select("request_id", "reach", F.explode("words").alias("word")), ["reach", "word"])
+    globs = held.select("id", "reach", F.explode("globs").alias("glob"))
+    actions = asked.select("request_id", "reach", F.explode("actions").alias("action"))
+    by_globs = globs.join(glob_pairs(globs, actions), "glob").join(actions, ["reach", "action"])
+    pairs = everything.select("request_id", "id").unionByName(by_words.select("request_id", "id")).unionByName(by_globs.select("request_id", "id")).distinct()
+    hit = pairs.join(constraints, "id").join(requests.drop("scope"), "request_id")
     unlocked = F.col("override_pin").isNotNull() & F.coalesce(F.col("override_pin") == pin_hash(F.col("pin")), F.lit(False))
-    return hit.withColumn("unlocked", unlocked & (F.col("severity") == "hard")).drop("globs")
+    return hit.withColumn("unlocked", unlocked & (F.col("severity") == "hard"))
 
 
 def check_constraints(constraints: DataFrame, requests: DataFrame) -> DataFrame:

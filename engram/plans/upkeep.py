@@ -207,6 +207,32 @@ def constraint_check(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("request_id", "blocked", *(F.array_join(c, "|").alias(c) for c in ("hard_blocks", "pin_protected", "soft_warnings")))
 
 
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN 'global' ELSE c_mktsegment END AS scope, c_custkey % 3 AS kind, CASE WHEN c_custkey % 5 = 0 THEN 'soft' ELSE 'hard' END AS severity, c_custkey % 7 = 0 AS pin FROM customer),
+  r AS (SELECT o_orderkey AS request_id, o_custkey AS k, list_extract({list(_SEGMENTS)}, CAST(o_orderkey % 6 + 1 AS INTEGER)) AS scope, o_orderkey % 2 = 0 AS says, o_orderkey % 3 = 0 AS pin FROM orders),
+  near AS (SELECT r.request_id, c.* EXCLUDE (scope), c.pin AND r.pin AND severity = 'hard' AS unlocked FROM r JOIN c ON r.k // 10 = c.k // 10
+    WHERE (r.scope IS NULL OR c.scope IN ('global', r.scope)) AND (c.kind = 0 OR (c.k = r.k AND (c.kind = 1 OR r.says))))
+  SELECT request_id, coalesce(bool_or(severity = 'hard' AND NOT unlocked), false) AS blocked, CAST(count(*) FILTER (severity = 'hard' AND NOT unlocked) AS INTEGER) AS n_hard,
+    CAST(count(*) FILTER (severity = 'hard' AND NOT unlocked AND near.pin) AS INTEGER) AS n_pin, CAST(count(*) FILTER (severity = 'soft') AS INTEGER) AS n_soft FROM r LEFT JOIN near USING (request_id) GROUP BY 1""")
+def constraint_check_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule for each customer, a request for each order: globs by their start and by their end, words, a scope or none."""
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    text = lambda form, *c: F.format_string(form, *c)
+    held = views.table(spark, sf, "customer").select(
+        k.alias("id"), F.when(k % 4 == 0, "global").otherwise(F.col("c_mktsegment")).alias("scope"), F.concat(F.lit("never sell to "), F.col("c_name")).alias("rule"),
+        F.when(k % 3 == 0, text('["order.%d.*"]', F.floor(k / 10))).when(k % 3 == 1, text('["none.x", "*.%d"]', k)).otherwise('["none.y"]').alias("blocks"),
+        F.when(k % 5 == 0, "soft").otherwise("hard").alias("severity"), F.when(k % 7 == 0, F.sha2(F.lit("1234"), 256)).alias("override_pin"),
+    )
+    asked = views.table(spark, sf, "orders").select(
+        o.alias("request_id"), F.get(F.array(*(F.lit(x) for x in _SEGMENTS)), o % 6).alias("scope"), F.array(text("ORDER.%d.%d", F.floor(F.col("o_custkey") / 10), F.col("o_custkey"))).alias("actions"),
+        F.when(o % 2 == 0, text("pay for %09d now", F.col("o_custkey"))).alias("message"), F.when(o % 3 == 0, " 1234 ").alias("pin"),
+    )
+    out = rules.check_constraints(held, asked)
+    return out.select("request_id", "blocked", *(F.size(c).alias(n) for n, c in (("n_hard", "hard_blocks"), ("n_pin", "pin_protected"), ("n_soft", "soft_warnings"))))
+
+
 @query("""SELECT p_partkey AS id, p_type, regexp_matches(p_type, '(?i)^standard.*tin$') OR regexp_matches(p_type, '(?i)^.*\\.x$') OR regexp_matches(p_type, '(?i)^PROMO.*$') AS matched FROM part""")
 def glob_match(spark: SparkSession, sf: str) -> DataFrame:
     globs = F.array(F.lit("standard*tin"), F.lit("*.x"), F.lit("PROMO*"))

@@ -1,5 +1,6 @@
 """Operators against hand-written cases and plain Python."""
 
+import json
 import math
 import random
 import re
@@ -421,6 +422,50 @@ def test_constraint_without_blocks_blocks_everything(spark):
     assert rules.check_constraints(c, r).first().blocked
 
 
+def rule_words(t):
+    return {w for w in re.split("[^A-Za-z0-9_]+", (t or "").lower()) if len(w) > 2 and w not in rules.STOP_WORDS}
+
+
+def applies(rule, request):
+    """The rule of one constraint and one request, in plain Python."""
+    (_, scope, text, blocks, _, _), (_, wanted, actions, message, _) = rule, request
+    globs = json.loads(blocks) if blocks else []
+    if wanted and scope not in ("global", wanted):
+        return False
+    fits = any(re.fullmatch(g.replace(".", r"\.").replace("*", ".*"), a, re.I | re.A) for g in globs for a in actions or [])
+    return not globs or fits or bool(rule_words(text) & rule_words(message))
+
+
+RULE, REQUEST = "id long, scope string, rule string, blocks string, severity string, override_pin string", "request_id long, scope string, actions array<string>, message string, pin string"
+
+
+def test_constraints_of_every_kind(spark):
+    pick = random.Random(3)
+    globs = ["*", "a.*", "*.x", "*mid*", "A.B", "a.b*c", "(a|b).x", "a+", "very.long.name.of.a.skill.*", "*of.a.skill.with.an.end", ".*", "a.x\n", ""]
+    actions = ["a.b", "A.x", "b.x", "aaa", "a.bzzc", "very.long.name.of.a.skill.run", "a skill mid way", "the.of.a.skill.with.an.end", "a.x\n", "", ".hid"]
+    words = ["delete", "files", "never", "the", "Mail", "go", "cat_9", ""]
+    scopes = ["global", "s1", "s2", None, ""]
+    blocks = lambda: pick.choice([None, "[]", json.dumps(pick.choices(globs, k=pick.randint(1, 3)))])
+    some = lambda of, n: pick.choice([None, pick.choices(of, k=pick.randint(0, n))])
+    held = [(k, pick.choice(scopes), " ".join(some(words, 4) or []), blocks(), pick.choice(["hard", "soft"]), None) for k in range(90)]
+    asked = [(k, pick.choice(scopes), some(actions, 3), " ".join(some(words, 4) or []), None) for k in range(60)]
+    got = sorted((r.request_id, r.id) for r in rules.matching_constraints(spark.createDataFrame(held, RULE), spark.createDataFrame(asked, REQUEST)).collect())
+    assert got == sorted((r[0], c[0]) for c in held for r in asked if applies(c, r))
+    assert rules.check_constraints(spark.createDataFrame([], RULE), spark.createDataFrame(asked, REQUEST)).where("blocked").count() == 0
+
+
+def test_ten_thousand_constraints_and_requests(spark):
+    held = [(k, f"s{k % 9}" if k % 3 else "global", f"avoid thing{k % 4000}", json.dumps([f"app{k}.*", f"*.tool{k // 2}"]), "hard", None) for k in range(10_000)]
+    asked = [(k, f"s{k % 9}" if k % 11 else None, [f"App{k * 7 % 10_000}.run", f"x.tool{k // 3}"], f"use thing{k % 5000}", None) for k in range(10_000)]
+    out = rules.matching_constraints(spark.createDataFrame(held, RULE), spark.createDataFrame(asked, REQUEST))
+    assert "NestedLoop" not in plan(out) and "Cartesian" not in plan(out)
+    got: dict = {}
+    for r in out.select("request_id", "id").collect():
+        got.setdefault(r.request_id, []).append(r.id)
+    for r in asked[::500]:
+        assert sorted(got.get(r[0], [])) == [c[0] for c in held if applies(c, r)]
+
+
 CONTRACT = "---\nname: my.tool\ndescription: 'does it'\nexec_path: ~/skills/run.sh\nexec_type: shell\n---\n" + "A body that is long enough to be taken for a contract.\n"
 
 
