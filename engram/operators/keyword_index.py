@@ -2,7 +2,7 @@
 
 Tables of a part: ``postings`` (term, id, tf, length), in files that are sorted by term, so that a term's list is found by the files'
 statistics; a long list is cut by id over many files. The list of the empty term holds every row of the part, those without words
-too. ``lists`` (term, docs, words, most_tf, least_length) is what a query needs to know of a list before it reads it. ``gone`` (id)
+too. ``lists`` (term, docs, words) is what a query needs to know of a list before it reads it. ``gone`` (id)
 takes rows of earlier parts away; its part's ``lists`` then count downwards.
 
 Terms, corpus figures and scores are those of ``search.bm25``. Defined results: a null or empty text counts as a row without words;
@@ -12,14 +12,17 @@ that no row holds, give no rows; repeated queries of one id are taken together.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, LongType, StringType, StructType
+from pyspark.sql.types import DataType, DoubleType, LongType, StringType, StructType
 
 from engram.functions import ranking
 from engram.operators import kept
@@ -31,11 +34,11 @@ _WORD = re.compile("[a-z]+")
 _SLICE = 64
 #: Up to so many distinct terms are named to the scan of the postings; more meet it in a join alone.
 NAMED_TERMS = 2048
-#: Rows scored in full for each row wanted, to tell which lists can be left.
-TRIED = 4
-#: Scores are told to four digits; a list is left only where it cannot change any of them.
+#: Rows of the table in a shard, about, and queries that meet a shard at once.
+SHARD, BLOCK = 4096, 2048
+#: Scores are told to four digits; lists are left only where they cannot change any of them.
 DIGITS, _SLACK = 4, 1e-4
-_LISTS = StructType().add("term", StringType()).add("docs", LongType()).add("words", LongType()).add("most_tf", LongType()).add("least_length", LongType())
+_LISTS = StructType().add("term", StringType()).add("docs", LongType()).add("words", LongType())
 
 
 def _postings_type(kind: DataType) -> StructType:
@@ -66,7 +69,7 @@ def count_terms(rows: DataFrame, text_col: str = "source_text") -> DataFrame:
 
 def _figures(postings: DataFrame) -> DataFrame:
     """What ``lists`` says of postings."""
-    return postings.groupBy("term").agg(F.count("*").alias("docs"), F.sum("length").alias("words"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"))
+    return postings.groupBy("term").agg(F.count("*").alias("docs"), F.sum("length").alias("words"))
 
 
 class KeywordIndex:
@@ -111,7 +114,7 @@ class KeywordIndex:
             figures = _figures(counted)
             if gone is not None:
                 less = _figures(held.join(write("gone", gone), "id", "left_semi"))
-                figures = figures.unionByName(less.select("term", (-F.col("docs")).alias("docs"), (-F.col("words")).alias("words"), F.lit(0).cast("long").alias("most_tf"), F.lit(None).cast("long").alias("least_length")))
+                figures = figures.unionByName(less.select("term", (-F.col("docs")).alias("docs"), (-F.col("words")).alias("words")))
             write("lists", figures.repartitionByRange("term").sortWithinPartitions("term"))
 
         return kept.add(self.spark, self.folder, seen, make)
@@ -127,57 +130,91 @@ class KeywordIndex:
         return kept.add(self.spark, self.folder, seen, make, alone=True)
 
     def _plan(self, seen: tuple[int, list[list]], queries: DataFrame) -> tuple[DataFrame, Column | None]:
-        """query_id, term, docs, idf, average and bound of every list that a query asks for, written; and the terms as a filter of the scan."""
+        """query_id, term, docs, all and average of every list that a query asks for, written; and the terms as a filter of the scan."""
         words = F.explode(F.array_distinct(F.split(F.lower("query"), "[^a-z]+"))).alias("term")
         terms = queries.where("query_id IS NOT NULL").select("query_id", words).where("term <> ''").distinct()
         lists = kept.read(self.spark, self.folder, "lists", _LISTS, seen[1])
-        whole = lists.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words"), F.max("most_tf").alias("most_tf"), F.min("least_length").alias("least_length"))
+        whole = lists.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words"))
         corpus = whole.where("term = ''").select(F.col("docs").cast("double").alias("all"), (F.col("words") / F.col("docs")).alias("average"))
         known = terms.join(whole.where("docs > 0"), "term").join(F.broadcast(corpus))  # corpus is one row
-        tf, length = F.col("most_tf").cast("double"), F.col("least_length").cast("double")
-        bound = ranking.bm25_term(tf, length, F.col("average"), F.col("all"), F.col("docs").cast("double"))
-        plan = materialize(known.select("query_id", "term", "docs", "all", "average", bound.alias("bound")), "plan")
+        plan = materialize(known.select("query_id", "term", "docs", "all", "average"), "plan")
         few = [r.term for r in plan.select("term").distinct().limit(NAMED_TERMS + 1).collect()]
         return plan, F.col("term").isin(few) if len(few) <= NAMED_TERMS else None
 
-    @staticmethod
-    def _part(postings: DataFrame, plan: DataFrame, *on: str) -> DataFrame:
-        """query_id, id and the part of the score of each list's rows."""
-        score = ranking.bm25_term(F.col("tf").cast("double"), F.col("length").cast("double"), F.col("average"), F.col("all"), F.col("docs").cast("double"))
-        return postings.join(plan, [*on]).select("query_id", "id", score.alias("part"))
-
     def scores(self, queries: DataFrame) -> DataFrame:
         """query_id, id and score of every row that holds a term of a query (query_id, query)."""
         seen = kept.state(self.spark, self.folder)
         plan, wanted = self._plan(seen, queries)
-        return self._part(self._postings(seen, wanted), plan, "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
+        score = ranking.bm25_term(F.col("tf").cast("double"), F.col("length").cast("double"), F.col("average"), F.col("all"), F.col("docs").cast("double"))
+        return self._postings(seen, wanted).join(plan, "term").groupBy("query_id", "id").agg(F.round(F.sum(score), DIGITS).alias("score"))
 
     def best(self, queries: DataFrame, limit: int = 10) -> DataFrame:
         """The ``limit`` best rows of each query; ties by id. The same as the best of ``scores``.
 
-        Some rows from a query's rarest lists are scored in full; the last place reaches at least the score of the ``limit``-th of them.
-        The lists with the smallest bounds that together stay below it cannot bring a row in by themselves: they are
-        not gone through, but asked only for rows that other lists have found and whose bound still reaches that score.
+        The lists that queries ask for are dealt once, however many queries ask for them, to shards of some SHARD rows, where every block of up to
+        BLOCK queries meets them (``best_of_shard``); a shard gives its best rows a query.
         """
-        return self.best_and_plan(queries, limit)[0]
-
-    def best_and_plan(self, queries: DataFrame, limit: int = 10) -> tuple[DataFrame, DataFrame]:
-        """``best``, and for each query and term whether its list was left (left), with its number of rows (docs)."""
         seen = kept.state(self.spark, self.folder)
         plan, wanted = self._plan(seen, queries)
-        rare = Window.partitionBy("query_id").orderBy("docs", "term").rowsBetween(Window.unboundedPreceding, -1)
-        lead = plan.withColumn("before", F.coalesce(F.sum("docs").over(rare), F.lit(0))).where(F.col("before") < TRIED * limit).drop("before")
-        sums = self._part(self._postings(seen, wanted), lead, "term").groupBy("query_id", "id").agg(F.sum("part").alias("sum"))
-        tried = materialize(best_per(sums, "query_id", F.desc("sum"), F.asc("id"), limit=TRIED * limit).select("query_id", "id"), "tried")
-        known = self._part(self._postings(seen, wanted), tried.join(plan, "query_id"), "id", "term").groupBy("query_id", "id").agg(F.sum("part").alias("sum"))
-        floor = best_per(known, "query_id", F.desc("sum"), F.asc("id"), limit=limit).groupBy("query_id").agg(F.min("sum").alias("floor"), F.count("*").alias("n"))
-        small = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        told = plan.withColumn("upto", F.sum("bound").over(small)).join(floor.where(F.col("n") >= limit).drop("n"), "query_id", "left")
-        told = materialize(told.withColumn("left", F.coalesce(F.col("upto") < F.col("floor") - _SLACK, F.lit(False))), "lists")
-        gone_through, asked = told.where("NOT left").drop("left", "upto", "bound", "floor"), told.where("left")
-        missing = told.groupBy("query_id").agg(F.sum(F.when(F.col("left"), F.col("bound")).otherwise(0.0)).alias("missing"), F.max("floor").alias("floor"))
-        found = self._part(self._postings(seen, wanted), gone_through, "term").groupBy("query_id", "id").agg(F.sum("part").alias("sum")).join(missing, "query_id")
-        able = materialize(found.where(F.col("floor").isNull() | (F.col("sum") + F.col("missing") >= F.col("floor") - _SLACK)).select("query_id", "id", "sum"), "able")
-        more = self._part(self._postings(seen, wanted), able.select("query_id", "id").join(asked, "query_id"), "id", "term")
-        whole = able.select("query_id", "id", F.col("sum").alias("part")).unionByName(more).groupBy("query_id", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
-        return best_per(whole, "query_id", F.desc("score"), F.asc("id"), limit=limit), told.select("query_id", "term", "docs", "left")
+        sizes = plan.agg(F.max("all").alias("all"), F.count_distinct("query_id").alias("n")).first()
+        shards, blocks = max(1, math.ceil((sizes["all"] or 0) / SHARD)), max(1, math.ceil(sizes["n"] / BLOCK))
+        plan = plan.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit("block")), F.lit(blocks)).cast("int"))
+        figures = plan.groupBy("term", "block").agg(*(F.first(c).alias(c) for c in ("docs", "all", "average")))
+        impact = ranking.bm25_term(F.col("tf").cast("double"), F.col("length").cast("double"), F.col("average"), F.col("all"), F.col("docs").cast("double"))
+        dealt = self._postings(seen, wanted).join(figures, "term").select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "block", "term", "id", impact.alias("impact"))
+        asked = plan.select("query_id", "term", F.col("block").alias("own_block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("own_shard"))
+        schema = plan.select("query_id").schema.add("id", self.kind).add("score", DoubleType())
+
+        def run(postings: pa.Table, own: pa.Table) -> pa.Table:
+            lists = own.group_by("query_id").aggregate([("term", "list")])
+            names, wants = lists.column("query_id").combine_chunks(), lists.column("term_list").to_pylist()
+            q, ids, scores, _ = best_of_shard(postings.column("term").combine_chunks(), postings.column("id").combine_chunks(), postings.column("impact").to_numpy(), wants, limit)
+            return pa.table([names.take(pa.array(q, pa.int64())), ids, pa.array(scores, pa.float64())], names=schema.names)
+
+        near = dealt.groupBy("shard", "block").cogroup(asked.groupBy("own_shard", "own_block")).applyInArrow(run, schema)
+        return best_per(near, "query_id", F.desc("score"), F.asc("id"), limit=limit)
+
+
+def best_of_shard(terms: pa.Array, ids: pa.Array, impacts: np.ndarray, wants: list[list[str]], limit: int) -> tuple[np.ndarray, pa.Array, np.ndarray, int]:
+    """Number of the query, id and score of the best ``limit`` rows of each query (a list of terms), and how many entries of lists were gone through.
+
+    A query takes its lists by their largest part of a score. Once the rest together cannot lift a row that is not found yet over
+    the last place, the rest is left: rows that still can reach that place are looked up in it, and no other.
+    """
+    if not len(terms):
+        return np.zeros(0, np.int64), ids, np.zeros(0), 0
+    held, known = terms.dictionary_encode(), pc.unique(ids)
+    known = known.take(pc.sort_indices(known))
+    row, term = pc.index_in(ids, known).to_numpy(), held.indices.to_numpy()
+    order = np.lexsort((row, term))
+    row, impact = row[order], impacts[order]
+    ends = np.searchsorted(term[order], np.arange(len(held.dictionary) + 1))
+    place = {t: k for k, t in enumerate(held.dictionary.to_pylist())}
+    most = np.maximum.reduceat(impact, ends[:-1])
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    gone_through = 0
+    for q, want in enumerate(wants):
+        lists = sorted((place[t] for t in want if t in place), key=lambda k: (-most[k], k))
+        rest = np.append(np.cumsum([most[k] for k in lists][::-1])[::-1], 0.0)
+        total, floor = np.zeros(len(known)), 0.0
+        for n, k in enumerate(lists):
+            if floor > rest[n] + _SLACK:
+                break
+            part = slice(ends[k], ends[k + 1])
+            total[row[part]] += impact[part]  # a row stands in a list once
+            gone_through += part.stop - part.start
+            if len(known) > limit:
+                floor = np.partition(total, len(known) - limit)[len(known) - limit]
+        else:
+            n = len(lists)
+        able = np.flatnonzero((total > 0) & (total + rest[n] >= floor - _SLACK))
+        score = total[able]
+        for k in lists[n:]:
+            part = row[ends[k] : ends[k + 1]]
+            at = np.minimum(np.searchsorted(part, able), len(part) - 1)
+            score = score + np.where(part[at] == able, impact[ends[k] + at], 0.0)
+        score = np.round(score, DIGITS)
+        first = np.lexsort((able, -score))[:limit]
+        out.append((np.full(len(first), q), able[first], score[first]))
+    q, at, scores = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return q, known.take(pa.array(at, pa.int64())), scores, gone_through

@@ -4,12 +4,14 @@ import os
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from engram.operators import kept, search
+from engram.operators import kept, keyword_index, search
 from engram.operators.kept_embeddings import EmbeddingStore
-from engram.operators.keyword_index import KeywordIndex
+from engram.operators.keyword_index import KeywordIndex, best_of_shard
 from engram.sources import views
 
 NOW = datetime(2024, 5, 1, 12)
@@ -39,16 +41,38 @@ def test_keyword_index_after_refreshes(spark, sf_dir, tmp_path):
     for k, q in asked[::6] + asked[-3:]:
         plain = {r.id: r.score for r in search.bm25(notes, q).select("id", F.round("score", 4).alias("score")).collect()}
         assert got[k].keys() == plain.keys() and all(abs(got[k][i] - plain[i]) < 1.5e-4 for i in plain)
-    best, told = index.best_and_plan(queries, 5)
+    best = index.best(queries, 5)
     found: dict = {k: [] for k, _ in asked}
     for r in best.orderBy("query_id", F.desc("score"), "id").collect():
         found[r.query_id].append((r.id, r.score))
     assert found == {k: plain_best(got[k], 5) for k, _ in asked}
-    rows = told.groupBy("left").agg(F.sum("docs").alias("n")).collect()
-    assert {r.left: r.n for r in rows}.get(True, 0) > 0  # some lists are left
 
 
-def test_keyword_index_of_random_changes(spark, tmp_path):
+def test_lists_are_left_early():
+    """Against the whole sums; most of the common lists are not gone through."""
+    pick = np.random.default_rng(5)
+    terms, ids, impacts = [], [], []
+    for k in range(40):
+        rows = pick.choice(3000, 20 * (k + 1), replace=False)
+        terms += [f"t{k}"] * len(rows)
+        ids += rows.tolist()
+        impacts += (pick.uniform(0.5, 1, len(rows)) * 60 / (k + 1) ** 1.5).round(2).tolist()
+    wants = [[f"t{k}" for k in pick.choice(50, 12, replace=False)] for _ in range(30)]
+    q, found, scores, gone_through = best_of_shard(pa.array(terms), pa.array(ids), np.array(impacts), wants, 4)
+    got = list(zip(q.tolist(), found.to_pylist(), scores.tolist()))
+    want, entries = [], 0
+    for n, names in enumerate(wants):
+        total: dict = {}
+        for t, i, x in zip(terms, ids, impacts):
+            if t in names:
+                total[i] = total.get(i, 0.0) + x
+                entries += 1
+        want += [(n, i, round(x, 4)) for i, x in plain_best({i: round(x, 4) for i, x in total.items()}, 4)]
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want])
+    assert gone_through < entries / 2
+
+
+def test_keyword_index_of_random_changes(spark, tmp_path, monkeypatch):
     """Additions, changed texts and deletions, then a merge: always what the texts give."""
     pick = random.Random(7)
     words = [chr(97 + k) * 2 for k in range(12)]
@@ -69,6 +93,8 @@ def test_keyword_index_of_random_changes(spark, tmp_path):
         each = {k: plain_best({i: s for j, i, s in got if j == k}, 4) for k in range(4)}
         assert best == sorted((k, i, s) for k, pairs in each.items() for i, s in pairs)
 
+    monkeypatch.setattr(keyword_index, "SHARD", 16)
+    monkeypatch.setattr(keyword_index, "BLOCK", 2)
     index = KeywordIndex(spark, str(tmp_path / "i"))
     assert index.best(queries).count() == 0 and index.ids().count() == 0
     index.refresh(frame({k: t for k, t in texts.items() if k < 40}).union(spark.createDataFrame([(None, "aa")], "id long, source_text string")))
