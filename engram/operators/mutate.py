@@ -138,17 +138,20 @@ def ingest(inputs: DataFrame, embed, now: datetime) -> tuple[DataFrame, DataFram
     checked = inputs.withColumn("error", text_error(F.col("text")))
     good = checked.where("error IS NULL").drop("error").withColumn("text", F.trim("text"))
     fields = good.columns
-    counted = good.groupBy(*fields).agg(F.count("*").alias("__n"))
-    vectors = materialize(embed(good.select("text").distinct()), "vectors")  # the three results read them
-    held = counted.join(vectors, "text", "left").withColumn("__repeat", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).drop("__n")
-    refused = checked.where("error IS NOT NULL").unionByName(held.where("embedding IS NULL").drop("embedding", "__repeat").withColumn("error", F.lit("no embedding")))
+    key = F.sha2("text", 256)
+    counted = materialize(good.groupBy(*fields).agg(F.count("*").alias("__n")).withColumn("__text", key), "inputs")
+    vectors = materialize(embed(counted.select("text").distinct()).select(key.alias("__text"), "embedding"), "vectors")  # rows meet them by digest
+    held = counted.withColumn("__repeat", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).drop("__n")
+    failed = vectors.where("embedding IS NULL").select("__text")
+    refused = checked.where("error IS NOT NULL").unionByName(held.join(failed, "__text", "left_semi").select(*fields).withColumn("error", F.lit("no embedding")))
     millis = F.unix_millis(moment.cast("timestamp"))
-    stored = held.where("embedding IS NOT NULL").withColumn("id", memory_id(millis, F.to_json(F.struct(*fields)), F.col("__repeat")))
+    named = held.withColumn("id", memory_id(millis, F.to_json(F.struct(*fields)), F.col("__repeat")))
+    stored = named.join(vectors.where("embedding IS NOT NULL"), "__text")
     memories = stored.select(
         "id", "user_id", F.coalesce("type", F.lit("user_memory")).alias("type"), F.col("text").alias("source_text"), valid_metadata(F.col("metadata")).alias("metadata"),
         "screenshot", "extracted_text", "embedding", moment.alias("created_at"), moment.alias("updated_at"),
     )
-    one = stored.select("id", F.posexplode(valid_entities(F.col("entities"))).alias("pos", "e"))
+    one = named.select("id", "entities", "__text").join(failed, "__text", "left_anti").select("id", F.posexplode(valid_entities(F.col("entities"))).alias("pos", "e"))
     entities = one.select(
         F.concat_ws("_", "id", F.lit("ent"), "pos").alias("id"), F.col("id").alias("memory_id"), F.col("e.value").alias("entity"), F.col("e.type").alias("type"),
         F.col("e.entity_type").alias("entity_type"), F.coalesce("e.normalized", "e.value").alias("normalized_value"), moment.alias("created_at"),
