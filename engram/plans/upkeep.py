@@ -459,6 +459,7 @@ def ema_fold(spark: SparkSession, sf: str) -> DataFrame:
 # --- captures ------------------------------------------------------------------------------------
 
 _W = "OVER (PARTITION BY user_id ORDER BY ts, capture_id)"
+FORGET = 6 * 3600
 
 
 @query(with_views("screen", rest=f"SELECT capture_id, user_id, ts FROM (SELECT *, lag(ocr_raw) {_W} AS b FROM screen) WHERE b IS DISTINCT FROM ocr_raw"))
@@ -491,17 +492,37 @@ def capture_chain(spark: SparkSession, sf: str) -> DataFrame:
     return stream.gated(views.screen(spark, sf)).select("capture_id", "user_id", "app", "title", "changed")
 
 
-@query(with_views("screen", rest=", " + _GATED).replace("\n, a AS", ", a AS", 1))
-def capture_chain_stream(spark: SparkSession, sf: str) -> DataFrame:
+def _streamed(spark: SparkSession, sf: str, forget: int | None) -> DataFrame:
     """The chain as a stream over the same rows, run until nothing is left, and read back from its sink."""
     folder = new_folder(spark, "stream")
     views.screen(spark, sf).repartitionByRange(4, "ts").write.parquet(f"{folder}/in")
     source = spark.readStream.schema(views.screen(spark, sf).schema).parquet(f"{folder}/in")
-    run = stream.store_batches(stream.gated_stream(source), f"{folder}/out", f"{folder}/state", once=True)
+    run = stream.store_batches(stream.gated_stream(source, forget=forget), f"{folder}/out", f"{folder}/state", once=True)
     run.awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("capture_id", "user_id", "app", "title", "changed")
 
 
+@query(with_views("screen", rest=", " + _GATED).replace("\n, a AS", ", a AS", 1))
+def capture_chain_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return _streamed(spark, sf, None)
+
+
+_FORGETS = f"""a AS (SELECT *, lag(app) {_W} AS pa, lag(title) {_W} AS pt, coalesce(ts - lag(ts) {_W} > INTERVAL {FORGET} SECONDS, true) AS opens FROM screen WHERE idle_ms <= 300000 AND app NOT LIKE '%Electron%'),
+  b AS (SELECT *, opens OR pa <> app OR pt <> title AS changed, sum(CAST(opens AS INTEGER)) {_W} AS run FROM a), c AS (SELECT * FROM b WHERE (changed OR diff_ratio > 0.15) AND length(ocr_raw) >= 10),
+  d AS (SELECT *, lag(ocr_raw) {_W} AS po, lag(run) {_W} AS pr FROM c) SELECT capture_id, user_id, app, title, changed FROM d WHERE changed OR po IS DISTINCT FROM ocr_raw OR pr IS DISTINCT FROM run"""
+
+
+@query(with_views("screen", rest=", " + _FORGETS).replace("\n, a AS", ", a AS", 1))
+def capture_chain_forgets(spark: SparkSession, sf: str) -> DataFrame:
+    """The chain where a user is new again after six hours without a capture."""
+    return stream.gated(views.screen(spark, sf), forget=FORGET).select("capture_id", "user_id", "app", "title", "changed")
+
+
+@query(with_views("screen", rest=", " + _FORGETS).replace("\n, a AS", ", a AS", 1))
+def capture_chain_forgets_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return _streamed(spark, sf, FORGET)
+
+
 @query(with_views("screen", rest="""SELECT session_id, capture_id, array_to_string(f, '|') AS new_lines FROM (SELECT 's' || user_id AS session_id, capture_id,
   list_filter(string_split(ocr_raw, chr(10)), lambda x: length(x) > 5 AND NOT list_contains(string_split(coalesce(lag(ocr_raw) OVER (PARTITION BY user_id ORDER BY ts, capture_id), 'common last line'), chr(10)), x)) AS f
   FROM screen WHERE app = 'click') WHERE len(f) > 0"""))

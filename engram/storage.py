@@ -15,6 +15,8 @@ from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local: dict[str, str] = {}
 _made = threading.local()
+_lock = threading.Lock()
+_before: dict[tuple[int, str], list] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +50,31 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+@contextlib.contextmanager
+def with_settings(spark: SparkSession, own: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for a while. Where several threads ask for the same one, the last to end puts back what was there before the first."""
+    session = spark._jsparkSession.hashCode()
+    keys = [(session, k) for k in own]
+    with _lock:
+        for key in keys:
+            held = _before.setdefault(key, [spark.conf.get(key[1], None), 0])
+            held[1] += 1
+            spark.conf.set(key[1], own[key[1]])
+    try:
+        yield
+    finally:
+        with _lock:
+            for key in keys:
+                held = _before[key]
+                held[1] -= 1
+                if held[1] == 0:
+                    del _before[key]
+                    if held[0] is None:
+                        spark.conf.unset(key[1])
+                    else:
+                        spark.conf.set(key[1], held[0])
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -56,12 +83,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{new_folder(spark, name)}/t"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with with_settings(spark, {_CLEANUP: "true"}):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -73,14 +96,8 @@ def filtered_joins(spark: SparkSession) -> Iterator[None]:
         "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
         "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1t",
     }
-    before = {k: spark.conf.get(k) for k in own}
-    for k, v in own.items():
-        spark.conf.set(k, v)
-    try:
+    with with_settings(spark, own):
         yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
 
 
 def settle(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:

@@ -4,7 +4,12 @@ A capture row has ts, capture_id, user_id, app, title, idle_ms, diff_ratio, widt
 On tables the chain uses windows over each user's captures in order (ts, capture_id), cut by the hour: the
 last state of every hour is handed on to the user's next one, so that a busy user's captures lie over many
 tasks. On streams the same chain keeps a small state for each user. The gates, in order: idle users; overlay windows; no
-change of title and too few changed pixels; short texts; the text that was seen last.
+change of title and too few changed pixels; short texts; the text that was seen last. With ``forget`` a user of whom
+nothing was shown for so many seconds is new again, on tables and streams alike; a stream drops the state then. Captures
+without a time are left out there.
+
+The streams here keep their state by transformWithState, which needs the RocksDB state store: ``store_batches`` starts
+them with it; who starts them otherwise sets ``STATE_STORE`` in the session first.
 """
 
 from __future__ import annotations
@@ -14,9 +19,13 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.storage import with_settings
+
 IDLE_MS, LEAST_DIFF, LEAST_TEXT, RESIZE, WATCH_SECONDS = 300_000, 0.15, 10, 100, 300
 OVERLAY_APPS = ("Electron",)
-_STATE = "app string, title string, hash string"
+#: A stream forgets a user after thirty days, and takes captures up to a day behind the newest.
+FORGET_SECONDS, LATE = 30 * 86_400, "1 day"
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 #: Captures of one user are taken together by this length of time.
@@ -76,19 +85,45 @@ def resizes(captures: DataFrame, most: int = RESIZE) -> DataFrame:
     return held.where(F.coalesce(moved, F.lit(False))).drop("__before")
 
 
-def drop_repeats(captures: DataFrame, text: str = "ocr_raw", keep: Column | None = None) -> DataFrame:
-    """Rows whose text differs from that of the user's row before (A, B, A stays whole); ``keep`` overrides."""
-    own = text_hash(F.col(text))
-    held = _with_before(captures, F.struct(own.alias("hash")), "__before")
-    wanted = ~F.coalesce(F.col("__before")["hash"] == own, F.lit(False))
+def drop_repeats(captures: DataFrame, text: str = "ocr_raw", keep: Column | None = None, run: Column | None = None) -> DataFrame:
+    """Rows whose text differs from that of the user's row before (A, B, A stays whole); ``keep`` overrides.
+
+    With ``run`` a row before of another run does not count.
+    """
+    own = F.struct(text_hash(F.col(text)).alias("hash"), (F.lit(0) if run is None else run).alias("run"))
+    held = _with_before(captures, own, "__before")
+    wanted = ~F.coalesce(F.col("__before") == own, F.lit(False))
     return held.where(wanted if keep is None else wanted | keep).drop("__before")
 
 
-def gated(captures: DataFrame, overlays: Sequence[str] = OVERLAY_APPS) -> DataFrame:
+def _micros(name: str) -> Column:
+    return F.unix_micros(F.col(name).cast("timestamp"))
+
+
+def _in_runs(captures: DataFrame, forget: int) -> DataFrame:
+    """Adds __run, the time of the row that opened the user's run (rows with no gap above ``forget`` seconds), and __opens."""
+    held = _with_before(captures.withColumn("__at", _micros("ts")), F.struct(F.col("__at").alias("at")), "__before")
+    opens = F.coalesce(F.col("__at") - F.col("__before")["at"] > forget * 1_000_000, F.lit(True))
+    rows, w = _handed_on(held.withColumn("__opens", opens).drop("__before"), F.when(F.col("__opens"), F.col("__at")))
+    newest = F.last("__value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("__run", newest).where("__real").drop("__value", "__hour", "__real", "__at")
+
+
+def _shown(captures: DataFrame, overlays: Sequence[str]) -> DataFrame:
+    return captures.where((F.coalesce("idle_ms", F.lit(0)) <= IDLE_MS) & ~is_overlay(F.col("app"), overlays))
+
+
+def gated(captures: DataFrame, overlays: Sequence[str] = OVERLAY_APPS, forget: int | None = None) -> DataFrame:
     """The captures of a table that the chain stores, with changed."""
-    shown = captures.where((F.coalesce("idle_ms", F.lit(0)) <= IDLE_MS) & ~is_overlay(F.col("app"), overlays))
-    moved = title_changes(shown).where(F.col("changed") | (F.coalesce("diff_ratio", F.lit(1.0)) > LEAST_DIFF))
-    return drop_repeats(moved.where(F.length(F.coalesce("ocr_raw", F.lit(""))) >= LEAST_TEXT), keep=F.col("changed"))
+    shown = _shown(captures, overlays)
+    if forget is not None:
+        shown = _in_runs(shown.where("ts IS NOT NULL"), forget)
+    titled = title_changes(shown)
+    if forget is not None:
+        titled = titled.withColumn("changed", F.col("changed") | F.col("__opens"))
+    moved = titled.where(F.col("changed") | (F.coalesce("diff_ratio", F.lit(1.0)) > LEAST_DIFF))
+    told = moved.where(F.length(F.coalesce("ocr_raw", F.lit(""))) >= LEAST_TEXT)
+    return drop_repeats(told, keep=F.col("changed"), run=None if forget is None else F.col("__run")).drop("__run", "__opens")
 
 
 def new_lines(current: Column, baseline: Column, least: int = 5) -> Column:
@@ -98,82 +133,134 @@ def new_lines(current: Column, baseline: Column, least: int = 5) -> Column:
     return F.filter(lines(current), lambda x: (F.length(x) > least) & ~F.array_contains(old, x))
 
 
-def watch(captures: DataFrame, sessions: DataFrame) -> DataFrame:
-    """New lines of each watch session (session_id, user_id, app, baseline): each capture against the one before."""
+def _watched(captures: DataFrame, sessions: DataFrame, seconds: int) -> DataFrame:
+    """Captures beside the sessions that watch them, with __ends (null where a session does not say when it started)."""
     pairs = captures.join(sessions, ["user_id", "app"])
+    if "started_at" not in sessions.columns:
+        return pairs.withColumn("__ends", F.lit(None).cast("timestamp"))
+    start = F.col("started_at").cast("timestamp")
+    ends, at = start + F.make_dt_interval(secs=F.lit(seconds)), F.col("ts").cast("timestamp")
+    return pairs.withColumn("__ends", ends).where(start.isNull() | ((at >= start) & (at <= ends)))
+
+
+def watch(captures: DataFrame, sessions: DataFrame, seconds: int = WATCH_SECONDS) -> DataFrame:
+    """New lines of each watch session (session_id, user_id, app, baseline): each capture against the one before.
+
+    Where sessions have started_at, a session takes captures from then on, ``seconds`` long.
+    """
+    pairs = _watched(captures, sessions, seconds)
     w = Window.partitionBy("session_id").orderBy("ts", "capture_id")
     fresh = new_lines(F.col("ocr_raw"), F.coalesce(F.lag("ocr_raw").over(w), F.col("baseline")))
     return pairs.withColumn("new_lines", fresh).where(F.size("new_lines") > 0).select("session_id", "capture_id", "ts", "new_lines")
 
 
-def gated_stream(captures: DataFrame, overlays: Sequence[str] = OVERLAY_APPS) -> DataFrame:
-    """The same chain on a stream: a user's last window and text hash are its state."""
+def gated_stream(captures: DataFrame, overlays: Sequence[str] = OVERLAY_APPS, forget: int | None = FORGET_SECONDS, late: str = LATE) -> DataFrame:
+    """The same chain on a stream: a user's last window, text hash and time are the state.
+
+    A timer by the time of the captures drops the state ``forget`` seconds after the user's last one. Captures that come
+    more than ``late`` behind the newest are then left out by Spark, which counts them. None keeps every user, and takes
+    captures however late.
+    """
     import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    from pyspark.sql.streaming import StatefulProcessor
 
     names = captures.columns
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in captures.schema) + ", changed boolean"
-    shown = captures.where((F.coalesce("idle_ms", F.lit(0)) <= IDLE_MS) & ~is_overlay(F.col("app"), overlays)).withColumn("__hash", text_hash(F.col("ocr_raw")))
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        app, title, seen = state.get if state.exists else (None, None, None)
-        known = state.exists
-        rows = pd.concat(list(batches)).sort_values(["ts", "capture_id"], kind="stable")
-        kept, flags = [], []
-        for i, (r, digest) in enumerate(zip(rows[names].itertuples(index=False), rows["__hash"])):
-            changed = not known or (r.app, r.title) != (app, title)
-            app, title, known = r.app, r.title, True
-            diff = 1.0 if pd.isna(r.diff_ratio) else r.diff_ratio
-            if not changed and diff <= LEAST_DIFF or len(r.ocr_raw or "") < LEAST_TEXT:
-                continue
-            again, seen = digest == seen, digest
-            if changed or not again:
-                kept.append(i)
-                flags.append(changed)
-        state.update((app, title, seen))
-        yield rows.iloc[kept][names].assign(changed=flags)
-
-    return shown.groupBy("user_id").applyInPandasWithState(step, schema, _STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def watch_stream(captures: DataFrame, sessions: DataFrame, seconds: int = WATCH_SECONDS) -> DataFrame:
-    """Watch sessions on a stream: the baseline is the state, dropped when the stream's time has gone
-    ``seconds`` beyond a session's last capture.
-
-    ``sessions`` is the stated, small list of what is watched. Time is event time, so a run that stops
-    when no input is left does stop (a timeout by the clock would keep it alive).
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in captures.schema) + ", changed boolean"
+
+    class Gate(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.last = handle.getValueState("last", "app string, title string, hash string, at long")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            held = self.last.get() if self.last.exists() else None
+            timer = held and held[3]
+            rows = pd.concat(list(rows)).set_axis(columns, axis=1).sort_values(["ts", "capture_id"], kind="stable")
+            kept, flags = [], []
+            for i, (r, digest, at) in enumerate(zip(rows[names].itertuples(index=False), rows["__hash"], rows["__at"].tolist())):
+                if held and forget is not None and at - held[3] > forget * 1_000_000:
+                    held = None
+                app, title, seen, before = held or (None, None, None, at)
+                changed = held is None or (r.app, r.title) != (app, title)
+                diff = 1.0 if pd.isna(r.diff_ratio) else r.diff_ratio
+                told = (changed or diff > LEAST_DIFF) and len(r.ocr_raw or "") >= LEAST_TEXT
+                if told and (changed or digest != seen):
+                    kept.append(i)
+                    flags.append(changed)
+                held = (r.app, r.title, digest if told else seen, max(at, before))
+            self.last.update(held)
+            if forget is not None and held[3] != timer:
+                if timer is not None:
+                    self.handle.deleteTimer(ends(timer))
+                self.handle.registerTimer(ends(held[3]))
+            yield rows.iloc[kept][names].assign(changed=flags)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.last.clear()
+            return iter(())
+
+        def close(self) -> None:
+            pass
+
+    def ends(at: int) -> int:
+        # the first whole millisecond at which a capture would find the state forgotten
+        return at // 1000 + forget * 1000 + 1
+
+    # the user as text: null users are one user, as on tables
+    user = F.to_json(F.struct("user_id"))
+    shown = _shown(captures, overlays).withColumn("__user", user).withColumn("__hash", text_hash(F.col("ocr_raw"))).withColumn("__at", F.coalesce(_micros("ts"), F.lit(0)))
+    if forget is not None:
+        shown = shown.where("ts IS NOT NULL").withColumn("__event", F.col("ts").cast("timestamp")).withWatermark("__event", late)
+    columns = shown.columns
+    return shown.groupBy("__user").transformWithStateInPandas(Gate(), schema, "Append", "None" if forget is None else "EventTime")
+
+
+def watch_stream(captures: DataFrame, sessions: DataFrame, seconds: int = WATCH_SECONDS, late: str = "0 seconds") -> DataFrame:
+    """Watch sessions on a stream: the last text is the state, dropped by a timer when the stream's time is past the
+    session's end. Sessions that do not say when they started have none, and keep their state.
     """
     import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    from pyspark.sql.streaming import StatefulProcessor
 
-    timed = captures.withColumn("__event", F.col("ts").cast("timestamp")).withWatermark("__event", "0 seconds")
-    joined = timed.join(F.broadcast(sessions), ["user_id", "app"]).select("session_id", "capture_id", "ts", "ocr_raw", "baseline", "__event")
+    timed = captures.withColumn("__event", F.col("ts").cast("timestamp")).withWatermark("__event", late)
+    pairs = _watched(timed, sessions, seconds)
+    joined = pairs.select("session_id", "capture_id", "ts", "ocr_raw", "baseline", F.unix_millis("__ends").alias("ends"), "__event")
     ident = captures.schema["capture_id"].dataType.simpleString()
     when = captures.schema["ts"].dataType.simpleString()
 
     def lines(text: str | None) -> list[str]:
         return [x for x in (y.strip() for y in (text or "").split("\n")) if x]
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        base = state.get[0] if state.exists else None
-        out = []
-        rows = pd.concat(list(batches)).sort_values(["ts", "capture_id"], kind="stable")
-        for r in rows.itertuples(index=False):
-            old = set(lines(r.baseline if base is None else base))
-            fresh = [x for x in lines(r.ocr_raw) if len(x) > 5 and x not in old]
-            base = r.ocr_raw or ""
-            if fresh:
-                out.append((key[0], r.capture_id, r.ts, fresh))
-        state.update((base,))
-        last = int(pd.Timestamp(rows["ts"].max()).timestamp() * 1000)
-        state.setTimeoutTimestamp(max(last + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        if out:
+    class Watch(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.base = handle.getValueState("base", "text string")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            base = self.base.get()[0] if self.base.exists() else None
+            new, out = base is None, []
+            rows = pd.concat(list(rows)).sort_values(["ts", "capture_id"], kind="stable")
+            for r in rows.itertuples(index=False):
+                old = set(lines(r.baseline if base is None else base))
+                fresh = [x for x in lines(r.ocr_raw) if len(x) > 5 and x not in old]
+                base = r.ocr_raw or ""
+                if fresh:
+                    out.append((key[0], r.capture_id, r.ts, fresh))
+            self.base.update((base,))
+            ends = rows["ends"].iloc[0]
+            if new and not pd.isna(ends):
+                self.handle.registerTimer(int(ends) + 1)
             yield pd.DataFrame(out, columns=["session_id", "capture_id", "ts", "new_lines"])
 
-    return joined.groupBy("session_id").applyInPandasWithState(step, f"session_id string, capture_id {ident}, ts {when}, new_lines array<string>", "base string", "append", GroupStateTimeout.EventTimeTimeout)
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.base.clear()
+            return iter(())
+
+        def close(self) -> None:
+            pass
+
+    schema = f"session_id string, capture_id {ident}, ts {when}, new_lines array<string>"
+    return joined.groupBy("session_id").transformWithStateInPandas(Watch(), schema, "Append", "EventTime")
 
 
 def hourly_counts(captures: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -197,4 +284,5 @@ def store_batches(captures: DataFrame, folder: str, checkpoint: str, once: bool
         batch.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/batch={number}")
 
     writer = captures.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
+    with with_settings(captures.sparkSession, STATE_STORE):
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()

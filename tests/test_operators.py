@@ -244,6 +244,69 @@ def test_watch_stream(spark, tmp_path):
     assert got == want == {(1, ("second long line",)), (3, ("first long line",))}
 
 
+def test_users_are_forgotten(spark, tmp_path):
+    """A stream in three runs gives what the table form gives; states go after the time; a plain loop agrees; null users and ties."""
+    from datetime import timedelta
+
+    forget, r, at, rows = 600, random.Random(3), datetime(2024, 1, 1), []
+    for i in range(300):
+        at += timedelta(seconds=r.choice([0, 20, 100, 599, 600, 601]))
+        rows.append((at, i, r.choice([1, 2, None]), r.choice(["Code", "Code", "Electron"]), r.choice("xxxy"), r.choice([0, 0, 400_000]), r.choice([0.1, 0.1, 0.5, None]), 100, 100, r.choice(["text number one", "text number two", "short", None])))
+    rows.append((at + timedelta(days=1), 300, 9, "Code", "x", 0, 0.1, 100, 100, "text number one"))
+    names = "ts timestamp_ntz, capture_id long, user_id long, app string, title string, idle_ms long, diff_ratio double, width int, height int, ocr_raw string"
+    state, want = {}, set()
+    for t, i, user, app, title, idle, diff, _, _, ocr in rows:
+        if idle > 300_000 or app == "Electron":
+            continue
+        old = state.get(user)
+        if old and (t - old[0]).total_seconds() > forget:
+            old = None
+        changed = old is None or old[1] != (app, title)
+        told = (changed or diff is None or diff > 0.15) and len(ocr or "") >= 10
+        if told and (changed or old[2] != ocr):
+            want.add((i, changed))
+        state[user] = (t, (app, title), ocr if told else old and old[2])
+    df = spark.createDataFrame(rows, names)
+    assert {(x.capture_id, x.changed) for x in stream.gated(df.repartition(5), forget=forget).collect()} == want
+    assert {(x.capture_id, x.changed) for x in stream.gated(df).collect()} != want
+    for part in range(3):
+        df.where(F.col("capture_id").between(part * 101, part * 101 + 100)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+        before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+        run = stream.store_batches(stream.gated_stream(source, forget=forget, late="0 seconds"), f"{tmp_path}/out/run={part}", f"{tmp_path}/state", once=True)
+        run.awaitTermination()
+        assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    assert {(x.capture_id, x.changed) for x in spark.read.parquet(f"{tmp_path}/out").collect()} == want
+    kept = spark.read.format("statestore").option("stateVarName", "last").load(f"{tmp_path}/state")
+    assert [x.key[0] for x in kept.collect()] == ['{"user_id":9}']
+
+
+def test_watch_sessions_end(spark, tmp_path):
+    frame = shots(spark, ["first long line", "second long line", "third long line", "fourth long line"])
+    times = [x.ts for x in frame.orderBy("capture_id").collect()]
+    seconds = int((times[2] - times[1]).total_seconds())
+    frame.coalesce(1).write.parquet(f"{tmp_path}/in")
+    sessions = spark.createDataFrame([("s1", 1, "Mail", "first long line", times[1]), ("s2", 1, "Mail", "", None)], f"session_id string, user_id long, app string, baseline string, started_at {frame.schema['ts'].dataType.simpleString()}")
+    source = spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in")
+    stream.store_batches(stream.watch_stream(source, sessions, seconds), f"{tmp_path}/out", f"{tmp_path}/state", once=True).awaitTermination()
+    got = {(x.session_id, x.capture_id) for x in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(x.session_id, x.capture_id) for x in stream.watch(frame, sessions, seconds).collect()} == {("s1", 1), ("s1", 2), ("s2", 0), ("s2", 1), ("s2", 2), ("s2", 3)}
+    kept = spark.read.format("statestore").option("stateVarName", "base").load(f"{tmp_path}/state")
+    assert [x.key.session_id for x in kept.collect()] == ["s2"]
+
+
+def test_settings_of_two_threads(spark):
+    from engram.storage import with_settings
+
+    name = "spark.sql.engram.test"
+    with with_settings(spark, {name: "1"}):
+        inner = with_settings(spark, {name: "1"})
+        inner.__enter__()
+    assert spark.conf.get(name) == "1"
+    inner.__exit__(None, None, None)
+    assert spark.conf.get(name, None) is None
+
+
 # --- changes -------------------------------------------------------------------------------------
 
 
