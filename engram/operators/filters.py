@@ -82,14 +82,18 @@ def top(df: DataFrame, *order: Column, limit: int = 25, offset: int = 0) -> Data
     return df.orderBy(*order).offset(offset).limit(limit) if offset + limit <= DEEP else deep_page(df, *order, limit=limit, offset=offset)
 
 
+def _in_ranges(df: DataFrame, order: Sequence[Column], part: str) -> DataFrame:
+    """The rows dealt to ranges of the order, written once with the number of their range. Rows that tie in the whole order lie in one range."""
+    return materialize(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranged")
+
+
 def deep_page(df: DataFrame, *order: Column, limit: int, offset: int) -> DataFrame:
     """The rows ``offset`` to ``offset + limit`` in order, however deep.
 
-    The rows are dealt to ranges of the order and written once with the number of their range; the counts of the ranges (a row each)
-    tell which of them the page touches, and only those are read and sorted. Where rows tie in the whole order, they lie in one range.
+    The counts of the ranges of the order (a row each) tell which of them the page touches, and only those are read and sorted.
     """
     part = "__part"
-    ranged = materialize(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranged")
+    ranged = _in_ranges(df, order, part)
     start, before, touched = 0, 0, []
     for r in sorted(ranged.groupBy(part).count().collect()):  # a row for each range
         if start < offset + limit and start + r["count"] > offset:
@@ -100,6 +104,19 @@ def deep_page(df: DataFrame, *order: Column, limit: int, offset: int) -> DataFra
     return rows.drop(part).orderBy(*order).offset(offset - before if touched else 0).limit(limit)
 
 
+def placed(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """Adds the place of each row in the order of all rows, from 1; no task holds more than a range of the order.
+
+    A range is numbered by itself, and starts where the counts of the ranges before it (a row each) end.
+    """
+    part = "__part"
+    ranged = _in_ranges(df, order, part)
+    before = F.sum("count").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranged.groupBy(part).count().select(part, F.coalesce(before, F.lit(0)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return ranged.join(F.broadcast(starts), part).withColumn(name, F.col("__start") + place).drop(part, "__start")
+
+
 def sorted_page(df: DataFrame, by: str = "created_at", descending: bool = True, limit: int = 25, offset: int = 0) -> DataFrame:
     """A page by a column that may be sorted by; ties go by id."""
     if by not in SORTABLE:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.functions import text, vector
-from engram.operators import mutate, registry, upkeep
+from engram.operators import filters, mutate, registry, upkeep
 from engram.sources import views
 from engram.sources.views import EVENT_NOW, with_views
 from engram.storage import new_folder
@@ -162,13 +162,8 @@ def search_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(with_views("notes", rest="""SELECT id, user_id, type, r AS rank FROM notes JOIN (SELECT vec_id, row_number() OVER (ORDER BY label DESC, vec_id) AS r FROM embeddings WHERE label >= 5) ON vec_id = id"""))
 def hydrate_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    ranked = views.vectors(spark, sf).where("label >= 5").groupBy("label", "id").count()
-    first = ranked.groupBy("label").agg(F.count("*").alias("n"))
-    above = first.alias("a").join(first.alias("b"), F.col("b.label") > F.col("a.label"), "left").groupBy(F.col("a.label").alias("label")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("above"))
-    place = F.row_number().over(Window.partitionBy("label").orderBy("id"))
-    candidates = ranked.join(above, "label").select("id", (F.col("above") + place).alias("rank"))
+    distinct = views.vectors(spark, sf).where("label >= 5").select("label", "id").distinct()
+    candidates = filters.placed(distinct, F.desc("label"), F.asc("id")).select("id", F.col("rank").cast("long"))
     return registry.hydrate(views.notes(spark, sf), candidates).select("id", "user_id", "type", "rank")
 
 

@@ -414,6 +414,18 @@ def test_deep_pages(spark, offset):
         assert [r.id for r in filters.top(rows, *order, limit=25, offset=offset).collect()] == plain[offset : offset + 25]
 
 
+def test_places_in_order(spark):
+    """Over many ranges, with a null, ties within the first key and one key that holds most rows."""
+    r = random.Random(5)
+    rows = [(r.choice([7, 7, 7, 7, 1, 2, None]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, i int").repartition(7)
+    got = filters.placed(df, F.desc_nulls_last("k"), F.asc("i"), name="at")
+    want = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    assert [(x.k, x.i) for x in sorted(got.collect(), key=lambda x: x.at)] == want and got.columns == ["k", "i", "at"]
+    assert sorted(x.at for x in got.collect()) == list(range(1, 501))
+    assert filters.placed(df.limit(0), F.asc("i")).count() == 0
+
+
 def test_versions(spark, tmp_path):
     folder = f"{tmp_path}/t"
     mutate.replace_table(spark.range(3), folder, "001")
