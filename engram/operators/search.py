@@ -74,24 +74,33 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(w for w in re.split("[^a-z]+", query.lower()) if w))
 
 
-def bm25(memories: DataFrame, query: str, text_col: str = "source_text") -> DataFrame:
-    """id and keyword score of the rows that hold any term of the query.
+def count_terms(memories: DataFrame, terms: Sequence[str], text_col: str = "source_text", *keep: Column | str) -> DataFrame:
+    """id, length in words and how often each term stands in the text (tf0, tf1, ...), beside the columns to keep.
 
-    Term counts are taken in one scan; an aggregate over them gives the corpus figures; no posting is shuffled.
+    Small numbers for each row, written once, so that the texts are read in a single pass.
     """
-    terms = query_terms(query)
-    words = memories.select("id", spaced_words(F.col(text_col)).alias("words"))
+    words = memories.select("id", spaced_words(F.col(text_col)).alias("words"), *keep)
     length = F.when(F.col("words") == "", 0.0).otherwise(occurrences(F.col("words"), "  ") + 1.0)
-    # small numbers for each row, written once, so that the texts are read in a single pass
-    counted = materialize(words.select("id", length.alias("length"), *(occurrences(F.col("words"), f" {t} ").alias(f"tf{k}") for k, t in enumerate(terms))), "terms")
-    figures = counted.agg(
-        F.count("*").cast("double").alias("docs"), F.avg("length").alias("average"), *(F.sum(F.when(F.col(f"tf{k}") > 0, 1.0).otherwise(0.0)).alias(f"df{k}") for k in range(len(terms)))
-    )
-    hits = counted.where(sum((F.col(f"tf{k}") for k in range(len(terms))), F.lit(0.0)) > 0).join(F.broadcast(figures))  # figures is one row
-    parts = [ranking.bm25_term(F.col(f"tf{k}"), F.col("length"), F.col("average"), F.col("docs"), F.col(f"df{k}")) for k in range(len(terms))]
+    counts = (occurrences(F.col("words"), f" {t} ").alias(f"tf{k}") for k, t in enumerate(terms))
+    return materialize(words.select("id", length.alias("length"), *counts, *words.columns[2:]), "terms")
+
+
+def keyword_scores(counted: DataFrame, n_terms: int) -> DataFrame:
+    """id and score of the rows of ``count_terms`` with any term; an aggregate gives the corpus figures, no posting is shuffled."""
+    tf = [F.col(f"tf{k}") for k in range(n_terms)]
+    found = (F.sum(F.when(t > 0, 1.0).otherwise(0.0)).alias(f"df{k}") for k, t in enumerate(tf))
+    figures = counted.agg(F.count("*").cast("double").alias("docs"), F.avg("length").alias("average"), *found)
+    hits = counted.where(sum(tf, F.lit(0.0)) > 0).join(F.broadcast(figures))  # figures is one row
+    parts = [ranking.bm25_term(t, F.col("length"), F.col("average"), F.col("docs"), F.col(f"df{k}")) for k, t in enumerate(tf)]
     return hits.select("id", sum(parts, F.lit(0.0)).alias("score"))
 
 
+def bm25(memories: DataFrame, query: str, text_col: str = "source_text") -> DataFrame:
+    """id and keyword score of the rows that hold any term of the query."""
+    terms = query_terms(query)
+    return keyword_scores(count_terms(memories, terms, text_col), len(terms))
+
+
 def min_max(scores: DataFrame, score: str = "score") -> DataFrame:
     """Adds the positive scores' place between the smallest and largest; 0 for all where these are equal."""
     ends = scores.where(F.col(score) > 0).agg(F.min(score).alias("__low"), F.max(score).alias("__high"))
@@ -114,15 +123,17 @@ def hybrid(memories: DataFrame, entities: DataFrame, query: str, embedding: Sequ
 
     A page by similarity and recency and the best 3 * limit keyword rows meet in a full outer join on
     the id; the fused score orders them; the similarity cut comes after the limit, so rows found by
-    keywords alone take places and then go, unless ``keep_keyword_only``.
+    keywords alone take places and then go, unless ``keep_keyword_only``. The memories are read once: what
+    both ways and the fusion need is a few numbers a row, which are written.
     """
     moment = F.lit(now).cast("timestamp_ntz")
-    able = memories.where(F.col("embedding").isNotNull())
-    similarity = vector.cosine_to(F.col("embedding"), embedding)
-    light = able.select("id", "type", "created_at", similarity.alias("similarity"))
-    scored = light.withColumn("page", F.round(ranking.page_score(F.col("similarity"), ranking.recency_calendar(F.col("created_at"), moment, F.col("type"))), 6))
+    terms = query_terms(query)
+    similarity, has = vector.cosine_to(F.col("embedding"), embedding), F.col("embedding").isNotNull()
+    counted = count_terms(memories, terms, "source_text", "type", "created_at", F.when(has, similarity).alias("similarity"), has.alias("has"))
+    able = counted.where("has")
+    scored = able.select("id", "type", "created_at", "similarity").withColumn("page", F.round(ranking.page_score(F.col("similarity"), ranking.recency_calendar(F.col("created_at"), moment, F.col("type"))), 6))
     page = top(scored, F.desc("page"), F.asc("id"), limit=limit, offset=offset).drop("page")
-    keyword_rows = bm25(memories, query).withColumn("score", F.round("score", 4))
+    keyword_rows = keyword_scores(counted, len(terms)).withColumn("score", F.round("score", 4))
     found = min_max(top(keyword_rows.where("score > 0"), F.desc("score"), F.asc("id"), limit=3 * limit))
     extra = able.select("id", F.col("type").alias("type_"), F.col("created_at").alias("created_")).join(F.broadcast(found.select("id", "scaled")), "id")  # 3 * limit rows
     both = page.join(extra, "id", "full_outer").join(named_ids(entities, query).withColumn("named", F.lit(True)), "id", "left")
