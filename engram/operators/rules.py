@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram.functions.text import ascii_edges
+
 #: Words that carry no meaning in a rule.
 STOP_WORDS = ("the", "and", "from", "that", "this", "with", "not", "let", "can", "you", "for", "are", "was", "its", "all", "any", "but", "our", "they", "been", "have", "has", "will", "would", "could", "should", "never", "dont", "also", "just", "make", "sure")
 
@@ -149,7 +151,8 @@ WITHIN = (("discourse", "POSITIONAL", 0.98), ("positional", "POSITIONAL", 0.95),
 def classify_query(query: Column, has_context: Column) -> dict[str, Column]:
     """classification, confidence, is_conversational and reasoning of a query, with or without a conversation before it."""
     low = F.lower(query)
-    says = {k: F.greatest(*(F.regexp_like(low, F.lit(p)) for p in v)) if len(v) > 1 else F.regexp_like(low, F.lit(v[0])) for k, v in CASCADE_PATTERNS.items()}
+    found = {k: [F.regexp_like(low, F.lit(ascii_edges(p))) for p in v] for k, v in CASCADE_PATTERNS.items()}
+    says = {k: F.greatest(*v) if len(v) > 1 else v[0] for k, v in found.items()}
     says["anaphora"] = says["anaphora"] & says["pronoun"]
     outcome = lambda name, c, p: F.struct(F.lit(c).alias("c"), F.lit(p).alias("p"), F.lit(REASONS[name]).alias("r"))
     alone = F.when(says["discourse"] | (says["pronoun"] & says["temporal"]), outcome("strong", "POSITIONAL", 0.70)).otherwise(outcome("alone", "GENERAL", 0.95))

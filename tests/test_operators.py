@@ -491,6 +491,17 @@ def test_query_classes(spark, query, alone, within):
     assert [tuple(r) for r in rows.select(got["classification"], got["confidence"]).collect()] == [alone, within]
 
 
+def test_accented_letters_end_ascii_words(spark):
+    """As in the patterns' own form: an accented letter is no part of a word."""
+    row = spark.createDataFrame([("\u00e9ou\u00e8our\u00e9 what did i\u2028say", "a.js\u00e9 b.jsx", "const\u00e9\nconstant")], "q string, names string, code string")
+    got = rules.classify_query(F.col("q"), F.lit(True))
+    assert tuple(row.select(got["classification"], got["confidence"]).first()) == ("POSITIONAL", 0.95)
+    told = rules.classify_query(F.lit("\u00e9ou\u00e8our\u00e9"), F.lit(True))
+    assert tuple(row.select(told["classification"], told["confidence"]).first()) == ("GENERAL", 0.60)
+    assert row.select(text.file_names(F.col("names"))).first()[0] == ["a.js", "b.jsx"]
+    assert row.select(text.code_snippets(F.col("code"))).first()[0] == ["const\u00e9"]
+
+
 def test_constraint_without_blocks_blocks_everything(spark):
     c = spark.createDataFrame([("1", "global", "anything", None, "hard", None)], "id string, scope string, rule string, blocks string, severity string, override_pin string")
     r = spark.createDataFrame([(1, "x", ["a"], None, None)], "request_id long, scope string, actions array<string>, message string, pin string")
