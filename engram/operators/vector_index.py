@@ -15,7 +15,7 @@ Defined results: rows and queries whose vector is null, of length zero or not fi
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -33,6 +33,10 @@ from engram.storage import materialize, new_folder
 SAMPLE, CELLS, ROUNDS = 8192, 256, 8
 #: Rows and queries that meet at once.
 PART = 2048
+#: Rows and queries that meet at once on large tables, at most: what moves is the product of both sides by this.
+MOST_PART = 65_536
+#: Similarities in a tile, and pairs that are computed in full at once.
+TILE, _PAIRS = 1 << 22, 1 << 14
 #: What rounding of similarities to six digits may hide, and of distances.
 _SLACK, _NEAR = 1e-6, 1e-9
 #: Bits of a sketch, share of the sample's neighbours that must pass (by lists and by sketches), and how many rows and neighbours tell it.
@@ -158,16 +162,59 @@ def by_sketch(x: np.ndarray, own: np.ndarray, asked: np.ndarray, flips: int) ->
 
 
 def best_pairs(ids: pa.Array, x: np.ndarray, query_ids: pa.Array, asked: np.ndarray, threshold: float, limit: int, others_only: bool, sims: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows and unit query vectors: places of row and query and the similarity, ``limit`` a query, by similarity and id."""
-    turn = pc.rank(ids, tiebreaker="dense").to_numpy()
-    if sims is None:
-        sims = np.round(x @ asked.T / np.linalg.norm(x, axis=1, keepdims=True), 6)
-    if others_only:
-        sims[np.array(ids.to_pylist(), object)[:, None] == np.array(query_ids.to_pylist(), object)[None, :]] = -2
-    order = np.lexsort((np.broadcast_to(turn[:, None], sims.shape), -sims), axis=0)[:limit]
-    best = np.take_along_axis(sims, order, axis=0)
-    r, q = np.nonzero(best >= threshold)
-    return order[r, q], q, best[r, q]
+    """Of rows and unit query vectors: places of row and query and the similarity, ``limit`` a query, by similarity and id.
+
+    Tiles of similarities in single precision tell which pairs may be among the best; only those are computed in full and sorted.
+    """
+    by_id = pc.sort_indices(ids).to_numpy()
+    norms = np.linalg.norm(x, axis=1)
+    light, asked_light = (x / norms[:, None])[by_id].astype(np.float32), asked.astype(np.float32)
+    own_q, own_r = own_pairs(ids.take(pa.array(by_id)), query_ids) if others_only else (np.zeros(0, np.int64),) * 2
+    slack = 2 * _SLACK + 2 * (x.shape[1] + 4) * 2.0**-24  # rounding to six digits, and both errors of single precision
+    groups = max(1, min(len(ids), max(1024, 8 * limit)))
+    whole = len(ids) // groups * groups
+    out, step = [], max(1, min(len(asked), TILE // max(1, len(ids))))
+    tile, flags = np.empty((step, len(ids)), np.float32), np.empty((step, len(ids)), bool)  # used again and again
+    for a in range(0, len(asked), step):
+        mine = slice(*np.searchsorted(own_q, (a, a + step)))
+        if sims is None:
+            near = np.matmul(asked_light[a : a + step], light.T, out=tile[: len(asked) - a])
+            near[own_q[mine] - a, own_r[mine]] = -2
+            # so many groups have a best row at or above it, so the last of the best is there or higher
+            tops = near[:, :whole].reshape(len(near), -1, groups).max(axis=1)
+            floor = np.partition(tops, groups - limit, axis=1)[:, groups - limit] if groups > limit else np.full(len(near), -2.0)
+            floor = np.maximum(np.maximum(floor, threshold) - slack, -1.5).astype(np.float32)
+            able = np.greater_equal(near, floor[:, None], out=flags[: len(near)])
+            q, r = np.divmod(np.flatnonzero(able.ravel()), len(ids))
+            told = [np.einsum("ij,ij->i", x[by_id[r[k : k + _PAIRS]]], asked[a + q[k : k + _PAIRS]]) / norms[by_id[r[k : k + _PAIRS]]] for k in range(0, len(q), _PAIRS)]
+            exact = np.round(np.concatenate(told), 6) if told else np.zeros(0)
+        else:
+            near = sims[by_id, a : a + step].T.copy()
+            near[own_q[mine] - a, own_r[mine]] = -2
+            q, r = np.nonzero(near >= threshold)
+            exact = near[q, r]
+        keep = exact >= threshold
+        q, r, exact = first_of(q[keep], r[keep], exact[keep], limit)
+        out.append((by_id[r], a + q, exact))
+    r, q, exact = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return r, q, exact
+
+
+def first_of(q: np.ndarray, turn: np.ndarray, sims: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first ``limit`` pairs of each query, by similarity and turn."""
+    order = np.lexsort((turn, -sims, q))
+    q, turn, sims = q[order], turn[order], sims[order]
+    first = np.arange(len(q)) - np.searchsorted(q, q) < limit
+    return q[first], turn[first], sims[first]
+
+
+def own_pairs(ids: pa.Array, query_ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Places of queries, in order, and of the rows that have the query's id."""
+    place: dict[object, list[int]] = {}
+    for i, v in enumerate(ids.to_pylist()):
+        place.setdefault(v, []).append(i)
+    pairs = [(q, r) for q, v in enumerate(query_ids.to_pylist()) for r in place.get(v, ())]
+    return (np.array([q for q, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int64))
 
 
 def compare(lists: DataFrame, asked: DataFrame, threshold: float, limit: int, part: int = PART, others_only: bool = False, flips: int | None = None, tally: bool = False) -> DataFrame:
@@ -204,6 +251,69 @@ def compare(lists: DataFrame, asked: DataFrame, threshold: float, limit: int, pa
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, schema)
 
 
+def whole_cells(lists: DataFrame, queries: DataFrame, counts: dict[int, int], needs: Callable[[np.ndarray], np.ndarray], threshold: float, limit: int, part: int = PART, others_only: bool = False) -> DataFrame:
+    """query_id, id, similarity: each query against all rows of the cells that it needs (a row of flags for a unit vector).
+
+    Cells lie in blocks of some ``part`` rows, or a sixth of all up to MOST_PART where that is more; a larger cell is dealt to several.
+    A query goes once to each block with a cell that it needs. So what moves grows with the number of blocks, not of cells.
+    """
+    spark, total, asked_total = lists.sparkSession, sum(counts.values()), queries.count()
+    room = lambda n: min(max(MOST_PART, part), max(part, math.ceil(n / 6)))
+    size, turns = room(total), max(1, math.ceil(asked_total / room(asked_total)))
+    places, at, held, members = [], 0, 0, [[]]
+    for cell, n in sorted(counts.items()):
+        if held and held + n > size:
+            at, held = len(members), 0
+            members.append([])
+        split = max(1, math.ceil(n / size))
+        places.append((cell, at, split))
+        members[at].append(cell)
+        for _ in range(split - 1):
+            members.append([cell])
+        held = size if split > 1 else held + n
+    dealt = spark.createDataFrame(places, "cell int, first int, split int")  # a row a cell
+    left = lists.select(F.col("cell").cast("int").alias("cell"), "id", "embedding").join(F.broadcast(dealt), "cell")
+    block = F.col("first") + F.pmod(F.xxhash64("id"), F.col("split")).cast("int")
+    left = left.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), "cell", "id", "embedding")
+
+    def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, PART):
+                own = batch.slice(a, PART)
+                flags = needs(unit(matrix(own.column(1))))
+                for k, cells in enumerate(members):
+                    some = own.filter(pa.array(flags[:, cells].any(axis=1)))
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.full(some.num_rows, k, np.int32))], names=["query_id", "query_embedding", "block"])
+
+    asked = queries.select("query_id", "query_embedding")
+    right = asked.mapInArrow(to_blocks, asked.limit(0).withColumn("block", F.lit(0)).schema).withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(turns)).cast("int"))
+    schema = asked.select("query_id").join(lists.select("id")).limit(0).withColumn("similarity", F.lit(0.0)).schema
+
+    def meet(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        ids, query_ids = rows["id"].combine_chunks(), queries["query_id"].combine_chunks()
+        if not len(ids) or not len(query_ids):
+            return pa.table([query_ids.slice(0, 0), ids.slice(0, 0), pa.array([], pa.float64())], names=["query_id", "id", "similarity"])
+        x, asked, cell = matrix(rows["embedding"]), unit(matrix(queries["query_embedding"])), rows["cell"].to_numpy()
+        flags, found = needs(asked), []
+        common = np.array([c for c in np.unique(cell) if flags[:, c].all()], np.int64)  # cells that all need are taken together
+        for own in [common, *([c] for c in np.setdiff1d(np.unique(cell), common))]:
+            r, q = np.flatnonzero(np.isin(cell, own)), np.flatnonzero(flags[:, own].all(axis=1)) if len(own) else np.zeros(0, np.int64)
+            if len(r) and len(q):
+                i, j, sims = best_pairs(ids.take(pa.array(r)), x[r], query_ids.take(pa.array(q)), asked[q], threshold, limit, others_only)
+                found.append((q[j], r[i], sims))
+        q, r, sims = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if len(found) > 1:
+            back = pc.sort_indices(ids).to_numpy()
+            turn = np.empty_like(back)
+            turn[back] = np.arange(len(back))
+            q, t, sims = first_of(q, turn[r], sims, limit)
+            r = back[t]
+        return pa.table([query_ids.take(pa.array(q)), ids.take(pa.array(r)), pa.array(sims)], names=["query_id", "id", "similarity"])
+
+    tasks, key = min(4 * len(members) * turns, 2000), ("block", "turn")
+    return left.repartition(tasks, *key).groupBy(*key).cogroup(right.repartition(tasks, *key).groupBy(*key)).applyInArrow(meet, schema)
+
+
 def match(rows: DataFrame, queries: DataFrame, threshold: float, limit: int = 1, part: int = PART, others_only: bool = False) -> DataFrame:
     """The nearest rows (query_id, id, similarity) at or above a similarity of every query, exactly, however many queries there are.
 
@@ -215,12 +325,13 @@ def match(rows: DataFrame, queries: DataFrame, threshold: float, limit: int = 1,
     asked = usable(queries.select("query_id", "query_embedding"), "query_embedding")
     if not len(centres):
         return asked.select("query_id").join(able.select("id")).limit(0).withColumn("similarity", F.lit(0.0))
-    lists = materialize(placed(able, centres), "lists")
-    radii = np.full(len(centres), -np.inf)
-    for r in lists.groupBy("cell").agg(F.max("away").alias("r")).collect():  # a row a cell
-        radii[r.cell] = r.r
+    lists = materialize(placed(able, centres).drop("sketch"), "lists")
+    radii, counts = np.full(len(centres), -np.inf), {}
+    for r in lists.groupBy("cell").agg(F.max("away").alias("r"), F.count("*").alias("n")).collect():  # a row a cell
+        radii[r.cell], counts[r.cell] = r.r, r.n
     reach = math.sqrt(max(0.0, 2 - 2 * (threshold - _SLACK)))
-    found = compare(lists, materialize(to_cells(asked, centres, radii=radii, reach=reach), "asked"), threshold, limit, part, others_only)
+    needs = lambda asked: distances(asked, centres) - radii <= reach + _NEAR
+    found = whole_cells(lists, asked, counts, needs, threshold, limit, part, others_only)
     return best_per(found, "query_id", F.desc("similarity"), F.asc("id"), limit=limit)
 
 
@@ -281,8 +392,19 @@ def search(index: Index, queries: DataFrame, limit: int = 25, probes: int | None
     spark = queries.sparkSession
     if not len(index.centres):
         return match(index.lists(spark), queries, -1.0, limit, others_only=others_only)
-    asked = materialize(to_cells(usable(queries, "query_embedding"), index.centres, probes or index.probes), "asked")
-    return best_per(compare(index.lists(spark), asked, -1.0, limit, others_only=others_only, flips=None if every else index.flips), "query_id", F.desc("similarity"), F.asc("id"), limit=limit)
+    lists, able, centres, probes = index.lists(spark), usable(queries, "query_embedding"), index.centres, probes or index.probes
+    if every:
+        counts = {r.cell: r["count"] for r in lists.groupBy("cell").count().collect()}  # a row a cell
+
+        def needs(asked: np.ndarray) -> np.ndarray:
+            flags = np.zeros((len(asked), len(centres)), bool)
+            np.put_along_axis(flags, np.argsort(distances(asked, centres), axis=1, kind="stable")[:, :probes], True, axis=1)
+            return flags
+
+        found = whole_cells(lists, able, counts, needs, -1.0, limit, others_only=others_only)
+    else:
+        found = compare(lists, materialize(to_cells(able, centres, probes), "asked"), -1.0, limit, others_only=others_only, flips=index.flips)
+    return best_per(found, "query_id", F.desc("similarity"), F.asc("id"), limit=limit)
 
 
 def search_ranked(index: Index, queries: DataFrame, now: datetime, limit: int = 25, probes: int | None = None, every: bool = False, pool: int = POOL, others_only: bool = False) -> DataFrame:
