@@ -1,5 +1,7 @@
 """Comparison of vectors in tiles and blocks."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -33,6 +35,17 @@ def test_tiles_against_brute_force(monkeypatch, tile, limit, threshold, others_o
     assert got == brute(ids, x, ids[:120], asked, threshold, limit, others_only) and len(got) == len(s)
 
 
+def test_tiles_are_small():
+    """Similarities of 4,000 rows and queries are 128 MB in double precision, and were held and sorted several times over."""
+    x = np.random.default_rng(3).standard_normal((4000, 16))
+    ids = pa.array(range(4000))
+    asked = vector_index.unit(x)
+    tracemalloc.start()
+    vector_index.best_pairs(ids, x, ids, asked, -1.0, 40, True)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
 def test_blocks_hold_several_cells(spark, monkeypatch):
     """A query goes once to a block of cells, not to each of its cells; large cells are cut."""
     pick = np.random.default_rng(5)
