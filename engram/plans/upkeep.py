@@ -387,7 +387,7 @@ def gibberish_filter(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def screen_text_chain(spark: SparkSession, sf: str) -> DataFrame:
     d = views.wide(views.table(spark, sf, "documents")).select("doc_id", F.expr(_NAMED).alias("t"))
-    return d.select(F.col("doc_id").alias("id"), *(c.alias(k) for k, c in text.screen_text(F.col("t"), text.common_words(d, "t")).items()))
+    return text.with_screen_text(d, "t", text.common_words(d, "t")).select(F.col("doc_id").alias("id"), "files", "snippets", "filtered")
 
 
 @query()
