@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from engram.schema import DIMENSION
 
+#: Texts that the model is asked for at once; their vectors are all that a task holds.
+SLICE = 256
 _SHAPE = 20  # last places, which describe the text's shape
 
 
@@ -48,18 +50,26 @@ def hashed_embedding(text: str, dimension: int = DIMENSION) -> np.ndarray:
 def embed_distinct(texts: DataFrame, model: Callable[[Sequence[str]], Sequence[Sequence[float]]] | None = None, dimension: int = DIMENSION) -> DataFrame:
     """text and embedding of each distinct text; null where the model gives no finite vector of the right length.
 
-    ``model`` takes a batch of texts; without one the hashed embedding is used.
+    ``model`` takes a batch of up to SLICE texts; without one the hashed embedding is used.
     """
 
-    @F.pandas_udf("array<double>")
-    def run(batch: pd.Series) -> pd.Series:
-        own = [t or "" for t in batch]
-        vectors = model(own) if model else [hashed_embedding(t, dimension) for t in own]
-        checked = [np.asarray(v, float) for v in vectors]
-        return pd.Series([v.tolist() if v.shape == (dimension,) and np.isfinite(v).all() else None for v in checked])
-
-    once = run.asNondeterministic()  # or a filter on the vectors would ask the model twice
-    return texts.select("text").distinct().withColumn("embedding", once("text"))
+    schema = texts.select("text").schema.add("embedding", ArrayType(DoubleType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, SLICE):
+                own = batch.slice(a, SLICE)
+                told = [t or "" for t in own.column(0).to_pylist()]
+                vectors = model(told) if model else [hashed_embedding(t, dimension) for t in told]
+                checked = [np.asarray(v, float) for v in vectors]
+                able = [v.shape == (dimension,) and bool(np.isfinite(v).all()) for v in checked]
+                values = np.concatenate([v for v, ok in zip(checked, able) if ok] or [np.zeros(0)])
+                ends = np.concatenate([[0], np.cumsum(able) * dimension]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array([not ok for ok in able]))
+                yield pa.RecordBatch.from_arrays([own.column(0), lists], names=["text", "embedding"])
+
+    # no expression of the plan, so that a filter on the vectors does not ask the model twice
+    return texts.select("text").distinct().mapInArrow(run, schema)
 
 
 def embedder(model: Callable[[Sequence[str]], Sequence[Sequence[float]]] | None = None, dimension: int = DIMENSION) -> Callable[[DataFrame], DataFrame]:
