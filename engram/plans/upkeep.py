@@ -495,9 +495,10 @@ def capture_chain(spark: SparkSession, sf: str) -> DataFrame:
 def _streamed(spark: SparkSession, sf: str, forget: int | None) -> DataFrame:
     """The chain as a stream over the same rows, run until nothing is left, and read back from its sink."""
     folder = new_folder(spark, "stream")
-    views.screen(spark, sf).repartitionByRange(4, "ts").write.parquet(f"{folder}/in")
+    views.wide(views.screen(spark, sf)).write.parquet(f"{folder}/in")
     source = spark.readStream.schema(views.screen(spark, sf).schema).parquet(f"{folder}/in")
-    run = stream.store_batches(stream.gated_stream(source, forget=forget), f"{folder}/out", f"{folder}/state", once=True)
+    stored = stream.gated_stream(source, forget=forget, keep=("capture_id", "user_id", "app", "title"), groups=stream.GROUPS)
+    run = stream.store_batches(stored, f"{folder}/out", f"{folder}/state", once=True)
     run.awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("capture_id", "user_id", "app", "title", "changed")
 

@@ -30,6 +30,8 @@ STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark
 
 #: Captures of one user are taken together by this length of time.
 BUCKET = "hour"
+#: Groups of users on a stream of many.
+GROUPS = 4096
 
 
 def _handed_on(captures: DataFrame, value: Column) -> tuple[DataFrame, Window]:
@@ -154,49 +156,65 @@ def watch(captures: DataFrame, sessions: DataFrame, seconds: int = WATCH_SECONDS
     return pairs.withColumn("new_lines", fresh).where(F.size("new_lines") > 0).select("session_id", "capture_id", "ts", "new_lines")
 
 
-def gated_stream(captures: DataFrame, overlays: Sequence[str] = OVERLAY_APPS, forget: int | None = FORGET_SECONDS, late: str = LATE) -> DataFrame:
-    """The same chain on a stream: a user's last window, text hash and time are the state.
+def gated_stream(captures: DataFrame, overlays: Sequence[str] = OVERLAY_APPS, forget: int | None = FORGET_SECONDS, late: str = LATE, keep: Sequence[str] | None = None, groups: int | None = None) -> DataFrame:
+    """The same chain on a stream: users' last windows, text hashes and times are the state.
 
-    A timer by the time of the captures drops the state ``forget`` seconds after the user's last one. Captures that come
-    more than ``late`` behind the newest are then left out by Spark, which counts them. None keeps every user, and takes
-    captures however late.
+    The state of a user is dropped ``forget`` seconds after the last capture, by a timer on the time of the captures.
+    Captures that come more than ``late`` behind the newest are then left out by Spark, which counts them. None keeps every
+    user, and takes captures however late. ``keep`` names the columns that the stored captures have (all, unless stated);
+    what neither they nor the gates need is not sent to Python. Python is called once a user and batch, which costs more
+    than a user's few captures; with ``groups`` once for each of so many groups of users (by a hash), whose timer looks for
+    those whose time is over. State lies by group, so a stream goes on with the number that it began with.
     """
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
 
-    names = captures.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in captures.schema) + ", changed boolean"
+    names = list(captures.columns if keep is None else keep)
+    schema = ", ".join(f"`{n}` {captures.schema[n].dataType.simpleString()}" for n in names) + ", changed boolean"
 
     class Gate(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
-            self.last = handle.getValueState("last", "app string, title string, hash string, at long")
+            self.last = handle.getMapState("last", "user string", "app string, title string, hash string, at long")
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            held = self.last.get() if self.last.exists() else None
-            timer = held and held[3]
-            rows = pd.concat(list(rows)).set_axis(columns, axis=1).sort_values(["ts", "capture_id"], kind="stable")
-            kept, flags = [], []
-            for i, (r, digest, at) in enumerate(zip(rows[names].itertuples(index=False), rows["__hash"], rows["__at"].tolist())):
+            rows = pd.concat(list(rows)).set_axis(columns, axis=1).sort_values(["__user", "ts", "capture_id"], kind="stable")
+            kept, flags, user, held, oldest = [], [], None, None, None
+            for i, (own, app, title, moved, long, digest, at) in enumerate(zip(*(rows[c].tolist() for c in gates))):
+                if own != user:
+                    if user is not None:
+                        self.last.updateValue((user,), held)
+                        oldest = held[3] if oldest is None else min(oldest, held[3])
+                    user, held = own, self.last.getValue((own,))
                 if held and forget is not None and at - held[3] > forget * 1_000_000:
                     held = None
-                app, title, seen, before = held or (None, None, None, at)
-                changed = held is None or (r.app, r.title) != (app, title)
-                diff = 1.0 if pd.isna(r.diff_ratio) else r.diff_ratio
-                told = (changed or diff > LEAST_DIFF) and len(r.ocr_raw or "") >= LEAST_TEXT
+                seen, before = held[2:] if held else (None, at)
+                changed = held is None or (app, title) != tuple(held[:2])
+                told = (changed or moved) and long
                 if told and (changed or digest != seen):
                     kept.append(i)
                     flags.append(changed)
-                held = (r.app, r.title, digest if told else seen, max(at, before))
-            self.last.update(held)
-            if forget is not None and held[3] != timer:
-                if timer is not None:
-                    self.handle.deleteTimer(ends(timer))
-                self.handle.registerTimer(ends(held[3]))
-            yield rows.iloc[kept][names].assign(changed=flags)
+                held = (app, title, digest if told else seen, max(at, before))
+            self.last.updateValue((user,), held)
+            if forget is not None:
+                self._look_at(ends(held[3] if oldest is None else min(oldest, held[3])))
+            if kept:
+                yield rows.iloc[kept][names].assign(changed=flags)
+
+        def _look_at(self, end: int) -> None:
+            """Look for users whose time is over at ``end`` or before."""
+            if end < min(self.handle.listTimers(), default=end + 1):
+                self.handle.registerTimer(end)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            self.last.clear()
+            now, left = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()), []
+            for user, held in list(self.last.iterator()):
+                if ends(held[3]) <= now:
+                    self.last.removeKey(user)
+                else:
+                    left.append(ends(held[3]))
+            if left:
+                self.handle.registerTimer(min(left))
             return iter(())
 
         def close(self) -> None:
@@ -208,11 +226,18 @@ def gated_stream(captures: DataFrame, overlays: Sequence[str] = OVERLAY_APPS, fo
 
     # the user as text: null users are one user, as on tables
     user = F.to_json(F.struct("user_id"))
-    shown = _shown(captures, overlays).withColumn("__user", user).withColumn("__hash", text_hash(F.col("ocr_raw"))).withColumn("__at", F.coalesce(_micros("ts"), F.lit(0)))
+    own = {
+        "__moved": F.coalesce("diff_ratio", F.lit(1.0)) > LEAST_DIFF, "__long": F.length(F.coalesce("ocr_raw", F.lit(""))) >= LEAST_TEXT,
+        "__hash": text_hash(F.col("ocr_raw")), "__at": F.coalesce(_micros("ts"), F.lit(0)), "__user": user,
+        "__group": user if groups is None else F.pmod(F.xxhash64(user), F.lit(groups)).cast("int"),
+    }
+    gates = ["__user", "app", "title", "__moved", "__long", "__hash", "__at"]
+    shown = _shown(captures, overlays).withColumns(own)
+    columns = list(dict.fromkeys([*names, "ts", "capture_id", *gates, "__group"]))
     if forget is not None:
         shown = shown.where("ts IS NOT NULL").withColumn("__event", F.col("ts").cast("timestamp")).withWatermark("__event", late)
-    columns = shown.columns
-    return shown.groupBy("__user").transformWithStateInPandas(Gate(), schema, "Append", "None" if forget is None else "EventTime")
+        columns.append("__event")
+    return shown.select(*columns).groupBy("__group").transformWithStateInPandas(Gate(), schema, "Append", "None" if forget is None else "EventTime")
 
 
 def watch_stream(captures: DataFrame, sessions: DataFrame, seconds: int = WATCH_SECONDS, late: str = "0 seconds") -> DataFrame:
