@@ -11,7 +11,7 @@ from engram.functions import embedding, text
 from engram.operators import folds, kept_embeddings, mutate, rules, upkeep
 from engram.sources import views
 from engram.sources.views import EVENT_NOW, with_views
-from engram.storage import new_folder
+from engram.storage import materialize, new_folder
 from engram.streaming import captures as stream
 
 QUERIES = {}
@@ -379,9 +379,8 @@ def summary_for_embedding(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def gibberish_filter(spark: SparkSession, sf: str) -> DataFrame:
     d = views.wide(views.table(spark, sf, "pages"))
-    cleaned = text.strip_tags(text.clean(F.col("html")))
-    kept = text.common_words(d.select(cleaned.alias("t")), "t")
-    return d.select(F.col("page_id").alias("id"), text.without_gibberish_udf(kept)(cleaned).alias("filtered"))
+    d = materialize(d.select(F.col("page_id").alias("id"), text.strip_tags(text.clean(F.col("html"))).alias("t")), "cleaned")  # read twice
+    return d.select("id", text.without_gibberish_udf(text.common_words(d, "t"))("t").alias("filtered"))
 
 
 @query()
