@@ -1,7 +1,7 @@
 """A kept keyword index: postings written once for each text, asked by many queries without reading any text.
 
 Tables of a part: ``postings`` (term, id, tf, length), in files that are sorted by term, so that a term's list is found by the files'
-statistics; a long list is cut by id over many files. The list of the empty term holds every row of the part, those without words
+statistics; a long list is cut by a hash of the id over many files. The list of the empty term holds every row of the part, those without words
 too. ``lists`` (term, docs, words) is what a query needs to know of a list before it reads it. ``gone`` (id)
 takes rows of earlier parts away; its part's ``lists`` then count downwards.
 
@@ -13,8 +13,6 @@ that no row holds, give no rows; repeated queries of one id are taken together.
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +20,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DoubleType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, LongType, StringType, StructType
 
 from engram.functions import ranking
 from engram.operators import kept
 from engram.operators.filters import best_per
 from engram.storage import materialize
 
-_WORD = re.compile("[a-z]+")
-#: Rows whose texts are counted at once.
-_SLICE = 64
+#: Bytes of text that are counted at once, about.
+_SLICE = 1 << 22
+#: Postings in a part of new ones, about; parts at most; rows that tell their ranges, about; letters of a term that tell its range; terms a part that are looked at.
+PART, MOST_PARTS, SAMPLE, _LETTERS, _TOLD = 1_000_000, 8192, 2048, 8, 32
 #: Up to so many distinct terms are named to the scan of the postings; more meet it in a join alone.
 NAMED_TERMS = 2048
 #: Rows of the table in a shard, about, and queries that meet a shard at once.
@@ -45,26 +44,101 @@ def _postings_type(kind: DataType) -> StructType:
     return StructType().add("term", StringType()).add("id", kind).add("tf", LongType()).add("length", LongType())
 
 
-def count_terms(rows: DataFrame, text_col: str = "source_text") -> DataFrame:
-    """term, id, tf and length of each row's terms, and of the empty term once a row."""
-    schema = _postings_type(rows.schema["id"].dataType)
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The runs of a-z in texts, and the place of the text that each stands in."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    held = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    letter = held - np.uint8(97) < 26  # bytes of other characters are never among these
+    first = letter.copy()
+    first[1:] &= ~letter[:-1]
+    begins = ends[:-1][ends[:-1] < len(held)]
+    first[begins] = letter[begins]
+    last = letter.copy()
+    last[:-1] &= ~letter[1:] | first[1:]
+    starts = np.flatnonzero(first)
+    cuts = np.concatenate([[0], np.cumsum(np.flatnonzero(last) + 1 - starts)]).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(held[letter]))
+    return words, np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, ends)))
+
+
+def _leading(terms: pa.Array) -> np.ndarray:
+    """The first _LETTERS letters of terms as numbers of the same order."""
+    terms = terms.cast(pa.large_string())
+    cuts = np.frombuffer(terms.buffers()[1], np.int64)[terms.offset : terms.offset + len(terms) + 1]
+    held = np.append(np.frombuffer(terms.buffers()[2] or b"", np.uint8), np.uint8(0))
+    out = np.zeros(len(terms), np.uint64)
+    for k in range(_LETTERS):
+        at = cuts[:-1] + k
+        out = out << np.uint64(8) | np.where(at < cuts[1:], held[np.minimum(at, len(held) - 1)], 0).astype(np.uint64)
+    return out
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First place and number of rows of slices with some _SLICE bytes of text, or of one row."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + _SLICE, side="right")))
+        yield a, b - a
+        a = b
+
+
+def count_terms(rows: DataFrame, bounds: list[str], text_col: str = "source_text") -> DataFrame:
+    """Each row's terms, and the empty term once a row, packed: part, term, and the ids, counts and lengths of rows of a slice.
+
+    ``bounds`` are the ends of the parts' ranges of terms, told by first letters; terms that are the end of several are dealt to them by a hash of the id.
+    """
+    schema = StructType().add("part", IntegerType()).add("term", StringType()).add("ids", ArrayType(rows.schema["id"].dataType)).add("tfs", ArrayType(IntegerType())).add("lengths", ArrayType(IntegerType()))
+    limits = _leading(pa.array(bounds, pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, _SLICE):
-                own = batch.slice(a, _SLICE)
-                at, terms, counts, lengths = [], [], [], []
-                for i, text in enumerate(own.column(1).to_pylist()):
-                    found = _WORD.findall(text or "")
-                    held = Counter(found)
-                    at += [i] * (len(held) + 1)
-                    terms += ["", *held]
-                    counts += [0, *held.values()]
-                    lengths += [len(found)] * (len(held) + 1)
-                columns = [pa.array(terms, pa.string()), own.column(0).take(pa.array(at, pa.int64())), pa.array(counts, pa.int64()), pa.array(lengths, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return rows.where("id IS NOT NULL").select("id", F.lower(F.col(text_col)).alias("text")).mapInArrow(run, schema)
+            for a, n in _slices(batch.column(2)):
+                own = batch.slice(a, n)
+                words, at = words_of(own.column(2))
+                coded = words.dictionary_encode()
+                keys, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + at, return_counts=True)
+                term, row = np.concatenate([np.zeros(n, np.int64), keys // n + 1]), np.concatenate([np.arange(n), keys % n])
+                tf, length = np.concatenate([np.zeros(n, np.int64), tf]), np.bincount(at, minlength=n)
+                names = pa.concat_arrays([pa.array([""], pa.string()), coded.dictionary.cast(pa.string())])
+                told = _leading(names)
+                low, high = np.searchsorted(limits, told), np.searchsorted(limits, told, side="right")
+                part = low[term] + own.column(1).to_numpy()[row] % (high - low + 1)[term]
+                order = np.lexsort((part, term))
+                term, part, row, tf = term[order], part[order], row[order], tf[order]
+                begins = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (part[1:] != part[:-1])))
+                cuts = pa.array(np.append(begins, len(term)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cuts, v) for v in (own.column(0).take(pa.array(row)), pa.array(tf.astype(np.int32)), pa.array(length[row].astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays([pa.array(part[begins].astype(np.int32)), names.take(pa.array(term[begins])), *lists], names=schema.names)
+
+    return rows.where("id IS NOT NULL").select("id", F.xxhash64("id"), F.lower(F.col(text_col))).mapInArrow(run, schema)
+
+
+def range_bounds(rows: DataFrame, text_col: str = "source_text") -> list[str]:
+    """Ends of ranges of terms, in order, with some PART postings each: told by about SAMPLE rows, chosen by a hash of the id."""
+    every = max(1, math.ceil(rows.count() / SAMPLE))
+    some = rows.where(F.pmod(F.xxhash64("id", F.lit("bounds")), F.lit(every)) == 0)
+    words = F.explode(F.array_union(F.array(F.lit("")), F.split(F.lower(F.coalesce(text_col, F.lit(""))), "[^a-z]+")))
+    told = materialize(some.select("id", words.alias("term")).select(F.substring("term", 1, _LETTERS).alias("term"), F.xxhash64("id", "term").alias("turn")), "bounds")
+    held = told.count()
+    parts = min(MOST_PARTS, math.ceil(held * every / PART))
+    if parts < 2:
+        return []
+    terms = sorted(r.term for r in told.where(F.pmod("turn", F.lit(max(1, held // (_TOLD * parts)))) == 0).select("term").collect())  # some _TOLD a part
+    return [terms[k * len(terms) // parts] for k in range(1, parts)] if terms else []
+
+
+def sorted_postings(rows: DataFrame, text_col: str = "source_text") -> DataFrame:
+    """term, id, tf and length of the rows' terms, in parts by ranges of terms, each sorted by term.
+
+    A text is counted once: the ranges are fitted on a few rows before, and what moves are packed lists.
+    """
+    bounds = range_bounds(rows, text_col)
+    packed = count_terms(rows, bounds, text_col).repartitionById(len(bounds) + 1, "part").sortWithinPartitions("term")
+    flat = packed.select("term", F.inline(F.arrays_zip("ids", "tfs", "lengths"))).toDF("term", "id", "tf", "length")
+    return flat.withColumns({"tf": F.col("tf").cast("long"), "length": F.col("length").cast("long")})
 
 
 def _figures(postings: DataFrame) -> DataFrame:
@@ -108,7 +182,7 @@ class KeywordIndex:
             given = given.join(fresh.distinct(), "id", "left_semi")
 
         def make(write) -> None:
-            counted = write("postings", count_terms(given, text_col).repartitionByRange("term", "id").sortWithinPartitions("term", "id"))
+            counted = write("postings", sorted_postings(given, text_col))
             if counted.where("term = ''").groupBy("id").count().where("count > 1").limit(1).count():
                 raise ValueError("an id stands twice among the rows to be added")
             figures = _figures(counted)
