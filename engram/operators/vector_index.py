@@ -35,8 +35,8 @@ SAMPLE, CELLS, ROUNDS = 8192, 256, 8
 PART = 2048
 #: Rows and queries that meet at once on large tables, at most: what moves is the product of both sides by this.
 MOST_PART = 65_536
-#: Similarities in a tile, and pairs that are computed in full at once.
-TILE, _PAIRS = 1 << 22, 1 << 14
+#: Similarities in a tile, pairs that are computed in full at once, and pairs of a tile that are held and sorted at once (a query's stay together).
+TILE, _PAIRS, _HELD = 1 << 22, 1 << 14, 1 << 18
 #: What rounding of similarities to six digits may hide, and of distances.
 _SLACK, _NEAR = 1e-6, 1e-9
 #: Bits of a sketch, share of the sample's neighbours that must pass (by lists and by sketches), and how many rows and neighbours tell it.
@@ -45,11 +45,14 @@ SKETCH, RECALL, ASKED, NEIGHBOURS = 512, 0.97, 256, 10
 POOL = 4
 
 
-def matrix(column: pa.Array, kind: type = np.float64) -> np.ndarray:
-    """Rows of a column of equally long lists."""
+def matrix(column: pa.Array, kind: type | None = np.float64) -> np.ndarray:
+    """Rows of a column of equally long lists; without a kind in single precision where they came so, and not copied."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    if kind is None:
+        kind = np.float32 if values.dtype == np.float32 else np.float64
+    return values.astype(kind, copy=False).reshape(len(column), -1)
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -167,8 +170,11 @@ def best_pairs(ids: pa.Array, x: np.ndarray, query_ids: pa.Array, asked: np.ndar
     Tiles of similarities in single precision tell which pairs may be among the best; only those are computed in full and sorted.
     """
     by_id = pc.sort_indices(ids).to_numpy()
-    norms = np.linalg.norm(x, axis=1)
-    light, asked_light = (x / norms[:, None])[by_id].astype(np.float32), asked.astype(np.float32)
+    norms, light = np.empty(len(x)), np.empty(x.shape, np.float32)  # in the order of ids
+    for a in range(0, len(x), PART):
+        own = x[by_id[a : a + PART]].astype(np.float64, copy=False)
+        norms[a : a + PART] = np.linalg.norm(own, axis=1)
+        light[a : a + PART] = own / norms[a : a + PART, None]
     own_q, own_r = own_pairs(ids.take(pa.array(by_id)), query_ids) if others_only else (np.zeros(0, np.int64),) * 2
     slack = 2 * _SLACK + 2 * (x.shape[1] + 4) * 2.0**-24  # rounding to six digits, and both errors of single precision
     groups = max(1, min(len(ids), max(1024, 8 * limit)))
@@ -178,24 +184,30 @@ def best_pairs(ids: pa.Array, x: np.ndarray, query_ids: pa.Array, asked: np.ndar
     for a in range(0, len(asked), step):
         mine = slice(*np.searchsorted(own_q, (a, a + step)))
         if sims is None:
-            near = np.matmul(asked_light[a : a + step], light.T, out=tile[: len(asked) - a])
+            near = np.matmul(asked[a : a + step].astype(np.float32), light.T, out=tile[: len(asked) - a])
             near[own_q[mine] - a, own_r[mine]] = -2
             # so many groups have a best row at or above it, so the last of the best is there or higher
             tops = near[:, :whole].reshape(len(near), -1, groups).max(axis=1)
             floor = np.partition(tops, groups - limit, axis=1)[:, groups - limit] if groups > limit else np.full(len(near), -2.0)
             floor = np.maximum(np.maximum(floor, threshold) - slack, -1.5).astype(np.float32)
             able = np.greater_equal(near, floor[:, None], out=flags[: len(near)])
-            q, r = np.divmod(np.flatnonzero(able.ravel()), len(ids))
-            told = [np.einsum("ij,ij->i", x[by_id[r[k : k + _PAIRS]]], asked[a + q[k : k + _PAIRS]]) / norms[by_id[r[k : k + _PAIRS]]] for k in range(0, len(q), _PAIRS)]
-            exact = np.round(np.concatenate(told), 6) if told else np.zeros(0)
         else:
             near = sims[by_id, a : a + step].T.copy()
             near[own_q[mine] - a, own_r[mine]] = -2
-            q, r = np.nonzero(near >= threshold)
-            exact = near[q, r]
-        keep = exact >= threshold
-        q, r, exact = first_of(q[keep], r[keep], exact[keep], limit)
-        out.append((by_id[r], a + q, exact))
+            able = near >= threshold
+        counts = np.count_nonzero(able, axis=1)
+        starts = np.flatnonzero(np.diff((np.cumsum(counts) - counts) // _HELD, prepend=-1))  # copies may all be among the best
+        for lo, hi in zip(starts, [*starts[1:], len(able)]):
+            q, r = np.divmod(np.flatnonzero(able[lo:hi].ravel()), len(ids))
+            q += lo
+            if sims is None:
+                told = [np.einsum("ij,ij->i", x[by_id[r[k : k + _PAIRS]]].astype(np.float64, copy=False), asked[a + q[k : k + _PAIRS]]) / norms[r[k : k + _PAIRS]] for k in range(0, len(q), _PAIRS)]
+                exact = np.round(np.concatenate(told), 6) if told else np.zeros(0)
+            else:
+                exact = near[q, r]
+            keep = exact >= threshold
+            q, r, exact = first_of(q[keep], r[keep], exact[keep], limit)
+            out.append((by_id[r].astype(np.int32), (a + q).astype(np.int32), exact))
     r, q, exact = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     return r, q, exact
 
@@ -293,15 +305,16 @@ def whole_cells(lists: DataFrame, queries: DataFrame, counts: dict[int, int], ne
         ids, query_ids = rows["id"].combine_chunks(), queries["query_id"].combine_chunks()
         if not len(ids) or not len(query_ids):
             return pa.table([query_ids.slice(0, 0), ids.slice(0, 0), pa.array([], pa.float64())], names=["query_id", "id", "similarity"])
-        x, asked, cell = matrix(rows["embedding"]), unit(matrix(queries["query_embedding"])), rows["cell"].to_numpy()
-        flags, found = needs(asked), []
+        x, asked, cell = matrix(rows["embedding"], None), unit(matrix(queries["query_embedding"])), rows["cell"].to_numpy()
+        flags, found = np.concatenate([needs(asked[a : a + PART]) for a in range(0, len(asked), PART)]), []
         common = np.array([c for c in np.unique(cell) if flags[:, c].all()], np.int64)  # cells that all need are taken together
         for own in [common, *([c] for c in np.setdiff1d(np.unique(cell), common))]:
             r, q = np.flatnonzero(np.isin(cell, own)), np.flatnonzero(flags[:, own].all(axis=1)) if len(own) else np.zeros(0, np.int64)
             if len(r) and len(q):
-                i, j, sims = best_pairs(ids.take(pa.array(r)), x[r], query_ids.take(pa.array(q)), asked[q], threshold, limit, others_only)
-                found.append((q[j], r[i], sims))
-        q, r, sims = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+                some = x if len(r) == len(x) else x[r]
+                i, j, sims = best_pairs(ids.take(pa.array(r)), some, query_ids.take(pa.array(q)), asked if len(q) == len(asked) else asked[q], threshold, limit, others_only)
+                found.append((q.astype(np.int32)[j], r.astype(np.int32)[i], sims))
+        q, r, sims = found[0] if len(found) == 1 else (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         if len(found) > 1:
             back = pc.sort_indices(ids).to_numpy()
             turn = np.empty_like(back)

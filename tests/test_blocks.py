@@ -57,3 +57,39 @@ def test_blocks_hold_several_cells(spark, monkeypatch):
     for part in (64, 2048):
         out = vector_index.match(rows, asked, 0.2, 2, part=part, others_only=True)
         assert {tuple(r) for r in out.collect()} == want
+
+
+def test_copies_are_held_by_portions(monkeypatch):
+    """Where rows are copies of each other, all pairs of a tile are among the best; 4 million were held and sorted at once (over 400 MB)."""
+    x = np.tile(np.random.default_rng(3).standard_normal((1, 16)).astype(np.float32), (8192, 1))
+    asked = vector_index.unit(x[:512].astype(float))
+    ids = pa.array(range(8192, 0, -1))
+    tracemalloc.start()
+    r, q, s = vector_index.best_pairs(ids, x, ids[:512], asked, -1.0, 3, False)
+    assert tracemalloc.get_traced_memory()[1] < 120e6
+    tracemalloc.stop()
+    assert q.tolist() == [k for k in range(512) for _ in range(3)] and r.tolist() == [8191, 8190, 8189] * 512 and set(s) == {1.0}
+
+
+def test_single_precision_is_computed_in_double():
+    pick = np.random.default_rng(4)
+    x = pick.standard_normal((700, 16)).astype(np.float32)
+    x[40:90] = x[7] + 1e-6 * pick.standard_normal((50, 16)).astype(np.float32)
+    asked = vector_index.unit(x[:120].astype(float))
+    ids = pa.array(range(700))
+    r, q, s = vector_index.best_pairs(ids, x, ids[:120], asked, -1.0, 7, True)
+    assert {(b, a, c) for a, b, c in zip(r, q, s)} == brute(range(700), x.astype(float), range(120), asked, -1.0, 7, True)
+
+
+def test_needs_are_told_by_parts(spark):
+    """Distances of all queries of a block from all centres were held at once before."""
+    part = vector_index.PART
+    rows = spark.range(40).selectExpr("id", "array(float(cos(id)), float(sin(id))) AS embedding", "0 AS cell").coalesce(1)
+    asked = spark.range(part + 300).selectExpr("id AS query_id", "array(float(cos(id)), float(sin(id))) AS query_embedding").coalesce(1)
+
+    def needs(vectors):
+        assert len(vectors) <= part
+        return np.ones((len(vectors), 1), bool)
+
+    got = vector_index.whole_cells(rows, asked, {0: 40}, needs, -1.0, 1, part=2 * part).collect()
+    assert len(got) == part + 300 and all(r.id == r.query_id for r in got if r.query_id < 40)
